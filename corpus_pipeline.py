@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupfit.llm import mixing, packing, quality
+from groupfit.llm import mixing, near_copies, packing, quality
 from groupfit.llm.storage import documents, keep
 
 
@@ -13,6 +13,11 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.filter_documents(docs)
 
 
+def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_copies.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.take(docs, mixing.weights_3_1_2)
@@ -23,7 +28,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.placements(docs)
 
 
-STAGES = [("quality rules", rules), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", rules), ("near copies", copies), ("mixing", mix), ("packing", pack)]
 
 #: Weak supervision, sketches and packing are beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality
+from . import mixing, near_copies, packing, quality, substrings
 
 QUERIES = {
     "op1_min_cost_mixing": mixing.query,
+    "op3_super_kmers": substrings.query,
+    "op4_order_minhash": near_copies.query,
     "op5_weak_supervision": quality.query,
     "op8_best_two_fit": packing.query,
 }
