@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from groupfit.llm import mixing, near_copies, packing, quality
+from groupfit.llm import mixing, near_copies, packing, quality, secret_scan
 from groupfit.llm.storage import documents, keep
 
 
@@ -18,6 +18,11 @@ def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_copies.keep_one(docs)
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with every secret replaced by a mark."""
+    return secret_scan.redact(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     return mixing.take(docs, mixing.weights_3_1_2)
@@ -28,7 +33,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.placements(docs)
 
 
-STAGES = [("quality rules", rules), ("near copies", copies), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", rules), ("near copies", copies), ("secret scans", secrets), ("mixing", mix), ("packing", pack)]
 
 #: Weak supervision, sketches and packing are beyond SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
