@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from .storage import documents, free_name, keep
 
-#: Documents in one slice of a pattern, about.
-SLICE = 20_000
+#: Documents in one slice of a pattern, about, and slices whose sums are added up in one task.
+SLICE, SLICES = 1000, 4096
 
 
 def size_of(text: Column) -> Column:
@@ -137,15 +137,19 @@ def flow_by_component(patterns: dict[tuple, int], quotas: dict[object, int], use
 def on_line(docs: DataFrame, of: DataFrame, seed: int, slice_rows: int = SLICE) -> DataFrame:
     """`docs` (id, sources, size) joined to `of` (a row for each pattern: of, docs, whole, ...) with `before`: the words of the pattern's documents that stand earlier.
 
-    Two passes over the narrow table: slices are summed, then each slice is ordered by itself.
+    Two passes over the narrow table: slices are summed (and runs of slices before them), then each slice is ordered by itself.
     """
     h = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
     slice_ = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("docs") / slice_rows)).cast("long")
     dealt = docs.withColumn("h", h).join(of, F.col("sources") == F.col("of")).withColumn("slice", slice_)
-    slices = dealt.groupBy("of", "slice").agg(F.sum("size").alias("words"))
-    # running sums over slices: one row for each `slice_rows` documents
-    start = F.sum("words").over(Window.partitionBy("of").orderBy("slice")) - F.col("words")
-    slices = slices.select(F.col("of").alias("s_of"), F.col("slice").alias("s_slice"), start.alias("start"))
+    slices = dealt.groupBy("of", "slice").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("slice") / SLICES))
+
+    def earlier(*by: str) -> Column:
+        return F.sum("words").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("words")
+
+    runs = slices.groupBy("of", "run").agg(F.sum("words").alias("words")).select(F.col("of").alias("r_of"), F.col("run").alias("r_run"), earlier("of", "run").alias("r_start"))
+    in_run = slices.select("of", "run", "slice", earlier("of", "run", "slice").alias("r_inside"))
+    slices = in_run.join(runs, (F.col("of") == F.col("r_of")) & (F.col("run") == F.col("r_run"))).select(F.col("of").alias("s_of"), F.col("slice").alias("s_slice"), (F.col("r_start") + F.col("r_inside")).alias("start"))
     inner = Window.partitionBy("of", "slice").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     within = dealt.withColumn("inside", F.sum("size").over(inner) - F.col("size"))
     return within.join(slices, (F.col("of") == F.col("s_of")) & (F.col("slice") == F.col("s_slice"))).withColumn("before", F.col("start") + F.col("inside"))
