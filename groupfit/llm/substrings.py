@@ -37,7 +37,7 @@ WINDOW, RUN = 35, 6
 #: A run of words is frequent from 1 / SHARE of all runs on.
 SHARE = 50_000
 #: Bytes of text that a task gathers before it sends its super-k-mers.
-FLUSH = 24 << 20
+FLUSH = 8 << 20
 #: Windows in one super-k-mer at most: longer ones go as several.
 LONGEST = 4096
 
