@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 SCALE, K = 1024, 10
 #: Vectors in a block of candidates and in a block of queries.
-BLOCK, QUERIES = 1024, 64
+BLOCK, QUERIES = 1024, 256
 #: Queries whose best rows a task holds before it hands them on.
 HELD = 50_000
 
@@ -67,38 +67,66 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
     return rows.select("id", "v").mapInArrow(pack, "dim int, ids binary, values binary")
 
 
+#: Shares of the lists after which bounds are drawn.
+DEPTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
+
+
 class Lists:
-    """Sorted lists of a block: `rank[i, j]`, the place of candidate i in list j from the top, and `sorted`, the entries."""
+    """Sorted lists of a block. What has been read down to some depth, from either end, is kept as matrices, so all queries draw their bounds at once."""
 
     def __init__(self, values: np.ndarray):
-        self.values, n = values, len(values)
+        self.values = values
+        n = len(values)
         order = np.argsort(-values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, order, axis=0)
         self.rank = np.empty_like(order)
         np.put_along_axis(self.rank, order, np.arange(n)[:, None], axis=0)
-
-    def best(self, query: np.ndarray, k: int, bar: int | None, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-        """(candidates, scores, entries read of each list): all candidates that can be among the k best and score `bar` or more, not those marked in `skip`."""
-        n = len(self.values)
-        up = query >= 0
-        live = np.flatnonzero(~skip)
-        least = np.where(up, self.sorted[-1], self.sorted[0]) * query
-        depth = min(n, 32)
-        while True:
-            nxt = np.where(up, self.sorted[depth - 1], self.sorted[n - depth]) * query
-            rank = self.rank[live]
-            seen = np.where(up, rank, n - 1 - rank) < depth
-            read = np.where(seen, self.values[live] * query, 0).sum(axis=1)
-            lower, upper = read + (~seen) @ least, read + (~seen) @ nxt
-            bound = bar
-            if len(live) >= k:
-                kth = int(np.partition(lower, len(lower) - k)[len(lower) - k])
-                bound = kth if bound is None else max(bound, kth)
-            if bound is not None:
-                live = live[upper >= bound]
-            if depth == n or len(live) <= 2 * k:
-                return live, self.values[live] @ query, depth
-            depth = min(n, 2 * depth)
+        self.depths = sorted({max(1, round(n * share)) for share in DEPTHS})
+        self.largest = int(np.abs(values).max())
+        self.read: dict = {}
+
+    def down_to(self, depth: int, kind: type) -> tuple[np.ndarray, ...]:
+        """(seen from the top, their entries, seen from the bottom, their entries)."""
+        if (depth, kind) not in self.read:
+            values = self.values.astype(kind)
+            top, bottom = self.rank < depth, self.rank >= len(values) - depth
+            self.read[depth, kind] = top.astype(kind), values * top, bottom.astype(kind), values * bottom
+        return self.read[depth, kind]
+
+    def best(self, queries: np.ndarray, k: int, bars: list[int | None], own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (candidates, scores) of all that can be among its k best and score its bar or more; own: candidates that are the query itself."""
+        n, dim = self.values.shape
+        # doubles hold these sums exactly, or else whole numbers do
+        kind = np.float64 if self.largest * int(np.abs(queries).max(initial=0)) * dim < 2**52 else np.int64
+        out: list = [None] * len(queries)
+        todo = np.arange(len(queries))
+        for depth in self.depths:
+            seen_top, top, seen_bottom, bottom = self.down_to(depth, kind)
+            up, down = np.maximum(queries[todo], 0).astype(kind), np.minimum(queries[todo], 0).astype(kind)
+            next_up, next_down = self.sorted[depth - 1] * up, self.sorted[n - depth] * down
+            least_up, least_down = self.sorted[-1] * up, self.sorted[0] * down
+            read = up @ top.T + down @ bottom.T
+            upper = read + (next_up.sum(axis=1) + next_down.sum(axis=1))[:, None] - next_up @ seen_top.T - next_down @ seen_bottom.T
+            lower = read + (least_up.sum(axis=1) + least_down.sum(axis=1))[:, None] - least_up @ seen_top.T - least_down @ seen_bottom.T
+            stay = []
+            for row, q in enumerate(todo.tolist()):
+                low, high = lower[row], upper[row]
+                if len(own[q]):
+                    low[own[q]] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
+                bound = bars[q]
+                if n - len(own[q]) >= k:
+                    kth = np.partition(low, n - k)[n - k]
+                    bound = kth if bound is None else max(bound, kth)
+                live = np.arange(n) if bound is None else np.flatnonzero(high >= bound)
+                if depth == n or len(live) <= 4 * k:
+                    live = live[~np.isin(live, own[q])] if len(own[q]) else live
+                    out[q] = live, self.values[live] @ queries[q]
+                else:
+                    stay.append(q)
+            todo = np.array(stay, np.int64)
+            if not len(todo):
+                break
+        return out
 
 
 def nra(k: int):
@@ -112,16 +140,22 @@ def nra(k: int):
 
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, q_ids, q_values, ids, values = (batch.column(c)[row].as_py() for c in range(5))
-                ids, q_ids = np.frombuffer(ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                if last is None or last[0] != values:
-                    last = values, Lists(np.frombuffer(values, "<i8").reshape(-1, dim))
-                for q, vector in zip(q_ids.tolist(), np.frombuffer(q_values, "<i8").reshape(-1, dim), strict=True):
-                    scores, own = held.get(q, (np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                    at, new, _ = last[1].best(vector, k, int(scores[-1]) if len(scores) == k else None, ids == q)
-                    scores, own = np.concatenate([scores, new]), np.concatenate([own, ids[at]])
-                    by = np.lexsort((own, -scores))[:k]
-                    held[q] = scores[by], own[by]
+                dim = batch.column(0)[row].as_py()
+                q_ids, q_values, ids, values = (np.frombuffer(batch.column(c)[row].as_buffer(), "<i8") for c in range(1, 5))
+                name = ids.tobytes()
+                if last is None or last[0] != name:
+                    last = name, Lists(values.reshape(-1, dim))
+                none = np.zeros(0, np.int64)
+                asked = [held.get(q, (none, none)) for q in q_ids.tolist()]
+                bars = [int(scores[-1]) if len(scores) == k else None for scores, _ in asked]
+                own = [np.flatnonzero(ids == q) for q in q_ids.tolist()]
+                found = last[1].best(q_values.reshape(-1, dim), k, bars, own)
+                for q, (scores, known), (at, new) in zip(q_ids.tolist(), asked, found, strict=True):
+                    if len(at):
+                        scores, known = np.concatenate([scores, new]), np.concatenate([known, ids[at]])
+                        by = np.lexsort((known, -scores))[:k]
+                        scores, known = scores[by], known[by]
+                    held[q] = scores, known
                 if len(held) > HELD:
                     yield out()
                     held.clear()
