@@ -147,13 +147,15 @@ class Model:
 START = ((0.005, 0.495, 0.5), (0.3, 0.4, 0.3))
 
 
-def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0.8, most: float = 0.95, apart: float = 3.0) -> Model:
+def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0.8, weight: float = 100.0, most: float = 0.95, apart: float = 3.0) -> Model:
     """EM on vote patterns (rows of `votes`, each seen n times).
 
-    One imaginary document of either class with the starting chances is added.
-    The prior stays in [1 - most, most], and a bad vote stays at least `apart`
+    One imaginary document of either class with the starting chances is added,
+    and `weight` documents with the starting prior, so a handful of rows doesn't
+    settle what is good. The prior stays in [1 - most, most], and a bad vote stays at least `apart`
     times as likely on bad documents, which settles which class is which.
     """
+    first = prior
     chance = np.tile(np.array(START)[None], (votes.shape[1], 1, 1))
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(rounds):
@@ -164,7 +166,7 @@ def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float =
         new[:, 0, 0] = np.minimum(new[:, 0, 0], new[:, 1, 0] / apart)
         new = new.clip(1e-3)
         new /= new.sum(axis=2, keepdims=True)
-        share = float(np.clip((n @ p + 1) / (n.sum() + 2), 1 - most, most))
+        share = float(np.clip((n @ p + weight * first) / (n.sum() + weight), 1 - most, most))
         done = abs(share - prior) < 1e-10 and np.abs(new - chance).max() < 1e-10
         prior, chance = share, new
         if done:

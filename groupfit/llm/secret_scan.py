@@ -2,9 +2,10 @@
 
 Three kinds have known shapes (assign, access, hex). Any other run of 20 and more
 characters of the base-64 alphabets is a candidate of the kind random. Its
-encoding is inferred (decimal, hex, base 32, base 64), its symbols are tested for
-uniformity (chi-squared), for runs above and below the middle of the alphabet and
-for serial correlation, and three times the least of the p-values says how well it
+encoding is inferred (decimal, hex, base 32, base 64), its symbols and their
+classes (capitals, small letters, digits, signs) are tested for uniformity
+(chi-squared), its symbols for runs above and below the middle of the alphabet and
+for serial correlation, and four times the least of the p-values says how well it
 passes as random. Words fail, with p near 0, but the shorter they are the more
 often they pass by chance. So the level that a candidate must reach is set for
 each band of lengths: from the different candidates of all texts, those that are
@@ -22,6 +23,7 @@ empty table sets no level and gives no rows; other columns pass through `redact`
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,7 +39,10 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+#: Symbols of each encoding, and the classes they fall into.
 ALPHABETS = {"dec": "0123456789", "hex": "0123456789abcdef", "b32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "b64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+CLASSES = ("A-Z", "a-z", "0-9", "+/")
+
 #: Least length of each band.
 LENGTHS = (20, 24, 32, 48, 64)
 LEVELS = (0.0001, 0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
@@ -85,8 +90,14 @@ def tests(token: Column) -> Column:
         n = F.length(symbols)
         add = lambda a, x: a + x
         squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(symbols, c, F.lit(""))), F.lit(2))), F.lit(0.0), add)
-        chi, df = k / n * squares - n, k - 1
-        p_chi = tail((F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+
+        def p_of(chi: Column, df: int) -> Column:
+            return tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5) if df else F.lit(1.0)
+
+        p_chi = p_of(k / n * squares - n, k - 1)
+        share = {c: sum(bool(re.match(f"[{c}]", x)) for x in alphabet) / k for c in CLASSES}
+        held = [F.pow(n - F.length(F.regexp_replace(symbols, f"[{c}]", "")), F.lit(2)) / share[c] for c in CLASSES if share[c]]
+        p_class = p_of(reduce(lambda a, b: a + b, held) / n - n, len(held) - 1)
         high = F.transform(codes, lambda c: (2 * c >= k).cast("int"))
         up = F.aggregate(high, F.lit(0), add)
         both = (2 * up * (n - up)).cast("double")
@@ -96,7 +107,7 @@ def tests(token: Column) -> Column:
         p_runs = F.when(both == 0, F.pow(F.lit(2.0), 1 - n)).when(var <= 0, F.lit(1.0)).otherwise(2 * tail(F.abs(runs - both / n - 1) / F.sqrt(var)))
         mid = (k - 1) / 2
         serial = follows(lambda a, b: (a - mid) * (b - mid), F.lit(0.0)) / (F.sqrt(n - 1) * ((k * k - 1) / 12))
-        return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, 2 * tail(F.abs(serial))))
+        return F.least(F.lit(1.0), 4 * F.least(p_chi, p_class, p_runs, 2 * tail(F.abs(serial))))
 
     return (
         F.when(body.rlike("^[0-9]+$"), battery(body, ALPHABETS["dec"]))
