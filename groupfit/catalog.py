@@ -94,9 +94,9 @@ def fit_single_group(spark, sf_dir):
     return coefs(fit(priced(spark, sf_dir, 2), group="R"))
 
 
-@query(O.fitted("SELECT o_orderstatus AS g, o_totalprice AS y, o_custkey::DOUBLE AS x1, year(o_orderdate)::DOUBLE AS x2 FROM orders", 2))
+@query(O.fitted("SELECT o_orderstatus AS g, o_totalprice AS y, o_custkey::DOUBLE AS x1, (year(o_orderdate) - 1995)::DOUBLE AS x2 FROM orders", 2))
 def fit_named_response(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_custkey").cast("double").alias("o_custkey"), F.year("o_orderdate").cast("double").alias("o_year"), "o_totalprice")
+    orders = table(spark, sf_dir, "orders").select("o_orderstatus", F.col("o_custkey").cast("double").alias("o_custkey"), (F.year("o_orderdate") - 1995).cast("double").alias("o_year"), "o_totalprice")
     return coefs(fit(orders, FitSchema.of(orders.columns, "O_TotalPrice")))
 
 

@@ -33,6 +33,11 @@ def power_sums(result: FitResult) -> DataFrame:
     return each.groupBy("group", "probe").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()], F.first("resid_sd").alias("resid_sd"), F.first("response_sd").alias("response_sd"), F.first("first").alias("first"))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b, null where b is 0."""
+    return F.try_divide(a, b)
+
+
 def centred(ab: Column, a: Column, b: Column) -> Column:
     return ab - a * b / F.col("n")
 
@@ -44,8 +49,8 @@ def dots(sums: DataFrame) -> DataFrame:
     out |= {f"dr{k}": centred(F.col(f"sru{k}"), F.col("sr1"), s[k]) for k in (1, 2, 3)} | {"drr": centred(F.col("sr2"), F.col("sr1"), F.col("sr1"))}
     n1, n2 = F.col("su1"), F.col("su2")
     out |= {"dw1": centred(F.col("sw1"), F.col("sr2"), n1), "dw2": centred(F.col("sw2"), F.col("sr2"), n2), "dww": centred(F.col("sr4"), F.col("sr2"), F.col("sr2"))}
-    det = {"det": F.col("d11") * F.col("d22") - F.col("d12") * F.col("d12"), "m": F.col("d12") / F.col("d11")}
-    share = {"a1": (F.col("d13") * F.col("d22") - F.col("d23") * F.col("d12")) / F.col("det"), "a2": (F.col("d23") * F.col("d11") - F.col("d13") * F.col("d12")) / F.col("det")}
+    det = {"det": F.col("d11") * F.col("d22") - F.col("d12") * F.col("d12"), "m": ratio(F.col("d12"), F.col("d11"))}
+    share = {"a1": ratio(F.col("d13") * F.col("d22") - F.col("d23") * F.col("d12"), F.col("det")), "a2": ratio(F.col("d23") * F.col("d11") - F.col("d13") * F.col("d12"), F.col("det"))}
     return sums.withColumns(out).withColumns(det).withColumns(share)
 
 
@@ -53,19 +58,19 @@ def square_corr() -> Column:
     """Partial correlation of the residual with u squared, given u."""
     var = F.col("d22") - F.col("m") * F.col("d12")
     cov = F.col("dr2") - F.col("m") * F.col("dr1")
-    return F.when((F.col("d11") <= 0) | (F.col("drr") <= 0) | (var <= 0), 0.0).otherwise(cov / F.sqrt(var * F.col("drr")))
+    return F.when((F.col("d11") <= 0) | (F.col("drr") <= 0) | (var <= 0), 0.0).otherwise(ratio(cov, F.sqrt(var * F.col("drr"))))
 
 
 def cube_corr() -> Column:
     """Partial correlation of the residual with u cubed, given u and u squared."""
     var = F.col("d33") - F.col("a1") * F.col("d13") - F.col("a2") * F.col("d23")
     cov = F.col("dr3") - F.col("a1") * F.col("dr1") - F.col("a2") * F.col("dr2")
-    return F.when((F.col("d11") <= 0) | (F.col("drr") <= 0) | (F.col("det") <= 0) | (var <= 0), 0.0).otherwise(cov / F.sqrt(var * F.col("drr")))
+    return F.when((F.col("d11") <= 0) | (F.col("drr") <= 0) | (F.col("det") <= 0) | (var <= 0), 0.0).otherwise(ratio(cov, F.sqrt(var * F.col("drr"))))
 
 
 def t_of(corr: Column, p: int) -> Column:
     df = F.col("n") - p - 2
-    t = corr * F.sqrt(df.cast("double")) / F.sqrt(1 - corr * corr)
+    t = ratio(corr * F.sqrt(df.cast("double")), F.sqrt(1 - corr * corr))
     exact = F.when(corr < 0, -CAP).otherwise(CAP)
     return F.when(df <= 0, 0.0).when(1 - corr * corr <= 1e-12, exact).otherwise(F.greatest(F.lit(-CAP), F.least(F.lit(CAP), t)))
 
@@ -73,13 +78,13 @@ def t_of(corr: Column, p: int) -> Column:
 def spread_share() -> Column:
     """Share of the squared residual's variance that f and f squared explain; of the row of the fitted value."""
     w1, w2 = F.col("dw1"), F.col("dw2")
-    explained = ((w1 * F.col("d22") - w2 * F.col("d12")) * w1 + (w2 * F.col("d11") - w1 * F.col("d12")) * w2) / F.col("det")
-    return F.when((F.col("n") <= 4) | (F.col("dww") <= 0) | (F.col("det") <= 0) | (explained <= 0), 0.0).otherwise(explained / F.col("dww"))
+    explained = ratio((w1 * F.col("d22") - w2 * F.col("d12")) * w1 + (w2 * F.col("d11") - w1 * F.col("d12")) * w2, F.col("det"))
+    return F.when((F.col("n") <= 4) | (F.col("dww") <= 0) | (F.col("det") <= 0) | (explained <= 0), 0.0).otherwise(ratio(explained, F.col("dww")))
 
 
 def spread_t(share: Column) -> Column:
     """Root of half of F with 2 and n - 3 degrees of freedom."""
-    return F.when(share <= 0, 0.0).when(share >= 1, CAP).otherwise(F.least(F.lit(CAP), F.sqrt((share / 2) / ((1 - share) / (F.col("n") - 3)))))
+    return F.when(share <= 0, 0.0).when(share >= 1, CAP).otherwise(F.least(F.lit(CAP), F.sqrt(ratio(share / 2 * (F.col("n") - 3), 1 - share))))
 
 
 def bound(p: int, groups: int | Column) -> float | Column:
