@@ -10,7 +10,9 @@ verified where the leader and its followers meet: common runs are aligned within
 the band of diagonals that the similarity allows, the longest common subsequence
 m gives m / (a + b - m) for texts of a and b runs, and followers that don't match
 the leader are compared with one another where they share a band. A leader with
-many followers meets them in several shares.
+many followers meets them in several shares; if some of those don't match it, all
+of its followers are sketched again, with more and far stricter bands, whose
+buckets are small unless their texts are near copies.
 
 Exact copies are one text from the start. Links become classes by alternating
 large-star and small-star steps over joins.
@@ -35,11 +37,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .storage import documents, free_name, keep
-from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash
+from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash, trim
 
 SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 4, 0.8
 #: Followers of a leader that meet in one place.
 SHARE = 200
+#: Bands and keys a band of the second sketch.
+STRICT = (64, 8)
 
 
 def labelled(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,21 +84,22 @@ def sketch(keys: np.ndarray, bands: int, least: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _bands(text: pa.Array) -> pa.Array:
+def _bands(text: pa.Array, bands: int, least: int) -> pa.Array:
     flat, sizes = [], []
     for lo, hi, data, bounds in chunks(text):
         keys, at = labelled(Words(data, bounds))
         for i in range(hi - lo):
             own = keys[at[i] : at[i + 1]]
-            sizes.append(BANDS if len(own) else 0)
+            sizes.append(bands if len(own) else 0)
             if len(own):
-                flat.append(sketch(own, BANDS, LEAST))
+                flat.append(sketch(own, bands, least))
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    trim()
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
 
 
-def bands_of(text: Column) -> Column:
-    return arrow_udf(_bands, "array<bigint>")(text)
+def bands_of(text: Column, bands: int = BANDS, least: int = LEAST) -> Column:
+    return arrow_udf(lambda t: _bands(t, bands, least), "array<bigint>")(text)
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
@@ -132,12 +137,13 @@ def match(places: np.ndarray, total: int, least: float) -> float:
 
 
 def verify(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a forest that joins a leader's followers in one share as their similar pairs do."""
+    """Links of a forest that joins a leader's followers in one share as their similar pairs do, beyond the classes (`top`) that they are in already."""
     group = group.drop_duplicates("tk").reset_index(drop=True)
     w = [(lo, labelled(Words(d, b))) for lo, _, d, b in chunks(pa.array(group["text"], pa.string()))]
     keys = [k[at[i] : at[i + 1]] for _, (k, at) in w for i in range(len(at) - 1)]
     lead = group.index[group["tk"] == group["leader"]]
-    top = list(range(len(group)))
+    known_as: dict[bytes, int] = {}
+    top = [known_as.setdefault(t, i) for i, t in enumerate(group["top"])]
     links = []
 
     def root(i: int) -> int:
@@ -180,29 +186,52 @@ def classes(links: DataFrame) -> DataFrame:
         edges = new
 
 
+def pairs_of(of: DataFrame) -> DataFrame:
+    """(tk, leader) of texts (tk, bands, top) for each bucket that holds more than one class so far."""
+    marks = of.select("tk", "top", F.posexplode("bands").alias("band", "mark")).select("tk", "top", F.xxhash64("band", "mark").alias("mark"))
+    leaders = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("mark", "leader")
+    return keep(marks.join(leaders, "mark").where("tk <> leader").select("tk", "leader").distinct(), "pairs")
+
+
+def verified(texts: DataFrame, of: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(links, followers: tk, leader, shares). texts: id, text, tk of all rows; of: tk, id, top and bands of each text, of which the row with that id stands for it."""
+    size = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    followers = keep(pairs.join(size, "leader"), "followers")
+    meet = followers.select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
+    meet = meet.unionByName(size.select(F.col("leader").alias("tk"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
+    meet = keep(meet.join(of, "tk"), "meetings")
+    there = texts.withColumnRenamed("id", "own").join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "tk", "top", "text", "bands")
+    return keep(there.groupBy("leader", "share").applyInPandas(verify, "a binary, b binary"), "similar"), followers
+
+
 def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(base, links): base has a row for each row of docs (id, tk: key of its text, bands), links the verified similar pairs (a, b) of keys that join each class."""
+    """(base, tops): base has a row for each row of docs (id, tk: key of its text, bands); tops (node, top) are the classes of keys that similar pairs join."""
     texts = docs.select(docs[id_].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
     base = keep(texts.select("id", "tk", bands_of(F.col("text")).alias("bands")), "bands")
-    unique = base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
-    of = keep(unique, "texts")
-    marks = of.select("tk", F.posexplode("bands").alias("band", "mark")).select("tk", F.xxhash64("band", "mark").alias("mark"))
-    leaders = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = keep(marks.join(leaders, "mark").where("tk <> leader").select("tk", "leader").distinct(), "pairs")
-    size = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    followers = pairs.join(size, "leader").select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
-    meet = followers.unionByName(size.select(F.col("leader").alias("tk"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
-    # the one row that stands for a text has its least id
-    meet = keep(meet.join(of, "tk"), "meetings")
-    there = texts.withColumnRenamed("id", "own").join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "tk", "text", "bands")
-    links = there.groupBy("leader", "share").applyInPandas(verify, "a binary, b binary")
-    return base, keep(links, "similar")
+    of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top")), "texts")
+    links, followers = verified(texts, of, pairs_of(of))
+    tops = classes(links)
+    crowded = followers.where("shares > 1")
+    if crowded.isEmpty():
+        return base, tops
+    # leaders with several shares of followers, some of them in another class
+    low, high = tops.select(F.col("node").alias("tk"), F.col("top").alias("own")), tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
+    apart = crowded.join(low, "tk", "left").join(high, "leader", "left").where(F.coalesce("own", "tk") != F.coalesce("led", "leader")).select("leader").distinct()
+    again = keep(crowded.join(apart, "leader").select("tk").distinct(), "again")
+    if again.isEmpty():
+        return base, tops
+    some = texts.withColumnRenamed("id", "own").join(of.join(again, "tk").select("tk", "id"), "tk").where(F.col("own").eqNullSafe(F.col("id")))
+    strict = some.select("tk", "id", bands_of(F.col("text"), *STRICT).alias("bands")).dropDuplicates(["tk"])
+    strict = keep(strict.join(low, "tk", "left").select("tk", "id", "bands", F.coalesce("own", "tk").alias("top")), "strict")
+    more, _ = verified(texts, strict, pairs_of(strict))
+    if more.isEmpty():
+        return base, tops
+    return base, classes(links.unionByName(more))
 
 
 def with_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, tk, top, class_id) for each row of docs: texts with the same `top` are one class, class_id is its least id."""
-    base, links = find(docs, id_, text)
-    tops = classes(links)
+    base, tops = find(docs, id_, text)
     own = base.select("id", "tk").join(tops, base.tk == tops.node, "left").select("id", "tk", F.coalesce("top", "tk").alias("top"))
     least = own.groupBy("top").agg(F.min("id").alias("class_id"))
     return own.join(least, "top").select("id", "tk", "top", "class_id")

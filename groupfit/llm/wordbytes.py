@@ -7,6 +7,7 @@ Everything works on the UTF-8 bytes of many texts at once: positions of words,
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -21,6 +22,15 @@ _LOW = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [2**64 - 1], U64)
 ROLL = 0x9FB21C651E98DF25  # odd multiplier of the rolling hash over words
 
 
+def trim() -> None:
+    """Gives freed memory back to the system: workers are kept for later tasks, beside others of their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every input bit reaches every output bit."""
     x = x ^ (x >> U64(32))
@@ -96,7 +106,7 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def chunks(column: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Whole texts in runs of about `size` bytes: (first row, row after the last, bytes, bounds). A longer text is a run of its own."""
     data, at = buffers(column)
     lo, n = 0, len(at) - 1

@@ -161,6 +161,16 @@ def test_near_copies_of_one_family(spark):
     assert all(got[1000 + i] == 1000 + i for i in range(260))
 
 
+def test_links_across_shares_of_a_crowded_leader(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "SHARE", 5)
+    rng = random.Random(11)
+    common = [f"c{k}" for k in range(170)]
+    rows = [(i, " ".join(common + [f"u{i}x{k}" for k in range(60)])) for i in range(60)]
+    rows += [(100 + i, " ".join([*rows[i][1].split()[:-1], f"z{i}"])) for i in range(0, 60, 3)]
+    got = {r.id: r.class_id for r in near_copies.with_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[d] for d, _ in rows] == brute.classes(rows)
+
+
 def test_near_copies_awkward(spark):
     rows, df = awkward(spark)
     got = sorted((str(r.id), str(r.class_id)) for r in near_copies.with_classes(df).collect())
