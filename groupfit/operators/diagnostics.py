@@ -118,7 +118,7 @@ def verdicts(result: FitResult, groups: int | None = None) -> DataFrame:
     The bound goes by the number of groups in the same fit, which is counted unless given.
     """
     p = result.schema.p
-    groups = result.fits.count() if groups is None else groups
+    groups = result.groups if groups is None else groups
     least = F.lit(bound(p, groups))
     terms = F.array(*[F.lit(t) for t in result.schema.terms])
     fitted = F.col("probe") == p

@@ -64,6 +64,15 @@ class FitResult:
     train: DataFrame
     fits: DataFrame
 
+    @cached_property
+    def kept(self) -> DataFrame:
+        """The fits, computed once for whatever needs them again; lost parts are computed anew."""
+        return self.fits.persist()
+
+    @cached_property
+    def groups(self) -> int:
+        return self.kept.count()
+
     @property
     def model(self) -> DataFrame:
         """group, intercept, coef, term_status, and first: the place of the group's first row."""

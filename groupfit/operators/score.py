@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from ..functions.numbers import check_scale, parse_number, predict, round_half_away, trim_point
 from ..schema import fold
 
+#: Groups whose models may be broadcast: some hundred MB at 256 terms each.
+FEW = 50_000
+
+
+def side(model: DataFrame) -> DataFrame:
+    """The model to join cases with: broadcast if it is known to be small, so that cases are not shuffled."""
+    return F.broadcast(model) if model.limit(FEW + 1).count() <= FEW else model
+
 
 def with_trims(model: DataFrame, trims: DataFrame | None) -> DataFrame:
     """The model with trim_addition (0 where a group has none) and has_trims: did any group of the trim table match? Of several rows for a group the last wins; unknown groups are ignored."""
@@ -25,11 +33,11 @@ def score_rows(cases: DataFrame, model: DataFrame, trims: DataFrame | None = Non
     known = with_trims(model.select("group", "intercept", "coef"), trims)
     raw = predict(F.col("intercept"), F.col("coef"), F.col("x"))
     trim = F.when(F.col("has_trims"), trim_point(raw, F.col("trim_addition"), scale, trim_scale))
-    return cases.join(known, "group").withColumns({"prediction": round_half_away(raw, scale), "trim": trim}).drop("intercept", "coef", "trim_addition", "has_trims")
+    return cases.join(side(known), "group").withColumns({"prediction": round_half_away(raw, scale), "trim": trim}).drop("intercept", "coef", "trim_addition", "has_trims")
 
 
 def unknown_groups(cases: DataFrame, model: DataFrame) -> DataFrame:
-    return cases.join(model.select("group"), "group", "left_anti")
+    return cases.join(side(model.select("group")), "group", "left_anti")
 
 
 def named_case(assignments: Column, terms: list[str] | tuple[str, ...]) -> tuple[Column, Column]:
