@@ -167,6 +167,14 @@ def by_tasks(train: DataFrame, p: int, factor: bool = False) -> DataFrame:
 
     schema = to_arrow_schema(StructType.fromDDL(kind))
 
+    rows = with_order(train).select("group", "y", "x", "row_id", F.spark_partition_id().alias("part"))
+    return merge(rows.mapInArrow(partial, kind), p, factor)
+
+
+def merge(states: DataFrame, p: int, factor: bool = False) -> DataFrame:
+    """One state a group from several, in the order of their parts: among some of them first, then over all."""
+    kind = FACTOR if factor else STATE
+
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("part", kind="stable")
         total = State(p + 1, factor)
@@ -175,8 +183,6 @@ def by_tasks(train: DataFrame, p: int, factor: bool = False) -> DataFrame:
         name = group["group"].iloc[0]
         return pd.DataFrame([total.row(None if name is None else str(name), int(group["part"].iloc[0]))])[[f.split()[0] for f in kind.split(", ")]]
 
-    rows = with_order(train).select("group", "y", "x", "row_id", F.spark_partition_id().alias("part"))
-    states = rows.mapInArrow(partial, kind)
     some = states.groupBy("group", F.pmod("part", F.lit(SALTS)).alias("salt")).applyInPandas(merged, kind)
     return some.groupBy("group").applyInPandas(merged, kind)
 

@@ -108,6 +108,10 @@ def test_streams(spark, tmp_path):
     start_fit(stream, schema, lambda fits, batch: got.append({r["group"]: (r["intercept"], *r["coef"]) for r in fits.collect()}), str(tmp_path / "c")).awaitTermination()
     batch = {r["group"]: (r["intercept"], *r["coef"]) for r in fit(rows, schema).fits.collect()}
     assert len(got) == 3 and all(abs(a - b) < 1e-9 for g in batch for a, b in zip(batch[g], got[-1][g], strict=True))
+    for k, (solver, terms) in enumerate((("normal", 0), ("qr", 8))):
+        wide = []
+        start_fit(stream, schema, lambda fits, batch, wide=wide: wide.append({r["group"]: (r["intercept"], *r["coef"]) for r in fits.collect()}), str(tmp_path / f"w{k}"), solver=solver, sql_terms=terms).awaitTermination()
+        assert len(wide) == 3 and all(abs(a - b) < 1e-8 for g in batch for a, b in zip(batch[g], wide[-1][g], strict=True))
     m = fit(rows, schema).model
     m = spark.createDataFrame(m.collect(), m.schema)
     out = score_stream(stream.selectExpr("g as group", "array(x, z) as x"), m)
