@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import documents, keep
-from .wordbytes import ROLL, U64, Words, chunks, mix, per_text, ragged, runs_hash, sliding_min
+from .wordbytes import ROLL, U64, Words, chunks, mix, per_text, ragged, runs_hash, sliding_min, trim
 
-WINDOW, RUN = 35, 6
+WINDOW, RUN = 35, 4
 #: A run of words is frequent from 1 / SHARE of all runs on.
 SHARE = 50_000
 #: Bytes of text that a task gathers before it sends its super-k-mers.
-FLUSH = 8 << 20
+FLUSH = 6 << 20
 #: Windows in one super-k-mer at most: longer ones go as several.
 LONGEST = 4096
 
@@ -47,7 +47,7 @@ def frequent_runs(docs: DataFrame, run: int = RUN, share: int = SHARE) -> np.nda
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, bounds in chunks(batch.column(0), 8 << 20):
+            for _, _, data, bounds in chunks(batch.column(0), 4 << 20):
                 w = Words(data, bounds)
                 runs = runs_hash(w.hashes, run)
                 if not len(runs):
@@ -124,7 +124,7 @@ def super_kmers(w: Words, order: Order, window: int, run: int) -> tuple[np.ndarr
 
 def packed(sizes: np.ndarray, number: np.ndarray, owner: np.ndarray, start: np.ndarray, text: bytes) -> bytes:
     head = np.stack([sizes, number, owner, start]).astype("<i4")
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(sizes)], "<i8").tobytes() + head.tobytes() + text)
+    return zstandard.ZstdCompressor(level=6).compress(np.array([len(sizes)], "<i8").tobytes() + head.tobytes() + text)
 
 
 def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
@@ -150,6 +150,7 @@ def sender(frequent: np.ndarray, buckets: int, window: int, run: int):
                     held, size = [], 0
         if held:
             yield from flush(held, order)
+        trim()
 
     def flush(held: list, order: Order) -> Iterator[pa.RecordBatch]:
         keys = np.concatenate([k for k, _, _ in held], axis=1)
@@ -247,7 +248,9 @@ def counter(window: int):
                 a = start[which] + at[head] - w.first[which]
                 spans.append(np.stack([keys[0, owner[which]], keys[1, owner[which]], a, a + at[last] - at[head] + window]))
         all_ = np.concatenate(spans, axis=1) if spans else np.zeros((4, 0), np.int64)
-        return pd.DataFrame({"k1": all_[0], "k2": all_[1], "a": all_[2].astype(np.int32), "b": all_[3].astype(np.int32)})
+        out = pd.DataFrame({"k1": all_[0], "k2": all_[1], "a": all_[2].astype(np.int32), "b": all_[3].astype(np.int32)})
+        trim()
+        return out
 
     return count
 
@@ -291,6 +294,8 @@ def remover():
             if out:
                 rest = [batch.column(i) for i in range(2, batch.num_columns)]
                 yield pa.RecordBatch.from_arrays([*rest, pa.concat_arrays([o[0] for o in out]), pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)), pa.array(np.concatenate([o[2] for o in out]).astype(np.int64))], [*batch.schema.names[2:], "kept", "n_words", "n_removed"])
+            del out
+            trim()
 
     return remove
 
