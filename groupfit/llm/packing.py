@@ -17,9 +17,10 @@ ignored.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .mixing import on_line, small
 from .storage import documents, keep
-from .wordbytes import Words, chunks, hash_spans, ragged
+from .wordbytes import Words, chunks, hash_spans, ragged, trim
 
 LENGTH = 2048
 
@@ -39,14 +40,12 @@ class Encoder:
     `ranks` holds the same vocabulary for the faster library; without it units go through the tokenizer. Texts with other white space or a special token go through the tokenizer whole.
     """
 
-    most = 400_000  # units kept at a time
+    most = 200_000  # units kept at a time
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.whole.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.path, self.fast = path, None
+        with open(path, encoding="utf-8") as f:
+            self.special = [t["content"].encode() for t in json.load(f)["added_tokens"]]
         if ranks and pattern:
             import tiktoken
 
@@ -58,6 +57,12 @@ class Encoder:
                 self.bytes_of[i] = len(token)
         self.clear()
 
+    @cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def clear(self) -> None:
         self.row: dict[int, int] = {}
         self.ids = [np.zeros(0, np.uint32)]
@@ -181,6 +186,8 @@ def pieces(docs: DataFrame, path: str, ranks: str | None = None, pattern: str |
                 if with_ids:
                     arrays, names = [*arrays, pa.array(rows["ids"], pa.list_(pa.int32()))], [*names, "ids"]
                 yield pa.RecordBatch.from_arrays(arrays, names)
+        enc.clear()
+        trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(cut, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)

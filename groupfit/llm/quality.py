@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from .storage import free_name
-from .wordbytes import U64, Words, chunks, count_in, hash_spans, mix, per_text, runs_hash
+from .wordbytes import U64, Words, chunks, count_in, hash_spans, mix, per_text, runs_hash, trim
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_stopped_lines", "longest_run")
 _SYMBOL = np.zeros(256, bool)
@@ -89,6 +89,7 @@ def text_counts(data: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
 
 def _counts(text: pa.Array) -> pa.Array:
     parts = [text_counts(d, b) for _, _, d, b in chunks(text)]
+    trim()
     return pa.StructArray.from_arrays([pa.array(np.concatenate([p[c] for p in parts] or [np.zeros(0)]).astype(np.int64)) for c in COUNTS], list(COUNTS))
 
 
