@@ -144,7 +144,7 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
     lead = group.index[group["tk"] == group["leader"]]
     known_as: dict[bytes, int] = {}
     top = [known_as.setdefault(t, i) for i, t in enumerate(group["top"])]
-    links = []
+    joined: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
         while top[i] != i:
@@ -156,7 +156,7 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
         known = keys[i][order]
         for j in others:
             if root(i) != root(j) and aligned(order, known, len(known), keys[j], SIMILAR):
-                links.append((group["tk"][i], group["tk"][j]))
+                joined.append((i, j))
                 top[root(j)] = root(i)
 
     if len(lead):
@@ -167,6 +167,12 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
         for i in rest:
             shared = np.flatnonzero((marks == marks[i]).any(axis=1))
             against(i, [int(j) for j in shared if j != i])
+    # every class that has grown is told as a star about its least key
+    least: dict[int, bytes] = {}
+    for i, tk in enumerate(group["tk"]):
+        least[root(i)] = min(tk, least.get(root(i), tk))
+    grown = {root(i) for i, _ in joined}
+    links = [(least[root(i)], tk) for i, tk in enumerate(group["tk"]) if root(i) in grown and tk != least[root(i)]]
     return pd.DataFrame(links, columns=["a", "b"])
 
 
@@ -193,37 +199,47 @@ def pairs_of(of: DataFrame) -> DataFrame:
     return keep(marks.join(leaders, "mark").where("tk <> leader").select("tk", "leader").distinct(), "pairs")
 
 
-def verified(texts: DataFrame, of: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(links, followers: tk, leader, shares). texts: id, text, tk of all rows; of: tk, id, top and bands of each text, of which the row with that id stands for it."""
-    size = pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
-    followers = keep(pairs.join(size, "leader"), "followers")
-    meet = followers.select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
+def shares_of(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+
+
+def verified(texts: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Links of pairs (tk, leader). texts: own, tk, text; of: tk, id, top and bands of each text, for which the row of texts with that id stands."""
+    size = shares_of(pairs)
+    meet = pairs.join(size, "leader").select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
     meet = meet.unionByName(size.select(F.col("leader").alias("tk"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
     meet = keep(meet.join(of, "tk"), "meetings")
-    there = texts.withColumnRenamed("id", "own").join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "tk", "top", "text", "bands")
-    return keep(there.groupBy("leader", "share").applyInPandas(verify, "a binary, b binary"), "similar"), followers
+    there = texts.join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "tk", "top", "text", "bands")
+    return keep(there.groupBy("leader", "share").applyInPandas(verify, "a binary, b binary"), "similar")
+
+
+#: Keys of texts that may be broadcast.
+FEW = 100_000
 
 
 def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(base, tops): base has a row for each row of docs (id, tk: key of its text, bands); tops (node, top) are the classes of keys that similar pairs join."""
-    texts = docs.select(docs[id_].alias("id"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
-    base = keep(texts.select("id", "tk", bands_of(F.col("text")).alias("bands")), "bands")
+    texts = docs.select(docs[id_].alias("own"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
+    base = keep(texts.select(F.col("own").alias("id"), "tk", bands_of(F.col("text")).alias("bands")), "bands")
     of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top")), "texts")
-    links, followers = verified(texts, of, pairs_of(of))
+    pairs = pairs_of(of)
+    links = verified(texts, of, pairs)
     tops = classes(links)
-    crowded = followers.where("shares > 1")
+    # leaders with several shares of followers, some of them in another class
+    crowded = shares_of(pairs).where("shares > 1")
     if crowded.isEmpty():
         return base, tops
-    # leaders with several shares of followers, some of them in another class
-    low, high = tops.select(F.col("node").alias("tk"), F.col("top").alias("own")), tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
-    apart = crowded.join(low, "tk", "left").join(high, "leader", "left").where(F.coalesce("own", "tk") != F.coalesce("led", "leader")).select("leader").distinct()
-    again = keep(crowded.join(apart, "leader").select("tk").distinct(), "again")
-    if again.isEmpty():
+    crowded = keep(pairs.join(crowded, "leader"), "crowded")
+    low, high = tops.select(F.col("node").alias("tk"), F.col("top").alias("own_top")), tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
+    known = keep(crowded.join(low, "tk", "left").join(high, "leader", "left").select("tk", "leader", F.coalesce("own_top", "tk").alias("top"), F.coalesce("led", "leader").alias("led")), "crowded")
+    apart = known.where("top <> led").select("leader").distinct()
+    again = keep(known.join(apart, "leader", "left_semi").select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
+    n = again.count()
+    if not n:
         return base, tops
-    some = texts.withColumnRenamed("id", "own").join(of.join(again, "tk").select("tk", "id"), "tk").where(F.col("own").eqNullSafe(F.col("id")))
-    strict = some.select("tk", "id", bands_of(F.col("text"), *STRICT).alias("bands")).dropDuplicates(["tk"])
-    strict = keep(strict.join(low, "tk", "left").select("tk", "id", "bands", F.coalesce("own", "tk").alias("top")), "strict")
-    more, _ = verified(texts, strict, pairs_of(strict))
+    some = texts.join(F.broadcast(again) if n <= FEW else again, "tk").where(F.col("own").eqNullSafe(F.col("id")))
+    strict = keep(some.dropDuplicates(["tk"]).select("tk", "id", "top", "text", bands_of(F.col("text"), *STRICT).alias("bands")), "strict")
+    more = verified(strict.select("tk", F.col("id").alias("own"), "text"), strict.drop("text"), pairs_of(strict))
     if more.isEmpty():
         return base, tops
     return base, classes(links.unionByName(more))
