@@ -160,7 +160,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length: str | None = "n_chars") -> DataFrame:
     """`docs` with every span of its texts replaced by `mark`, overlapping ones together; the column `length`, if there is one, follows."""
-    b, f, s = (free_name(docs.columns, x) for x in ("base", "found", "spans"))
+    b, f, s, t = (free_name(docs.columns, x) for x in ("base", "found", "spans", "redacted"))
     wide = scan(docs, text, b, f)
     level = levels(keep(wide.select(F.col(f).alias("found")).where(F.size("found") > 0), "candidates"))
     spans = F.array_sort(F.concat(F.col(b), random_spans(F.col(f), level)))
@@ -172,12 +172,11 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length:
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), piece.alias("out"))
 
     done = F.aggregate(F.col(s), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
-    out = wide.withColumn(s, spans)
-    new = F.when(F.size(F.col(s)) > 0, done).otherwise(whole)
+    out = wide.withColumn(s, spans).withColumn(t, F.when(F.size(F.col(s)) > 0, done))
     cols = {c: docs[c] for c in docs.columns}
-    cols[text] = new.alias(text)
+    cols[text] = F.coalesce(F.col(t), whole).alias(text)
     if length in cols and length != text:
-        cols[length] = F.when(F.size(F.col(s)) > 0, F.length(new).cast(docs.schema[length].dataType)).otherwise(docs[length]).alias(length)
+        cols[length] = F.coalesce(F.length(F.col(t)).cast(docs.schema[length].dataType), docs[length]).alias(length)
     return out.select(*cols.values())
 
 
