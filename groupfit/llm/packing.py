@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .mixing import on_line, small
 from .storage import documents, keep
-from .wordbytes import Words, chunks, hash_spans, ragged, trim
+from .wordbytes import SPACE, Words, chunks, hash_spans, ragged, trim
 
 LENGTH = 2048
 
@@ -40,7 +40,7 @@ class Encoder:
     `ranks` holds the same vocabulary for the faster library; without it units go through the tokenizer. Texts with other white space or a special token go through the tokenizer whole.
     """
 
-    most = 200_000  # units kept at a time
+    most = 300_000  # units kept at a time
 
     def __init__(self, path: str, ranks: str | None, pattern: str | None):
         self.path, self.fast = path, None
@@ -65,29 +65,35 @@ class Encoder:
 
     def clear(self) -> None:
         self.row: dict[int, int] = {}
-        self.ids = [np.zeros(0, np.uint32)]
         self.size = 0
-        self.at: list[np.ndarray] = [np.zeros(0, np.int64)]
-        self.n: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def text(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _units(self, units: list[bytes]) -> list[np.ndarray]:
-        if self.fast is None:
-            return [self.text(u.decode()) for u in units]
+    def _words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, where each unit's begin, how many they are) of units that end with a word."""
+        sizes, bare = ends - starts, ~SPACE[data[starts]]
+        stops = np.cumsum(sizes + bare)
+        # a line feed keeps a unit without leading space apart from the one before
+        joined = np.full(int(stops[-1]), 10, np.uint8)
+        joined[ragged(stops - sizes, sizes)] = data[ragged(starts, sizes)]
         try:
-            # a line feed keeps a unit without leading space apart from the one before
-            bare = np.array([not u[:1].isspace() for u in units])
-            data = b"".join(b"\n" + u if b else u for u, b in zip(units, bare, strict=True))
-            ids = np.array(self.fast.encode_ordinary(data.decode()), np.uint32)
+            if self.fast is None:
+                raise LookupError
+            ids = np.array(self.fast.encode_ordinary(joined.tobytes().decode()), np.uint32)
         except BaseException as e:  # the library's panics are no Exception
             if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
                 raise
-            return [self.text(u.decode()) for u in units]
-        ends = np.cumsum(np.array([len(u) for u in units]) + bare)
-        cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
-        return [ids[a + b : c] for a, b, c in zip(np.concatenate([[0], cut[:-1]]), bare, cut, strict=True)]
+            return self._each([data[i:j].tobytes() for i, j in zip(starts, ends, strict=True)])
+        cut = np.searchsorted(np.cumsum(self.bytes_of[ids]), stops) + 1
+        begin = np.concatenate([[0], cut[:-1]]) + bare
+        return ids, begin, cut - begin
+
+    def _each(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        got = [self.text(u.decode()) for u in units]
+        n = np.array([len(x) for x in got], np.int64)
+        return np.concatenate(got), np.cumsum(n) - n, n
 
     def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, word_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of all kept units, where each unit's begin, how many they are). word_ends: the unit ends with a word."""
@@ -97,23 +103,20 @@ class Encoder:
         get = self.row.get
         rows = np.array([get(h, -1) for h in seen.tolist()], np.int64) if len(seen) else np.zeros(0, np.int64)
         new = np.flatnonzero(rows < 0)
-        if len(new):
-            raw = data.tobytes()
-            words = [i for i in new if word_ends[first[i]]]
-            rest = [i for i in new if not word_ends[first[i]]]
-            spans = lambda some: [raw[starts[first[i]] : ends[first[i]]] for i in some]
-            got = (self._units(spans(words)) if words else []) + [self.text(u.decode()) for u in spans(rest)]
-            n = np.array([len(x) for x in got], np.int64)
-            base = sum(len(x) for x in self.n)
-            for k, i in enumerate(words + rest):
-                self.row[int(seen[i])] = rows[i] = base + k
-            self.at.append(self.size + np.cumsum(n) - n)
-            self.n.append(n)
-            self.ids.append(np.concatenate(got).astype(np.uint32))
-            self.size += int(n.sum())
-        self.ids, self.at, self.n = [np.concatenate(self.ids)], [np.concatenate(self.at)], [np.concatenate(self.n)]
+        for some, words in ((new[word_ends[first[new]]], True), (new[~word_ends[first[new]]], False)):
+            if not len(some):
+                continue
+            i, j = starts[first[some]], ends[first[some]]
+            ids, begin, n = self._words(data, i, j) if words else self._each([data[x:y].tobytes() for x, y in zip(i, j, strict=True)])
+            base = len(self.at)
+            rows[some] = np.arange(base, base + len(some))
+            self.row.update(zip(seen[some].tolist(), range(base, base + len(some)), strict=True))
+            self.at = np.concatenate([self.at, begin + self.size])
+            self.n = np.concatenate([self.n, n])
+            self.ids = np.concatenate([self.ids, ids])
+            self.size += len(ids)
         rows = rows[back]
-        return self.ids[0], self.at[0][rows], self.n[0][rows]
+        return self.ids, self.at[rows], self.n[rows]
 
 
 def odd_space(data: np.ndarray) -> np.ndarray:
