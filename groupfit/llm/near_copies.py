@@ -11,8 +11,12 @@ the band of diagonals that the similarity allows, the longest common subsequence
 m gives m / (a + b - m) for texts of a and b runs, and followers that don't match
 the leader are compared with one another where they share a band. A leader with
 many followers meets them in several shares; if some of those don't match it, all
-of its followers are sketched again, with more and far stricter bands, whose
-buckets are small unless their texts are near copies.
+of its followers are joined again by their rarest runs: in any one order of all
+runs, similar texts have one in common among their first fifth (a proof, not a
+probability), and with frequent runs last, texts that share no more than a template
+meet nowhere. Leaders of those buckets that still part classes in several shares
+have them compared share against share. So every pair of texts that agree on a band
+is compared, or in one class already.
 
 Exact copies are one text from the start. Links become classes by alternating
 large-star and small-star steps over joins.
@@ -28,6 +32,7 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_left
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,8 +47,8 @@ from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash, trim
 SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 4, 0.8
 #: Followers of a leader that meet in one place.
 SHARE = 200
-#: Bands and keys a band of the second sketch.
-STRICT = (64, 8)
+#: Slots in which a task counts runs, those that it tells, and those that order runs.
+SLOTS, TOLD, FREQUENT = 1 << 20, 4096, 1 << 16
 
 
 def labelled(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +107,53 @@ def bands_of(text: Column, bands: int = BANDS, least: int = LEAST) -> Column:
     return arrow_udf(lambda t: _bands(t, bands, least), "array<bigint>")(text)
 
 
+def slots_of(keys: np.ndarray) -> np.ndarray:
+    return (keys % U64(SLOTS)).astype(np.int64)
+
+
+def frequent_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(slots, counts) of the most frequent runs, about; they only order runs, so any answer is right."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for _, _, data, bounds in chunks(batch.column(0)):
+                n += np.bincount(slots_of(labelled(Words(data, bounds))[0]), minlength=SLOTS)
+        at = np.argpartition(n, -TOLD)[-TOLD:]
+        at = at[n[at] > 1]
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+
+    told = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    rows = told.orderBy(F.desc("n"), "slot").limit(FREQUENT).collect()
+    return np.array([r.slot for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+
+
+def rarest_of(text: Column, slots: np.ndarray, counts: np.ndarray) -> Column:
+    """The runs of each text, rarest first, as many as any text that is similar must have one of.
+
+    Of texts of a and b runs with m in common, m / (a + b - m) >= SIMILAR makes m >= SIMILAR * a; of the
+    m runs the first in the order of all runs has m - 1 after it, so it is among the first a - m + 1.
+    """
+
+    def run(column: pa.Array) -> pa.Array:
+        rank = np.zeros(SLOTS, np.int64)
+        rank[slots] = counts
+        flat, sizes = [np.zeros(0, U64)], []
+        for lo, hi, data, bounds in chunks(column):
+            keys, at = labelled(Words(data, bounds))
+            for i in range(hi - lo):
+                own = keys[at[i] : at[i + 1]]
+                many = len(own) - math.ceil(SIMILAR * len(own) - 1e-6) + 1 if len(own) else 0
+                flat.append(own[np.lexsort((own, rank[slots_of(own)]))[:many]])
+                sizes.append(many)
+        trim()
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat).view(np.int64)))
+
+    return arrow_udf(run, "array<bigint>")(text)
+
+
 def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
     """Ordered similarity of two texts' labelled runs; 0 where it is below `least`."""
     order = np.argsort(a)
@@ -137,7 +189,10 @@ def match(places: np.ndarray, total: int, least: float) -> float:
 
 
 def verify(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a forest that joins a leader's followers in one share as their similar pairs do, beyond the classes (`top`) that they are in already."""
+    """Links of a forest that joins a leader's followers in one share as their similar pairs do, beyond the classes (`top`) that they are in already.
+
+    Where two shares meet (side 0 and 1), only pairs across are compared.
+    """
     group = group.drop_duplicates("tk").reset_index(drop=True)
     w = [(lo, labelled(Words(d, b))) for lo, _, d, b in chunks(pa.array(group["text"], pa.string()))]
     keys = [k[at[i] : at[i + 1]] for _, (k, at) in w for i in range(len(at) - 1)]
@@ -163,10 +218,19 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
         against(int(lead[0]), [j for j in range(len(group)) if j != lead[0]])
     rest = [j for j in range(len(group)) if not len(lead) or root(j) != root(int(lead[0]))]
     if len(rest) > 1 or (rest and len(group) > 2):
-        marks = np.stack(group["bands"])
+        lengths = [len(b) for b in group["bands"]]
+        owner = np.repeat(np.arange(len(group)), lengths)
+        mark = np.unique(np.concatenate(list(group["bands"])), return_inverse=True)[1]
+        at = np.split(mark, np.cumsum(lengths)[:-1])
+        order = np.argsort(mark, kind="stable")
+        having = np.split(owner[order], np.cumsum(np.bincount(mark))[:-1])
+        side = group["side"].to_numpy()
+        across = (side == 1).any()
         for i in rest:
-            shared = np.flatnonzero((marks == marks[i]).any(axis=1))
-            against(i, [int(j) for j in shared if j != i])
+            if across and side[i]:
+                continue
+            shared = np.unique(np.concatenate([having[k] for k in at[i]])) if len(at[i]) else []
+            against(i, [int(j) for j in shared if j != i and (side[j] or not across)])
     # every class that has grown is told as a star about its least key
     least: dict[int, bytes] = {}
     for i, tk in enumerate(group["tk"]):
@@ -194,7 +258,7 @@ def classes(links: DataFrame) -> DataFrame:
 
 def pairs_of(of: DataFrame) -> DataFrame:
     """(tk, leader) of texts (tk, bands, top) for each bucket that holds more than one class so far."""
-    marks = of.select("tk", "top", F.posexplode("bands").alias("band", "mark")).select("tk", "top", F.xxhash64("band", "mark").alias("mark"))
+    marks = of.select("tk", "top", F.explode("bands").alias("mark"))
     leaders = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("mark", "leader")
     return keep(marks.join(leaders, "mark").where("tk <> leader").select("tk", "leader").distinct(), "pairs")
 
@@ -203,14 +267,39 @@ def shares_of(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
 
 
-def verified(texts: DataFrame, of: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Links of pairs (tk, leader). texts: own, tk, text; of: tk, id, top and bands of each text, for which the row of texts with that id stands."""
+def led(pairs: DataFrame) -> DataFrame:
+    """Meetings (tk, leader, share, other, side) of leaders with their followers, a share at a time."""
     size = shares_of(pairs)
     meet = pairs.join(size, "leader").select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
     meet = meet.unionByName(size.select(F.col("leader").alias("tk"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
+    return meet.select("tk", "leader", "share", F.lit(-1).alias("other"), F.lit(0).alias("side"))
+
+
+def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
+    """Pairs (tk, leader, top, led: the leader's class) of leaders that have several shares of followers, some of them in another class."""
+    crowded = pairs.join(shares_of(pairs).where("shares > 1").select("leader"), "leader")
+    low, high = tops.select(F.col("node").alias("tk"), F.col("top").alias("own_top")), tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
+    known = keep(crowded.join(low, "tk", "left").join(high, "leader", "left").select("tk", "leader", F.coalesce("own_top", "tk").alias("top"), F.coalesce("led", "leader").alias("led")), "crowded")
+    return known.join(known.where("top <> led").select("leader").distinct(), "leader", "left_semi")
+
+
+def across(known: DataFrame) -> DataFrame:
+    """Meetings of each share of the followers that are in another class than their leader with each share of all (share against share; other is below 0 for those of the leader's class)."""
+    size = known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("n"))
+    dealt = known.join(size, "leader")
+    deal = lambda k: F.pmod(F.xxhash64(F.lit(1), "tk"), F.col(k)).cast("int")
+    to = lambda k: F.explode(F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1))).alias("k")
+    out, same = dealt.where("top <> led").withColumn("own", deal("m")), dealt.where("top = led").withColumn("own", deal("n"))
+    meet = out.select("tk", "leader", "own", to("m")).select("tk", "leader", F.least("own", "k").alias("share"), F.greatest("own", "k").alias("other"), (F.col("own") > F.col("k")).cast("int").alias("side"))
+    meet = meet.unionByName(out.select("tk", "leader", F.col("own").alias("share"), to("n")).select("tk", "leader", "share", (-1 - F.col("k")).alias("other"), F.lit(0).alias("side")))
+    return meet.unionByName(same.select("tk", "leader", "own", to("m")).select("tk", "leader", F.col("k").alias("share"), (-1 - F.col("own")).alias("other"), F.lit(1).alias("side")))
+
+
+def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
+    """Links found in meetings. texts: own, tk, text; of: tk, id, top and bands of each text, for which the row of texts with that id stands."""
     meet = keep(meet.join(of, "tk"), "meetings")
-    there = texts.join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "tk", "top", "text", "bands")
-    return keep(there.groupBy("leader", "share").applyInPandas(verify, "a binary, b binary"), "similar")
+    there = texts.join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "other", "side", "tk", "top", "text", "bands")
+    return keep(there.groupBy("leader", "share", "other").applyInPandas(verify, "a binary, b binary"), "similar")
 
 
 #: Keys of texts that may be broadcast.
@@ -223,26 +312,27 @@ def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[Data
     base = keep(texts.select(F.col("own").alias("id"), "tk", bands_of(F.col("text")).alias("bands")), "bands")
     of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top")), "texts")
     pairs = pairs_of(of)
-    links = verified(texts, of, pairs)
+    links = verified(texts, of, led(pairs))
     tops = classes(links)
-    # leaders with several shares of followers, some of them in another class
-    crowded = shares_of(pairs).where("shares > 1")
-    if crowded.isEmpty():
-        return base, tops
-    crowded = keep(pairs.join(crowded, "leader"), "crowded")
-    low, high = tops.select(F.col("node").alias("tk"), F.col("top").alias("own_top")), tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
-    known = keep(crowded.join(low, "tk", "left").join(high, "leader", "left").select("tk", "leader", F.coalesce("own_top", "tk").alias("top"), F.coalesce("led", "leader").alias("led")), "crowded")
-    apart = known.where("top <> led").select("leader").distinct()
-    again = keep(known.join(apart, "leader", "left_semi").select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
+    again = keep(apart(pairs, tops).select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
     n = again.count()
     if not n:
         return base, tops
     some = texts.join(F.broadcast(again) if n <= FEW else again, "tk").where(F.col("own").eqNullSafe(F.col("id")))
-    strict = keep(some.dropDuplicates(["tk"]).select("tk", "id", "top", "text", bands_of(F.col("text"), *STRICT).alias("bands")), "strict")
-    more = verified(strict.select("tk", F.col("id").alias("own"), "text"), strict.drop("text"), pairs_of(strict))
-    if more.isEmpty():
+    some = keep(some.dropDuplicates(["tk"]).select("tk", "id", "top", "text"), "some")
+    rare = keep(some.select("*", rarest_of(F.col("text"), *frequent_slots(some)).alias("bands")), "rarest")
+    own, of = rare.select("tk", F.col("id").alias("own"), "text"), rare.drop("text")
+    pairs = pairs_of(of)
+    more = verified(own, of, led(pairs))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        tops = classes(links)
+    known = apart(pairs, tops)
+    if known.isEmpty():
         return base, tops
-    return base, classes(links.unionByName(more))
+    now = of.drop("top").join(tops, of.tk == tops.node, "left").select("tk", "id", "bands", F.coalesce("top", "tk").alias("top"))
+    more = verified(own, now, across(known))
+    return base, tops if more.isEmpty() else classes(links.unionByName(more))
 
 
 def with_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

@@ -171,6 +171,18 @@ def test_links_across_shares_of_a_crowded_leader(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == brute.classes(rows)
 
 
+def test_near_copies_among_crowded_strangers(spark, monkeypatch):
+    """With one band that all texts agree on, every pair shares a band and one leader has all followers: all similar pairs must be found."""
+    monkeypatch.setattr(near_copies, "SHARE", 4)
+    monkeypatch.setattr(near_copies, "bands_of", lambda *_: F.array(F.lit(1).cast("long")))
+    rows = [(i, " ".join([f"c{k}" for k in range(170)] + [f"u{i}x{k}" for k in range(60)])) for i in range(30)]
+    rows += [(100 + i, " ".join([*rows[i][1].split()[:-1], f"z{i}"])) for i in range(0, 30, 2)]
+    got = {r.id: r.class_id for r in near_copies.with_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute.classes(rows)
+    assert len(set(want)) == 30
+    assert [got[d] for d, _ in rows] == want
+
+
 def test_near_copies_awkward(spark):
     rows, df = awkward(spark)
     got = sorted((str(r.id), str(r.class_id)) for r in near_copies.with_classes(df).collect())
