@@ -6,8 +6,8 @@ MEMBERS ids; a hidden layer adds an embedding for each of the four places, and t
 softmax layers give the class of the word and its member within the class. A
 document's score is the sum of its words' conditional log probabilities.
 
-Training covers all texts. In each round every task trains its own copy of the
-network on its share of the round's runs of texts, all copies start from the same
+Training covers all texts; a hash of the text says in which round. In each round
+every task trains its own copy of the network on its texts of the round, all copies start from the same
 weights, and the next round starts from their mean, weighted by words. Copies are
 averaged in slices of the weights, first among some tasks and then over all, so
 no task and not the driver holds more than about the square root of their number.
@@ -118,17 +118,13 @@ def windows(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.stack([padded[place + k] for k in PLACES]), ids, w.first
 
 
-def train(weights: np.ndarray, turn: int, rounds: int):
-    """Rows (task, slice, words, values) of a copy trained on the task's runs of texts of this turn."""
+def train(weights: np.ndarray):
+    """Rows (task, slice, words, values) of a copy trained on the task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, gain, seen = Network(weights.copy()), np.full(SIZE, 1e-6, np.float32), 0
-        n = 0
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0), 1 << 20):
-                n += 1
-                if n % rounds != turn:
-                    continue
                 around, ids, _ = windows(data, bounds)
                 for at in range(0, len(ids), BATCH):
                     grad = Network(np.zeros(SIZE, np.float32))
@@ -162,7 +158,7 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS) -> np.ndarray
     texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
     weights = Network.start()
     for turn in range(rounds):
-        copies = texts.mapInArrow(train(weights, turn, rounds), KIND)
+        copies = texts.where(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).mapInArrow(train(weights), KIND)
         salts = max(1, math.isqrt(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         some = copies.groupBy("slice", F.pmod(F.col("task"), F.lit(salts)).alias("salt")).applyInPandas(mean, KIND)
         parts = {r["slice"]: r["part"] for r in some.groupBy("slice").applyInPandas(mean, KIND).select("slice", "part").collect()}

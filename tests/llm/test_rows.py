@@ -344,6 +344,14 @@ def test_gradient():
         assert abs((near[0] - near[1]) / 2e-5 - grad.flat[i]) < 1e-6
 
 
+def test_every_round_trains_on_small_partitions(spark, monkeypatch):
+    starts, train = [], pseudo_likelihood.train
+    monkeypatch.setattr(pseudo_likelihood, "train", lambda weights, *a: (starts.append(weights), train(weights, *a))[1])
+    docs = spark.createDataFrame([(i, f"some words of text {i} that is short") for i in range(40)], "doc_id long, text string").repartition(4)
+    weights = pseudo_likelihood.fit(docs)
+    assert len(starts) == 2 and (starts[1] != starts[0]).any() and (weights != starts[1]).any()
+
+
 def test_pseudo_likelihood(spark):
     rng = random.Random(4)
     after = {f"w{i}": [f"w{(i * 7 + k) % 50}" for k in range(2)] for i in range(50)}
