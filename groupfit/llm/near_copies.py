@@ -4,22 +4,26 @@ Texts are sequences of overlapping runs of five words, each labelled with how
 often it occurred before in the text. A band hashes all labelled runs with its
 own function, takes the LEAST smallest and keeps them in text order: texts agree
 on a band with a probability that follows their edit similarity, not only their
-sets. Every text of a bucket is a candidate to the bucket's leader (its least
-key), so a bucket gives no more candidates than it has texts. Candidates are
-verified where the leader and its followers meet: common runs are aligned within
-the band of diagonals that the similarity allows, the longest common subsequence
-m gives m / (a + b - m) for texts of a and b runs, and followers that don't match
-the leader are compared with one another where they share a band. A leader with
-many followers meets them in several shares; if some of those don't match it, all
-of its followers are joined again by their rarest runs: in any one order of all
-runs, similar texts have one in common among their first fifth (a proof, not a
-probability), and with frequent runs last, texts that share no more than a template
-meet nowhere. Leaders of those buckets that still part classes in several shares
-have them compared share against share. So every pair of texts that agree on a band
-is compared, or in one class already.
+sets. Texts of fewer than SHORT words, where one other word spoils most runs, have
+as many bands again of one run each. Every text of a bucket is a candidate to the
+bucket's leader (its least key), so a bucket gives no more candidates than it has
+texts. Candidates are verified where the leader and its followers meet, by
+alignment of their words: two texts of a and b words are similar if e edits (words
+put in, left out or replaced) make one the other and 1 - e / max(a, b) >= SIMILAR;
+e is found in a band of diagonals, which widens up to what the similarity allows.
+Followers that don't match the leader are compared with one another where they
+share a band. A leader with many followers meets them in several shares; if some of
+those don't match it, all of its followers are joined again by their rarest words:
+in any one order of all words, similar texts have one in common among their first
+fifth (a proof, not a probability), and with frequent words last, texts that share
+no more than a template meet nowhere. Leaders of those buckets that still part
+classes in several shares have them compared share against share. So every pair of
+texts that agree on a band is compared, or in one class already.
 
 Exact copies are one text from the start. Links become classes by alternating
-large-star and small-star steps over joins.
+large-star and small-star steps over joins. Keys that hold many rows (a text with
+very many copies, the centre of a large class) are found by their counts, at most
+2 * HOT of them, and their side is broadcast, so their rows stay where they are.
 
 Cases: a null text counts as empty; all texts without words, equal byte for
 byte, are copies of one another; a text of fewer than five words is one run;
@@ -31,7 +35,6 @@ class has a null id only if all its ids are null.
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,11 +47,15 @@ from pyspark.sql.functions import arrow_udf
 from .storage import documents, free_name, keep
 from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash, trim
 
-SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 4, 0.8
+SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
+#: Texts of fewer words have bands of one run, too.
+SHORT = 40
 #: Followers of a leader that meet in one place.
 SHARE = 200
-#: Slots in which a task counts runs, those that it tells, and those that order runs.
+#: Slots in which a task counts words, those that it tells, and those that order words.
 SLOTS, TOLD, FREQUENT = 1 << 20, 4096, 1 << 16
+#: A key is hot from 1 / HOT of all rows on.
+HOT = 2000
 
 
 def labelled(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -73,9 +80,9 @@ def labelled(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return mix(keys + nth.astype(U64) * U64(0x9E3779B97F4A7C15)), at
 
 
-def sketch(keys: np.ndarray, bands: int, least: int) -> np.ndarray:
+def sketch(keys: np.ndarray, bands: int, least: int, seed: int = 20) -> np.ndarray:
     """A number for each band: the band's `least` smallest keys, hashed in text order."""
-    rng = np.random.default_rng(20)
+    rng = np.random.default_rng(seed)
     flip, odd = rng.integers(0, 2**64, bands, U64), rng.integers(0, 2**64, bands, U64) | U64(1)
     least = min(least, len(keys))
     if len(keys) > 20_000:
@@ -90,17 +97,23 @@ def sketch(keys: np.ndarray, bands: int, least: int) -> np.ndarray:
 
 
 def _bands(text: pa.Array, bands: int, least: int) -> pa.Array:
-    flat, sizes = [], []
+    flat, sizes = [np.zeros(0, np.int64)], []
     for lo, hi, data, bounds in chunks(text):
-        keys, at = labelled(Words(data, bounds))
+        w = Words(data, bounds)
+        keys, at = labelled(w)
+        words = np.diff(w.first)
         for i in range(hi - lo):
             own = keys[at[i] : at[i + 1]]
-            sizes.append(bands if len(own) else 0)
+            sizes.append(0)
             if len(own):
                 flat.append(sketch(own, bands, least))
+                sizes[-1] = bands
+                if words[i] < SHORT:
+                    flat.append(sketch(own, bands, 1, 21))
+                    sizes[-1] += bands
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     trim()
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat)))
 
 
 def bands_of(text: Column, bands: int = BANDS, least: int = LEAST) -> Column:
@@ -112,13 +125,13 @@ def slots_of(keys: np.ndarray) -> np.ndarray:
 
 
 def frequent_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, counts) of the most frequent runs, about; they only order runs, so any answer is right."""
+    """(slots, counts) of the most frequent labelled words, about; they only order words, so any answer is right."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
-                n += np.bincount(slots_of(labelled(Words(data, bounds))[0]), minlength=SLOTS)
+                n += np.bincount(slots_of(labelled(Words(data, bounds), 1)[0]), minlength=SLOTS)
         at = np.argpartition(n, -TOLD)[-TOLD:]
         at = at[n[at] > 1]
         trim()
@@ -130,10 +143,11 @@ def frequent_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def rarest_of(text: Column, slots: np.ndarray, counts: np.ndarray) -> Column:
-    """The runs of each text, rarest first, as many as any text that is similar must have one of.
+    """The labelled words of each text, rarest first, as many as any text that is similar must have one of.
 
-    Of texts of a and b runs with m in common, m / (a + b - m) >= SIMILAR makes m >= SIMILAR * a; of the
-    m runs the first in the order of all runs has m - 1 after it, so it is among the first a - m + 1.
+    Texts of a and b words that e edits make equal have max(a, b) - e labelled words in common at least, so
+    similar ones have m >= SIMILAR * a; of these the first in the order of all words has m - 1 after it, so it
+    is among the first a - m + 1.
     """
 
     def run(column: pa.Array) -> pa.Array:
@@ -141,7 +155,7 @@ def rarest_of(text: Column, slots: np.ndarray, counts: np.ndarray) -> Column:
         rank[slots] = counts
         flat, sizes = [np.zeros(0, U64)], []
         for lo, hi, data, bounds in chunks(column):
-            keys, at = labelled(Words(data, bounds))
+            keys, at = labelled(Words(data, bounds), 1)
             for i in range(hi - lo):
                 own = keys[at[i] : at[i + 1]]
                 many = len(own) - math.ceil(SIMILAR * len(own) - 1e-6) + 1 if len(own) else 0
@@ -154,38 +168,102 @@ def rarest_of(text: Column, slots: np.ndarray, counts: np.ndarray) -> Column:
     return arrow_udf(run, "array<bigint>")(text)
 
 
-def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILAR) -> float:
-    """Ordered similarity of two texts' labelled runs; 0 where it is below `least`."""
-    order = np.argsort(a)
-    return aligned(order, a[order], len(a), b, least)
-
-
-def aligned(order: np.ndarray, known: np.ndarray, n: int, b: np.ndarray, least: float) -> float:
-    """`similarity` of a text whose sorted keys are `known` (of the places `order`) and the text b."""
-    m = len(b)
-    if not n or not m or min(n, m) < least * max(n, m):
-        return 0.0
-    at = np.minimum(np.searchsorted(known, b), n - 1)
-    found = np.flatnonzero(known[at] == b)
-    if len(found) < least * (n + m - len(found)):
-        return 0.0
-    there = order[at[found]]
-    band = math.floor((n + m) * (1 - least) / (1 + least)) + 1
-    near = np.abs(there - found) <= band
-    return match(there[near], n + m, least)
-
-
-def match(places: np.ndarray, total: int, least: float) -> float:
-    """Places in one text of the common runs, in the other's order: similarity from the longest increasing part."""
-    common = len(places)
-    if common and (np.diff(places) < 0).any():
-        tails: list[int] = []
-        for x in places.tolist():
-            k = bisect_left(tails, x)
-            tails[k : k + 1] = [x]
-        common = len(tails)
-    value = common / (total - common) if total > common else 1.0
-    return value if value >= least else 0.0
+def allowed(longer: int) -> int:
+    """Edits that leave a text of so many words similar to one that isn't longer."""
+    return math.floor(longer * (1 - SIMILAR) + 1e-9)
+
+
+def edits(a: list, b: list, most: int) -> int | None:
+    """Least number of items put in, left out or replaced that makes a into b, None above `most`. The band is narrow first."""
+    d = max(16, abs(len(a) - len(b)))
+    while True:
+        d = min(d, most)
+        found = in_band(a, b, d)
+        if found <= d:
+            return found
+        if d >= most:
+            return None
+        d *= 4
+
+
+def in_band(a: list, b: list, d: int) -> int:
+    """Edit distance of a and b over paths within d of the diagonal, a column (an item of b) at a time: differences down the column are bits of whole numbers."""
+    if len(a) < len(b):
+        a, b = b, a
+    n = len(a)
+    if n - len(b) > d:
+        return d + 1
+    d = min(d, n)
+    places: dict = {}
+    for i, x in enumerate(a):
+        places.setdefault(x, []).append(i)
+    held: dict = {}
+    width = 2 * d + 1
+    whole, top = (1 << width) - 1, 1 << (width - 1)
+    up, down = ((1 << (d + 1)) - 1) << d, 0
+    cost, last = d, top >> 1
+    for j, x in enumerate(b):
+        # bit r stands for item j - d + r of a
+        low = j - d
+        own = places.get(x)
+        if own is None:
+            here = 0
+        else:
+            bits, base, nth = held.get(x, (0, low, 0))
+            bits >>= low - base
+            while nth < len(own) and own[nth] <= j + d:
+                if own[nth] >= low:
+                    bits |= 1 << (own[nth] - low)
+                nth += 1
+            held[x] = bits, low, nth
+            here = bits
+        same = ((((here & up) + up) ^ up) | here | down) & whole
+        right = (down | ~(same | up)) & whole
+        left = same & up
+        if j < n - d:
+            cost += not same & top
+        else:
+            cost += bool(right & last) - bool(left & last)
+            last >>= 1
+        moved = same >> 1
+        up = (left | ~(moved | right)) & whole
+        down = moved & right
+    return cost
+
+
+class Text:
+    """The words of one text, as numbers, and in order with their labels."""
+
+    __slots__ = ("known", "words")
+
+    def __init__(self, words: np.ndarray, labels: np.ndarray):
+        self.words, self.known = words, np.sort(labels)
+
+    def similar(self, other: Text) -> bool:
+        a, b = self.words, other.words
+        n, m = len(a), len(b)
+        most = allowed(max(n, m))
+        if not n or not m or abs(n - m) > most:
+            return False
+        few, many = (self.known, other.known) if n <= m else (other.known, self.known)
+        at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+        if max(n, m) - int((many[at] == few).sum()) > most:
+            return False
+        short = min(n, m)
+        apart = np.flatnonzero(a[:short] != b[:short])
+        head = int(apart[0]) if len(apart) else short
+        apart = np.flatnonzero(a[n - short + head :][::-1] != b[m - short + head :][::-1])
+        tail = int(apart[0]) if len(apart) else short - head
+        return edits(a[head : n - tail].tolist(), b[head : m - tail].tolist(), most) is not None
+
+
+def texts_of(column: pa.Array) -> list[Text]:
+    out = []
+    for lo, hi, data, bounds in chunks(column):
+        w = Words(data, bounds)
+        keys, at = labelled(w, 1)
+        out += [Text(w.hashes[w.first[i] : w.first[i + 1]], keys[at[i] : at[i + 1]]) for i in range(hi - lo)]
+    return out
 
 
 def verify(group: pd.DataFrame) -> pd.DataFrame:
@@ -194,8 +272,7 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
     Where two shares meet (side 0 and 1), only pairs across are compared.
     """
     group = group.drop_duplicates("tk").reset_index(drop=True)
-    w = [(lo, labelled(Words(d, b))) for lo, _, d, b in chunks(pa.array(group["text"], pa.string()))]
-    keys = [k[at[i] : at[i + 1]] for _, (k, at) in w for i in range(len(at) - 1)]
+    texts = texts_of(pa.array(group["text"], pa.string()))
     lead = group.index[group["tk"] == group["leader"]]
     known_as: dict[bytes, int] = {}
     top = [known_as.setdefault(t, i) for i, t in enumerate(group["top"])]
@@ -207,10 +284,8 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
         return i
 
     def against(i: int, others) -> None:
-        order = np.argsort(keys[i])
-        known = keys[i][order]
         for j in others:
-            if root(i) != root(j) and aligned(order, known, len(known), keys[j], SIMILAR):
+            if root(i) != root(j) and texts[i].similar(texts[j]):
                 joined.append((i, j))
                 top[root(j)] = root(i)
 
@@ -240,107 +315,132 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"])
 
 
+def by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """`rows` (`total` of them) joined to `table`: one row for each key, and how many of `rows` have it as `n`. Hot keys, no more than HOT by their counts, are broadcast."""
+    least = max(1000, total // HOT)
+    hot, cold = table.where(F.col("n") > least).drop("n"), table.where(F.col("n") <= least).drop("n")
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def classes(links: DataFrame) -> DataFrame:
     """(node, top): the least node that links join each node to; nodes without links are absent."""
+    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
+    before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = by_key(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # a node has few smaller neighbours: it was told of one for each group that it met others in
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state(new) == state(edges):
+        after = state(new)
+        if after == before:
             return new.select(F.col("u").alias("node"), F.col("v").alias("top"))
-        edges = new
+        edges, before = new, after
 
 
 def pairs_of(of: DataFrame) -> DataFrame:
     """(tk, leader) of texts (tk, bands, top) for each bucket that holds more than one class so far."""
     marks = of.select("tk", "top", F.explode("bands").alias("mark"))
-    leaders = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high")).where("low <> high").select("mark", "leader")
-    return keep(marks.join(leaders, "mark").where("tk <> leader").select("tk", "leader").distinct(), "pairs")
+    buckets = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("n"))
+    buckets = keep(buckets.where("low <> high").select("mark", "leader", "n"), "buckets")
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return keep(by_key(marks.drop("top"), buckets, "mark", total).where("tk <> leader").select("tk", "leader").distinct(), "pairs")
 
 
 def shares_of(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"))
+    return pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"), F.count("*").alias("n"))
 
 
 def led(pairs: DataFrame) -> DataFrame:
     """Meetings (tk, leader, share, other, side) of leaders with their followers, a share at a time."""
     size = shares_of(pairs)
-    meet = pairs.join(size, "leader").select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
+    meet = by_key(pairs, size, "leader", pairs.count()).select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
     meet = meet.unionByName(size.select(F.col("leader").alias("tk"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
     return meet.select("tk", "leader", "share", F.lit(-1).alias("other"), F.lit(0).alias("side"))
 
 
 def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     """Pairs (tk, leader, top, led: the leader's class) of leaders that have several shares of followers, some of them in another class."""
-    crowded = pairs.join(shares_of(pairs).where("shares > 1").select("leader"), "leader")
-    low, high = tops.select(F.col("node").alias("tk"), F.col("top").alias("own_top")), tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
-    known = keep(crowded.join(low, "tk", "left").join(high, "leader", "left").select("tk", "leader", F.coalesce("own_top", "tk").alias("top"), F.coalesce("led", "leader").alias("led")), "crowded")
-    return known.join(known.where("top <> led").select("leader").distinct(), "leader", "left_semi")
+    own = tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
+    leaders = keep(shares_of(pairs).where("shares > 1").join(own, "leader", "left").select("leader", "n", F.coalesce("led", "leader").alias("led")), "crowds")
+    total = pairs.count()
+    of = tops.select(F.col("node").alias("tk"), "top")
+    known = keep(by_key(pairs, leaders, "leader", total).join(of, "tk", "left").select("tk", "leader", F.coalesce("top", "tk").alias("top"), "led"), "crowded")
+    parted = known.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(F.col("top") != F.col("led")).alias("out")).where("out > 0").select("leader", "n")
+    return by_key(known, parted, "leader", total)
 
 
 def across(known: DataFrame) -> DataFrame:
     """Meetings of each share of the followers that are in another class than their leader with each share of all (share against share; other is below 0 for those of the leader's class)."""
-    size = known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("n"))
-    dealt = known.join(size, "leader")
+    size = known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("k"), F.count("*").alias("n"))
+    dealt = by_key(known, size, "leader", known.count())
     deal = lambda k: F.pmod(F.xxhash64(F.lit(1), "tk"), F.col(k)).cast("int")
-    to = lambda k: F.explode(F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1))).alias("k")
-    out, same = dealt.where("top <> led").withColumn("own", deal("m")), dealt.where("top = led").withColumn("own", deal("n"))
-    meet = out.select("tk", "leader", "own", to("m")).select("tk", "leader", F.least("own", "k").alias("share"), F.greatest("own", "k").alias("other"), (F.col("own") > F.col("k")).cast("int").alias("side"))
-    meet = meet.unionByName(out.select("tk", "leader", F.col("own").alias("share"), to("n")).select("tk", "leader", "share", (-1 - F.col("k")).alias("other"), F.lit(0).alias("side")))
-    return meet.unionByName(same.select("tk", "leader", "own", to("m")).select("tk", "leader", F.col("k").alias("share"), (-1 - F.col("own")).alias("other"), F.lit(1).alias("side")))
+    to = lambda k: F.explode(F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1))).alias("j")
+    out, same = dealt.where("top <> led").withColumn("own", deal("m")), dealt.where("top = led").withColumn("own", deal("k"))
+    meet = out.select("tk", "leader", "own", to("m")).select("tk", "leader", F.least("own", "j").alias("share"), F.greatest("own", "j").alias("other"), (F.col("own") > F.col("j")).cast("int").alias("side"))
+    meet = meet.unionByName(out.select("tk", "leader", F.col("own").alias("share"), to("k")).select("tk", "leader", "share", (-1 - F.col("j")).alias("other"), F.lit(0).alias("side")))
+    return meet.unionByName(same.select("tk", "leader", "own", to("m")).select("tk", "leader", F.col("j").alias("share"), (-1 - F.col("own")).alias("other"), F.lit(1).alias("side")))
 
 
-def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
-    """Links found in meetings. texts: own, tk, text; of: tk, id, top and bands of each text, for which the row of texts with that id stands."""
-    meet = keep(meet.join(of, "tk"), "meetings")
-    there = texts.join(meet, "tk").where(F.col("own").eqNullSafe(F.col("id"))).select("leader", "share", "other", "side", "tk", "top", "text", "bands")
-    return keep(there.groupBy("leader", "share", "other").applyInPandas(verify, "a binary, b binary"), "similar")
+#: Keys of texts that may be broadcast, and meetings of one text that are joined to one copy of it.
+FEW, MEETINGS = 100_000, 1000
+
+
+def wanted(texts: DataFrame, need: DataFrame) -> DataFrame:
+    """One row of `texts` (own, tk, text) for each of `need` (tk, id and other columns of its own), with those columns: copies don't travel."""
+    small = F.broadcast(need) if need.count() <= FEW else need
+    found = texts.withColumnRenamed("tk", "t").join(small, (F.col("t") == F.col("tk")) & F.col("own").eqNullSafe(F.col("id")))
+    return found.drop("t", "own").dropDuplicates(["tk"])
 
 
-#: Keys of texts that may be broadcast.
-FEW = 100_000
+def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
+    """Links found in meetings. texts: own, tk, text; of: tk, id, top and bands of each text, for which a row of texts with that id stands."""
+    meet = keep(meet, "meetings")
+    times = meet.groupBy("tk").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEETINGS).alias("times"))
+    need = keep(times.join(of.select("tk", "id", "top", "bands"), "tk"), "met")
+    salted = by_key(meet, need.select("tk", "n", "times"), "tk", meet.count()).withColumn("salt", F.pmod(F.xxhash64("leader", "share", "other"), F.col("times"))).drop("times")
+    there = wanted(texts, need).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times", "n")
+    there = there.join(salted, ["tk", "salt"]).select("leader", "share", "other", "side", "tk", "top", "text", "bands")
+    return keep(there.groupBy("leader", "share", "other").applyInPandas(verify, "a binary, b binary"), "similar")
 
 
-def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(base, tops): base has a row for each row of docs (id, tk: key of its text, bands); tops (node, top) are the classes of keys that similar pairs join."""
+def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base, of, tops): base has (id, tk: key of its text) of each row of docs, of (tk, n: its rows, id: the least) of each text; tops (node, top) are the classes of keys that similar pairs join."""
     texts = docs.select(docs[id_].alias("own"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
     base = keep(texts.select(F.col("own").alias("id"), "tk", bands_of(F.col("text")).alias("bands")), "bands")
-    of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top")), "texts")
+    of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top"), F.count("*").alias("n")), "texts")
     pairs = pairs_of(of)
     links = verified(texts, of, led(pairs))
     tops = classes(links)
     again = keep(apart(pairs, tops).select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
-    n = again.count()
-    if not n:
-        return base, tops
-    some = texts.join(F.broadcast(again) if n <= FEW else again, "tk").where(F.col("own").eqNullSafe(F.col("id")))
-    some = keep(some.dropDuplicates(["tk"]).select("tk", "id", "top", "text"), "some")
+    if again.isEmpty():
+        return base, of, tops
+    some = keep(wanted(texts, again).select("tk", "id", "top", "text"), "some")
     rare = keep(some.select("*", rarest_of(F.col("text"), *frequent_slots(some)).alias("bands")), "rarest")
-    own, of = rare.select("tk", F.col("id").alias("own"), "text"), rare.drop("text")
-    pairs = pairs_of(of)
-    more = verified(own, of, led(pairs))
+    own, crowd = rare.select("tk", F.col("id").alias("own"), "text"), rare.drop("text")
+    pairs = pairs_of(crowd)
+    more = verified(own, crowd, led(pairs))
     if not more.isEmpty():
         links = links.unionByName(more)
         tops = classes(links)
     known = apart(pairs, tops)
     if known.isEmpty():
-        return base, tops
-    now = of.drop("top").join(tops, of.tk == tops.node, "left").select("tk", "id", "bands", F.coalesce("top", "tk").alias("top"))
+        return base, of, tops
+    now = crowd.drop("top").join(tops, crowd.tk == tops.node, "left").select("tk", "id", "bands", F.coalesce("top", "tk").alias("top"))
     more = verified(own, now, across(known))
-    return base, tops if more.isEmpty() else classes(links.unionByName(more))
+    return base, of, tops if more.isEmpty() else classes(links.unionByName(more))
 
 
 def with_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, tk, top, class_id) for each row of docs: texts with the same `top` are one class, class_id is its least id."""
-    base, tops = find(docs, id_, text)
-    own = base.select("id", "tk").join(tops, base.tk == tops.node, "left").select("id", "tk", F.coalesce("top", "tk").alias("top"))
-    least = own.groupBy("top").agg(F.min("id").alias("class_id"))
-    return own.join(least, "top").select("id", "tk", "top", "class_id")
+    base, of, tops = find(docs, id_, text)
+    own = keep(of.drop("top").join(tops, of.tk == tops.node, "left").select("tk", "id", "n", F.coalesce("top", "tk").alias("top")), "tops")
+    least = own.groupBy("top").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    labels = keep(by_key(own.withColumnRenamed("n", "rows"), least, "top", own.count()).select("tk", "top", "class_id", F.col("rows").alias("n")), "labels")
+    return by_key(base.select("id", "tk"), labels, "tk", base.count()).select("id", "tk", "top", "class_id")
 
 
 def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
@@ -350,10 +450,10 @@ def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     found = keep(with_classes(docs, id_, text), "classes")
     best = found.groupBy("top").agg(F.min_by(F.struct("id", "tk"), F.struct(F.col("id").isNull(), "id", "tk")).alias("w"))
     many = found.groupBy("id", "tk").agg(F.count("*").alias("n"))
-    wanted = best.select("w.*").join(many.select(F.col("id").alias("i"), F.col("tk").alias("t"), "n"), (F.col("tk") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
-    wanted = keep(wanted.select(F.col("tk").alias(chosen), F.col("id").alias(own), F.col("n").alias(rows)), "kept")
+    chosen_ones = best.select("w.*").join(many.select(F.col("id").alias("i"), F.col("tk").alias("t"), "n"), (F.col("tk") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
+    chosen_ones = keep(chosen_ones.select(F.col("tk").alias(chosen), F.col("id").alias(own), F.col("n").alias(rows)), "kept")
     wide = docs.withColumn(tk, F.unhex(F.md5(F.coalesce(docs[text], F.lit("")))))
-    joined = wide.join(wanted, (wide[tk] == wanted[chosen]) & wide[id_].eqNullSafe(wanted[own]))
+    joined = wide.join(chosen_ones, (wide[tk] == chosen_ones[chosen]) & wide[id_].eqNullSafe(chosen_ones[own]))
     single = joined.where(F.col(rows) == 1).select(*[docs[c] for c in docs.columns])
     several = joined.where(F.col(rows) > 1).groupBy(tk, own).agg(F.first(F.struct(*[docs[c] for c in docs.columns])).alias(chosen)).select(f"{chosen}.*")
     return single.unionByName(several)

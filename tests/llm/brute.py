@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections import Counter
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 CODES = ("assign", "access", "hex")
 
@@ -26,28 +27,29 @@ def counts(text):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": sum(c in "#*$%&|<>" for c in text), "n_dup_lines": dup, "n_repeat_words": len(covered)}
 
 
-def labelled(text, n=5):
-    w, seen, out = words(text), Counter(), []
-    for i in range(max(1, len(w) - n + 1) if w else 0):
-        key = tuple(w[i : i + n])
-        out.append((key, seen[key]))
-        seen[key] += 1
-    return out
+def distance(a, b):
+    """Edit distance of two lists, in full: a row of the table at a time."""
+    number = {x: i for i, x in enumerate(dict.fromkeys([*a, *b]))}
+    there, place = np.array([number[x] for x in b], int), np.arange(len(b) + 1)
+    row = place.copy()
+    for i, x in enumerate(a):
+        new = np.append(i + 1, np.minimum(row[:-1] + (there != number[x]), row[1:] + 1))
+        row = np.minimum.accumulate(new - place) + place
+    return int(row[-1])
 
 
-def similarity(a, b):
-    at, tails = {k: i for i, k in enumerate(a)}, []
-    for k in b:
-        if k in at:
-            j = bisect.bisect_left(tails, at[k])
-            tails[j : j + 1] = [at[k]]
-    total = len(a) + len(b)
-    return len(tails) / (total - len(tails)) if a and b else 0.0
+def similar(a, b, least=0.8):
+    """Are two lists of words so alike? The first two tests only spare the table where no distance can be small enough."""
+    longer = max(len(a), len(b))
+    most = int(longer * (1 - least) + 1e-9)
+    if not a or not b or abs(len(a) - len(b)) > most or longer - (Counter(a) & Counter(b)).total() > most:
+        return False
+    return distance(a, b) <= most
 
 
 def classes(rows, least=0.8):
     """Class of each row (id, text): the least id among texts that chains of similar pairs join."""
-    runs = [labelled(t) for _, t in rows]
+    w = [words(t) for _, t in rows]
     top = list(range(len(rows)))
 
     def root(i):
@@ -57,8 +59,7 @@ def classes(rows, least=0.8):
 
     for i in range(len(rows)):
         for j in range(i):
-            same = (rows[i][1] or "") == (rows[j][1] or "")
-            if same or (runs[i] and runs[j] and similarity(runs[i], runs[j]) >= least):
+            if root(i) != root(j) and ((rows[i][1] or "") == (rows[j][1] or "") or similar(w[i], w[j], least)):
                 top[root(i)] = root(j)
     members = {}
     for i, (d, _) in enumerate(rows):
