@@ -8,14 +8,16 @@ minimiser: equal windows have equal minimisers, so one bucket sees all of them.
 There windows are sorted by hash and equal neighbours compared word by word.
 
 A task packs equal super-k-mers of its texts once, with their number. If there
-is more than one, all their windows are repeats and are reported at once;
-otherwise the one place travels along. A bucket thus gets no more than one copy
+is more than one (equal word by word), all their windows are repeats and are
+reported at once; otherwise the one place travels along. A bucket thus gets no more than one copy
 of a super-k-mer from each flush of a task, however often a passage occurs. The
-frequent runs that come last number at most 2 * SHARE by construction.
+frequent runs that come last number at most 2 * SHARE by construction. There is a
+bucket for each WORDS words of the corpus, so a bucket doesn't grow with it.
 
 Cases: a null or empty text has no words and no windows; texts shorter than a
 window keep all words; windows never cross texts; repeated rows are copies of one
-another, so all their windows are repeats; equal words are equal bytes; an empty
+another, so all their windows are repeats (their spans are the same, and travel as
+a set, so their number doesn't multiply); equal words are equal bytes; an empty
 table gives no rows; other columns pass through.
 """
 
@@ -40,10 +42,12 @@ SHARE = 50_000
 FLUSH = 6 << 20
 #: Windows in one super-k-mer at most: longer ones go as several.
 LONGEST = 4096
+#: Words of the corpus for which there is a bucket.
+WORDS = 2_000_000
 
 
-def frequent_runs(docs: DataFrame, run: int = RUN, share: int = SHARE) -> np.ndarray:
-    """Sorted hashes of the frequent runs, 2 * share at most, from all texts. A text run in few places of many tasks may be missed: that is a matter of balance alone."""
+def frequent_runs(docs: DataFrame, run: int = RUN, share: int = SHARE) -> tuple[np.ndarray, int]:
+    """(sorted hashes of the frequent runs, 2 * share at most, number of all runs), from all texts. A text run in few places of many tasks may be missed: that is a matter of balance alone."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +68,7 @@ def frequent_runs(docs: DataFrame, run: int = RUN, share: int = SHARE) -> np.nda
     seen = keep(docs.select("text").mapInArrow(count, "run long, n long").groupBy("run").agg(F.sum("n").alias("n")).where("run is null or n >= 16"), "frequent-runs")
     total = seen.where("run is null").agg(F.sum("n")).first()[0] or 0
     rows = seen.where(F.col("run").isNotNull() & (F.col("n") >= max(16, total / (2 * share)))).select("run").collect()
-    return np.sort(np.array([r[0] for r in rows], np.int64).view(U64))
+    return np.sort(np.array([r[0] for r in rows], np.int64).view(U64)), int(total)
 
 
 class Order:
@@ -134,6 +138,26 @@ def unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return *head, raw[8 + 16 * n :]
 
 
+def alike(h: np.ndarray, first: np.ndarray, words: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first place of each group, group of each place, size of each group) of equal sequences: h[first] to h[first + words - 1]. Equal keys propose, words decide."""
+    _, one, back, number = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    other = np.flatnonzero(one[back] != np.arange(len(first)))
+    if not len(other):
+        return one, back, number
+    rep = one[back[other]]
+    wrong = words[other] != words[rep]
+    size = np.where(wrong, 0, words[other])
+    differs = h[ragged(first[other], size)] != h[ragged(first[rep], size)]
+    wrong[np.repeat(np.arange(len(other)), size)[differs]] = True
+    if wrong.any():  # different words, one key: a group for each sequence
+        names: dict[tuple[int, bytes], int] = {}
+        for i in other[wrong].tolist():
+            name = int(back[i]), h[first[i] : first[i] + words[i]].tobytes()
+            back[i] = names.setdefault(name, len(number) + len(names))
+        _, one, back, number = np.unique(back, return_index=True, return_inverse=True, return_counts=True)
+    return one, back, number
+
+
 SENT = "bucket int, at_once boolean, docs binary, blob binary"
 
 
@@ -163,7 +187,7 @@ def sender(frequent: np.ndarray, buckets: int, window: int, run: int):
             return
         doc = w.text_of[first]
         begin = first - w.first[doc]
-        _, one, back, number = np.unique(words ^ mix(least), return_index=True, return_inverse=True, return_counts=True)
+        one, back, number = alike(w.hashes, first, length + window - 1, words ^ mix(least))
         rows = []
         # several equal ones: all their windows are repeats
         again = np.flatnonzero(number[back] > 1)
@@ -258,8 +282,8 @@ def counter(window: int):
 def repeated_spans(docs: DataFrame, window: int = WINDOW, run: int = RUN) -> DataFrame:
     """docs: k1, k2 (a text's key, two longs), text. Returns k1, k2, a, b: words a to b - 1 are covered by repeated windows; spans may overlap."""
     spark = docs.sparkSession
-    frequent = frequent_runs(docs, run)
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    frequent, total = frequent_runs(docs, run)
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // WORDS)
     sent = docs.select("k1", "k2", "text").mapInArrow(sender(frequent, buckets, window, run), SENT)
     return sent.groupBy("bucket").applyInPandas(counter(window), "k1 long, k2 long, a int, b int")
 
@@ -306,7 +330,7 @@ def remove_repeats(docs: DataFrame, id_: str = "doc_id", text: str = "text", win
     Spans find their text by the hashes of its id and of the text itself, so rows need not have different ids.
     """
     keyed = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text] or [F.lit(0).alias("none")]).alias("row"), F.xxhash64(docs[id_]).alias("k1"), F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("k2"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    spans = repeated_spans(keyed, window, run).groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(keyed, window, run).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     joined = keyed.join(spans, ["k1", "k2"], "left").select("text", "spans", "row")
     row = keyed.schema["row"].dataType.simpleString()
     return joined.mapInArrow(remover(), f"row {row}, kept string, n_words long, n_removed long")

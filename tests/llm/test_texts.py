@@ -129,10 +129,31 @@ def test_windows_with_equal_hashes_are_told_apart(monkeypatch):
     assert substrings.repeats(h, at, np.ones(7, np.int64), 2).tolist() == [True, False, False, True, False, True, True]
 
 
+def test_sequences_with_equal_keys_are_told_apart():
+    h = np.array([1, 2, 1, 2, 1, 3, 9, 1, 3], np.uint64)
+    first, words = np.array([0, 2, 4, 7, 5]), np.array([2, 2, 2, 2, 3])
+    one, back, number = substrings.alike(h, first, words, np.zeros(5, np.uint64))
+    assert sorted(number) == [1, 2, 2] and back[0] == back[1] and back[2] == back[3]
+    assert (back[one] == np.arange(3)).all()
+
+
+def test_many_repeated_rows(spark, monkeypatch):
+    """Spans of repeated rows don't multiply: one set of them for all rows."""
+    monkeypatch.setattr(substrings, "FLUSH", 20_000)
+    text = " ".join(f"w{k}" for k in range(100))
+    df = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    keyed = df.limit(3000).select(F.lit(1).cast("long").alias("k1"), F.lit(2).cast("long").alias("k2"), "text")
+    spans = substrings.repeated_spans(keyed).select("a", "b").distinct().collect()
+    assert {k for s in spans for k in range(s.a, s.b)} == set(range(100)) and len(spans) <= 100
+    out = substrings.remove_repeats(df).groupBy("n_words", "n_removed", "kept").count().collect()
+    assert [tuple(r) for r in out] == [(100, 100, "", 10_000)]
+
+
 def test_frequent_runs_come_last(spark):
     texts = [f"w{i} the very same words in all of them w{i} x{i} y{i} z{i}" for i in range(400)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    frequent = substrings.frequent_runs(df, 4, 100)
+    frequent, total = substrings.frequent_runs(df, 4, 100)
+    assert total == sum(len(brute.words(t)) - 3 for t in texts)
     assert 0 < len(frequent) <= 200
     order = substrings.Order(frequent)
     assert (order(frequent) >= 1 << 63).all() and (order(frequent + np.uint64(1)) < 1 << 63).all()
