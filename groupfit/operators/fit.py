@@ -76,21 +76,21 @@ class FitResult:
     @property
     def model(self) -> DataFrame:
         """group, intercept, coef, term_status, and first: the place of the group's first row."""
-        return self.fits.select("group", "intercept", "coef", F.col("status").alias("term_status"), "first")
+        return self.kept.select("group", "intercept", "coef", F.col("status").alias("term_status"), "first")
 
     @property
     def wide(self) -> DataFrame:
         """group, intercept and a column for each term."""
-        return self.fits.select("group", "intercept", *[F.col("coef")[k].alias(t) for k, t in enumerate(self.schema.terms)])
+        return self.kept.select("group", "intercept", *[F.col("coef")[k].alias(t) for k, t in enumerate(self.schema.terms)])
 
     @property
     def stats(self) -> DataFrame:
-        return self.fits.select("group", "rows", "df", "r2", "r2_status", "resid_sd", F.col("is_bound").alias("resid_sd_is_bound"), "cond", "pinned")
+        return self.kept.select("group", "rows", "df", "r2", "r2_status", "resid_sd", F.col("is_bound").alias("resid_sd_is_bound"), "cond", "pinned")
 
     @cached_property
     def summary(self) -> DataFrame:
         """One row over all groups."""
-        f = self.fits
+        f = self.kept
         return f.agg(
             F.count("*").alias("groups"),
             F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
@@ -107,7 +107,7 @@ class FitResult:
     def check(self) -> FitResult:
         """Raises FitError unless every group could be fitted. All groups are looked at before anything is written."""
         failed = F.col("failure")
-        got = self.fits.agg(
+        got = self.kept.agg(
             F.count("*").alias("groups"),
             F.sum("rows").alias("rows"),
             F.min_by(F.struct("group", failed.alias("failure")), F.when(failed.isNotNull(), F.col("first"))).alias("bad"),

@@ -2,25 +2,33 @@
 
 A state never holds rows. Up to SQL_TERMS terms the co-moments are built-in
 aggregates, which Spark computes before and after one exchange. Beyond that, and
-for factors, each task reduces its rows to one state a group, and states are
-merged in two steps, so a group that every task holds is not merged in one place
-from all of them at once.
+for factors, each task reduces its rows to one state a group, some CHUNK bytes of
+rows at a time and for all groups of them at once; it hands states on when they
+take HELD bytes, however many groups there are. States are merged in two steps, so
+a group that every task holds is not merged in one place from all of them at once,
+and a group at a time, in the order of their parts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, fields
 from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SQL_TERMS = 8
+#: Terms up to which built-in aggregates are used: beyond them their many buffers leave generated code, and Arrow batches are faster.
+SQL_TERMS = 2
+#: The same for a stream, whose state is kept by Spark as long as it is built in.
+STREAM_TERMS = 8
 #: Shares in which the states of one group are merged first.
 SALTS = 32
+#: Bytes of rows that are reduced at a time, and bytes of states that a task holds.
+CHUNK, HELD = 16 << 20, 64 << 20
 
 STATE = "group string, n long, bad long, mean array<double>, c array<double>, lo array<double>, hi array<double>, first long, part int"
 FACTOR = STATE.replace("c array<double>", "c array<double>, r array<double>, norm array<double>")
@@ -59,132 +67,212 @@ def by_sql(train: DataFrame, p: int) -> DataFrame:
     return agg.select("group", "n", "bad", arrays[0], F.array(*square).alias("c"), arrays[1], arrays[2], "first", F.lit(0).alias("part"))
 
 
-class State:
-    """Co-moments of a group, and its factor if that is wanted."""
+@dataclass
+class States:
+    """States of groups, one after another: a group's number, and sums over its rows (terms, then the response)."""
 
-    __slots__ = ("bad", "c", "first", "hi", "lo", "mean", "n", "norm", "r")
+    code: np.ndarray
+    n: np.ndarray
+    bad: np.ndarray
+    first: np.ndarray
+    mean: np.ndarray
+    c: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    r: np.ndarray | None = None
+    norm: np.ndarray | None = None
 
-    def __init__(self, width: int, factor: bool):
-        self.n, self.bad, self.first = 0, 0, 1 << 62
-        self.mean, self.c = np.zeros(width), np.zeros((width, width))
-        self.lo, self.hi = np.full(width, np.inf), np.full(width, -np.inf)
-        self.r = np.zeros((0, width + 1)) if factor else None
-        self.norm = np.zeros(width)
+    @property
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in self.columns() if x is not None)
 
-    def rows(self, v: np.ndarray, first: int) -> None:
-        """Adds rows of (terms, response)."""
-        fine = np.isfinite(v).all(axis=1)
-        self.bad += int((~fine).sum())
-        v = v[fine]
-        self.first = min(self.first, first)
-        if not len(v):
-            return
-        other = State(len(self.mean), False)
-        with np.errstate(all="ignore"):
-            # about the first row: a column that doesn't vary then has deviations of exactly 0
-            d = v - v[0]
-            shift = d.mean(axis=0)
-            d -= shift
-            other.n, other.mean, other.c = len(v), v[0] + shift, d.T @ d
-            other.lo, other.hi = v.min(axis=0), v.max(axis=0)
-            self._norms(np.hypot.reduce(v, axis=0))
-            if self.r is not None:
-                self.r = np.linalg.qr(np.vstack([self.r, np.column_stack([np.ones(len(v)), v])]), mode="r")
-        self._moments(other)
-
-    def merge(self, other: State) -> None:
-        self.bad += other.bad
-        self.first = min(self.first, other.first)
-        if not other.n:
-            return
-        self._norms(other.norm)
-        if self.r is not None:
-            self.r = np.linalg.qr(np.vstack([self.r, other.r]), mode="r")
-        self._moments(other)
-
-    def _norms(self, norm: np.ndarray) -> None:
-        self.norm = np.hypot(self.norm, norm)
-
-    def _moments(self, o: State) -> None:
-        total = self.n + o.n
-        with np.errstate(all="ignore"):
-            d = o.mean - self.mean if self.n else o.mean * 0.0
-            self.c = self.c + o.c + (np.outer(d, d) * (self.n * o.n / total) if self.n else 0.0)
-            self.mean = self.mean + d * (o.n / total) if self.n else o.mean
-        self.lo, self.hi, self.n = np.minimum(self.lo, o.lo), np.maximum(self.hi, o.hi), total
-        still = self.lo == self.hi
-        self.mean = np.where(still, self.lo, self.mean)
-        self.c[still, :], self.c[:, still] = 0.0, 0.0
-
-    def row(self, group: str | None, part: int) -> dict:
-        out = {"group": group, "n": self.n, "bad": self.bad, "mean": self.mean.tolist(), "c": self.c.ravel().tolist(), "lo": self.lo.tolist(), "hi": self.hi.tolist(), "first": self.first, "part": part}
-        if self.r is not None:
-            full = np.zeros((len(self.mean) + 1, len(self.mean) + 1))
-            full[: len(self.r)] = self.r
-            out |= {"r": full.ravel().tolist(), "norm": self.norm.tolist()}
-        return out
+    def columns(self) -> list[np.ndarray | None]:
+        return [getattr(self, f.name) for f in fields(self)]
 
     @classmethod
-    def read(cls, row, factor: bool) -> State:
-        out = cls(len(row["mean"]), factor)
-        w = len(row["mean"])
-        out.n, out.bad, out.first = int(row["n"]), int(row["bad"]), int(row["first"])
-        out.mean, out.c = np.array(row["mean"], float), np.array(row["c"], float).reshape(w, w)
-        out.lo, out.hi = np.array(row["lo"], float), np.array(row["hi"], float)
-        if factor:
-            out.r, out.norm = np.array(row["r"], float).reshape(w + 1, w + 1), np.array(row["norm"], float)
+    def joined(cls, parts: list[States]) -> States:
+        return cls(*[None if x[0] is None else np.concatenate(x) for x in zip(*[p.columns() for p in parts], strict=True)])
+
+    def settled(self) -> States:
+        """Columns that don't vary have exact means and sums of exactly 0."""
+        still = (self.lo == self.hi) & (self.n > 0)[:, None]
+        self.mean = np.where(still, self.lo, self.mean)
+        self.c[still] = 0.0
+        self.c.transpose(0, 2, 1)[still] = 0.0
+        return self
+
+
+def heads_of(code: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.diff(code, prepend=code[0] - 1)) if len(code) else np.zeros(0, np.int64)
+
+
+def reduced(code: np.ndarray, v: np.ndarray, at: np.ndarray, factor: bool) -> States:
+    """One state for each group of rows v (terms, response), which stand at places `at`."""
+    order = np.argsort(code, kind="stable")
+    code, v, at = code[order], v[order], at[order]
+    heads = heads_of(code)
+    names, first = code[heads], np.minimum.reduceat(at, heads)
+    rows = np.diff(np.append(heads, len(code)))
+    fine = np.isfinite(v).all(axis=1)
+    good = np.add.reduceat(fine, heads, dtype=np.int64)
+    w = v.shape[1]
+    out = States(names, good, rows - good, first, np.zeros((len(names), w)), np.zeros((len(names), w, w)), np.full((len(names), w), np.inf), np.full((len(names), w), -np.inf))
+    if factor:
+        out.r, out.norm = np.zeros((len(names), w + 1, w + 1)), np.zeros((len(names), w))
+    if not fine.all():
+        v = v[fine]
+    full = np.flatnonzero(good)
+    if not len(full):
         return out
+    heads, n = np.concatenate([[0], np.cumsum(good[full])[:-1]]), good[full]
+    with np.errstate(all="ignore"):
+        # about the first row: a column that doesn't vary then has deviations of exactly 0
+        d = v - np.repeat(v[heads], n, axis=0)
+        shift = np.add.reduceat(d, heads, axis=0) / n[:, None]
+        d -= np.repeat(shift, n, axis=0)
+        out.mean[full] = v[heads] + shift
+        out.lo[full], out.hi[full] = np.minimum.reduceat(v, heads, axis=0), np.maximum.reduceat(v, heads, axis=0)
+        ends = heads + n
+        if len(full) * w > len(v):  # few rows a group: products of rows, some at a time, added up by group
+            step = max(1, (CHUNK // 8) // (w * w))
+            lo = 0
+            while lo < len(full):
+                hi = max(lo + 1, int(np.searchsorted(ends, heads[lo] + step, "right")))
+                if hi == lo + 1:
+                    own = d[heads[lo] : ends[lo]]
+                    out.c[full[lo]] = own.T @ own
+                else:
+                    own = d[heads[lo] : ends[hi - 1]]
+                    out.c[full[lo:hi]] = np.add.reduceat(own[:, :, None] * own[:, None, :], heads[lo:hi] - heads[lo], axis=0)
+                lo = hi
+        else:
+            for k, a, b in zip(full.tolist(), heads.tolist(), ends.tolist(), strict=True):
+                out.c[k] = d[a:b].T @ d[a:b]
+        if factor:
+            for k, a, b in zip(full.tolist(), heads.tolist(), ends.tolist(), strict=True):
+                r = np.linalg.qr(np.column_stack([np.ones(b - a), v[a:b]]), mode="r")
+                out.r[k, : len(r)], out.norm[k] = r, np.hypot.reduce(v[a:b], axis=0)
+    return out.settled()
+
+
+def merged(s: States) -> States:
+    """One state for each group; states of a group are merged in the order in which they stand."""
+    order = np.lexsort((s.n == 0, s.code))
+    s = States(*[None if x is None else x[order] for x in s.columns()])
+    heads = heads_of(s.code)
+    if len(heads) == len(s.code):
+        return s
+    times = np.diff(np.append(heads, len(s.code)))
+    add = lambda x: np.add.reduceat(x, heads, axis=0)
+    n = add(s.n)
+    with np.errstate(all="ignore"):
+        weight = (s.n / np.repeat(np.maximum(n, 1), times))[:, None]
+        # states without rows have no mean; they come last, so a group's first mean is one of its rows'
+        apart = np.where((s.n > 0)[:, None], s.mean - np.repeat(s.mean[heads], times, axis=0), 0.0)
+        mean = s.mean[heads] + add(apart * weight)
+        apart = np.where((s.n > 0)[:, None], s.mean - np.repeat(mean, times, axis=0), 0.0)
+        c = add(s.c + s.n[:, None, None] * apart[:, :, None] * apart[:, None, :])
+    out = States(s.code[heads], n, add(s.bad), np.minimum.reduceat(s.first, heads), mean, c, np.minimum.reduceat(s.lo, heads, axis=0), np.maximum.reduceat(s.hi, heads, axis=0))
+    if s.r is not None:
+        out.r, out.norm = s.r[heads].copy(), np.hypot.reduceat(s.norm, heads, axis=0)
+        for k in np.flatnonzero(times > 1):
+            r = np.linalg.qr(np.concatenate(s.r[heads[k] : heads[k] + times[k]]), mode="r")
+            out.r[k, : len(r)] = r
+    return out.settled()
+
+
+class Names:
+    """Groups by number."""
+
+    def __init__(self):
+        self.known: dict[str | None, int] = {}
+
+    def codes(self, column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        """The number of each entry."""
+        seen = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        if isinstance(seen, pa.ChunkedArray):
+            seen = pa.concat_arrays(seen.chunks)
+        seen = seen.dictionary_encode("encode")
+        number = np.array([self.known.setdefault(x, len(self.known)) for x in seen.dictionary.to_pylist()], np.int64)
+        return number[seen.indices.to_numpy(zero_copy_only=False)]
+
+    def batch(self, s: States, part: int, names: list[str]) -> pa.RecordBatch:
+        told = list(self.known)
+        lists = lambda x: pa.ListArray.from_arrays(np.arange(len(x) + 1, dtype=np.int32) * (x.size // max(1, len(x))), pa.array(x.ravel()))
+        cols = {"group": pa.array([told[k] for k in s.code.tolist()], pa.string()), "n": pa.array(s.n), "bad": pa.array(s.bad), "first": pa.array(s.first), "part": pa.array([part] * len(s.n), pa.int32())}
+        cols |= {k: lists(getattr(s, k)) for k in ("mean", "c", "lo", "hi", "r", "norm") if k in names}
+        return pa.RecordBatch.from_arrays([cols[k] for k in names], names)
+
+
+def names_of(kind: str) -> list[str]:
+    return [f.split()[0] for f in kind.split(", ")]
 
 
 def by_tasks(train: DataFrame, p: int, factor: bool = False) -> DataFrame:
     """States from Arrow batches, for many terms or with factors."""
-    kind = FACTOR if factor else STATE
+    names = names_of(FACTOR if factor else STATE)
+    placed = "row_id" in train.columns
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str | None, State] = {}
-        part = 0
+        part, passed, rows, size = TaskContext.get().partitionId(), 0, [], 0
+        groups, held = Names(), []
+
+        def reduce_rows() -> None:
+            nonlocal passed
+            table = pa.Table.from_batches(rows)
+            v = np.column_stack([table.column(k).to_numpy() for k in range(1, p + 2)]).astype(float, copy=False)
+            # places as monotonically_increasing_id numbers them
+            at = table.column(p + 2).to_numpy() if placed else (part << 33) + passed + np.arange(len(v))
+            passed += len(v)
+            held.append(reduced(groups.codes(table.column(0)), v, at, factor))
+
         for batch in batches:
-            part = batch.column(4)[0].as_py() if batch.num_rows else part
-            groups = batch.column(0).dictionary_encode()
-            y = batch.column(1).fill_null(np.nan).to_numpy(zero_copy_only=False)
-            lists = batch.column(2)
-            x = lists.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False).reshape(-1, p)
-            at = batch.column(3).to_numpy()
-            codes = groups.indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            order = np.argsort(codes, kind="stable")
-            heads = np.flatnonzero(np.diff(codes[order], prepend=-2))
-            for some in np.split(order, heads[1:]):
-                if len(some):
-                    name = groups.dictionary[int(codes[some[0]])].as_py() if codes[some[0]] >= 0 else None
-                    state = held.setdefault(name, State(p + 1, factor))
-                    state.rows(np.column_stack([x[some], y[some]]), int(at[some].min()))
-        rows = [s.row(g, part) for g, s in held.items()]
+            rows.append(batch)
+            size += batch.num_rows * 8 * (p + 1)
+            if size >= CHUNK:
+                reduce_rows()
+                rows, size = [], 0
+                if sum(s.bytes for s in held) > HELD:
+                    held = [merged(States.joined(held))]
+                    if held[0].bytes > HELD // 2:
+                        yield groups.batch(held[0], part, names)
+                        groups, held = Names(), []
         if rows:
-            yield from pa.Table.from_pylist(rows, schema=schema).to_batches()
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
+            reduce_rows()
+        if held:
+            yield groups.batch(merged(States.joined(held)), part, names)
 
-    schema = to_arrow_schema(StructType.fromDDL(kind))
-
-    rows = with_order(train).select("group", "y", "x", "row_id", F.spark_partition_id().alias("part"))
-    return merge(rows.mapInArrow(partial, kind), p, factor)
+    flat = train.select("group", *[F.col("x")[k].alias(f"v{k}") for k in range(p)], F.col("y").alias(f"v{p}"), *["row_id"] * placed)
+    return merge(flat.mapInArrow(partial, FACTOR if factor else STATE), p, factor)
 
 
 def merge(states: DataFrame, p: int, factor: bool = False) -> DataFrame:
     """One state a group from several, in the order of their parts: among some of them first, then over all."""
     kind = FACTOR if factor else STATE
+    names, w = names_of(kind), p + 1
 
-    def merged(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("part", kind="stable")
-        total = State(p + 1, factor)
-        for _, row in group.iterrows():
-            total.merge(State.read(row, factor))
-        name = group["group"].iloc[0]
-        return pd.DataFrame([total.row(None if name is None else str(name), int(group["part"].iloc[0]))])[[f.split()[0] for f in kind.split(", ")]]
-
-    some = states.groupBy("group", F.pmod("part", F.lit(SALTS)).alias("salt")).applyInPandas(merged, kind)
-    return some.groupBy("group").applyInPandas(merged, kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, held, part = Names(), [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {k: batch.column(k) for k in names}
+            flat = {k: col[k].flatten().to_numpy() for k in ("mean", "c", "lo", "hi", "r", "norm") if k in names}
+            shape = {"c": (-1, w, w), "r": (-1, w + 1, w + 1)}
+            flat = {k: x.reshape(shape.get(k, (-1, w))).copy() for k, x in flat.items()}
+            part = col["part"][0].as_py()
+            held.append(States(groups.codes(col["group"]), *[col[k].to_numpy() for k in ("n", "bad", "first")], **flat))
+            if sum(s.bytes for s in held) > HELD:
+                # rows come group by group, so all groups but the last are complete
+                known = merged(States.joined(held))
+                if len(known.code) > 1:
+                    yield groups.batch(States(*[None if x is None else x[:-1] for x in known.columns()]), part, names)
+                held = [States(*[None if x is None else x[-1:] for x in known.columns()])]
+        if held:
+            yield groups.batch(merged(States.joined(held)), part, names)
+
+    some = states.repartition("group", F.pmod("part", F.lit(SALTS))).sortWithinPartitions("group", "part", "first").mapInArrow(run, kind)
+    return some.repartition("group").sortWithinPartitions("group", "part", "first").mapInArrow(run, kind)
 
 
 def states(train: DataFrame, p: int, solver: str = "normal", sql_terms: int = SQL_TERMS) -> DataFrame:

@@ -12,19 +12,19 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import FitError
 from ..operators.fit import solve
-from ..operators.moments import FACTOR, SQL_TERMS, STATE, by_sql, by_tasks, merge
+from ..operators.moments import FACTOR, STATE, STREAM_TERMS, by_sql, by_tasks, merge
 from ..operators.score import score_rows
 from ..schema import FitSchema
 
 
 def streaming_states(stream: DataFrame, schema: FitSchema) -> DataFrame:
     """A streaming aggregation of co-moments over a stream of training rows, for a few terms."""
-    if schema.p > SQL_TERMS:
-        raise FitError("BAD_TERMS", f"{schema.p} terms; this aggregation holds up to {SQL_TERMS}")
+    if schema.p > STREAM_TERMS:
+        raise FitError("BAD_TERMS", f"{schema.p} terms; this aggregation holds up to {STREAM_TERMS}")
     return by_sql(schema.training(stream), schema.p)
 
 
-def start_fit(stream: DataFrame, schema: FitSchema, sink, checkpoint: str, trigger: dict | None = None, solver: str = "normal", sql_terms: int = SQL_TERMS) -> StreamingQuery:
+def start_fit(stream: DataFrame, schema: FitSchema, sink, checkpoint: str, trigger: dict | None = None, solver: str = "normal", sql_terms: int = STREAM_TERMS) -> StreamingQuery:
     """Calls sink(fits, batch_id) after each batch with the fits of all rows so far.
 
     With more than `sql_terms` terms, and for QR, a batch's states are merged into those of the batch before, which are kept as a table for each batch

@@ -8,7 +8,8 @@ from groupfit.errors import FitError
 from groupfit.operators import diagnostics as D
 from groupfit.operators.fit import fit
 from groupfit.operators.kernels import solve_factor, solve_moments
-from groupfit.operators.moments import State
+from groupfit.operators import moments
+from groupfit.operators.moments import States, merged, reduced
 from groupfit.operators.residuals import residuals
 from groupfit.plans.footprint import fit_bytes, model_bytes
 from groupfit.plans.report import pinned_notes, report
@@ -17,23 +18,18 @@ from groupfit.schema import FitSchema
 
 def state(rows, parts=1, factor=False):
     v = np.array(rows, float)
-    total = State(v.shape[1], factor)
-    for k in range(parts):
-        some = State(v.shape[1], factor)
-        some.rows(v[k::parts], k)
-        total.merge(some)
-    return total
+    some = [reduced(np.zeros(len(v[k::parts]), int), v[k::parts], np.arange(k, len(v), parts), factor) for k in range(parts)]
+    return merged(States.joined(some))
 
 
 def normal(rows, parts=1):
     s = state(rows, parts)
-    return solve_moments(s.n, s.mean, s.c)
+    return solve_moments(int(s.n[0]), s.mean[0], s.c[0])
 
 
 def factored(rows, parts=1):
     s = state(rows, parts, True)
-    w = len(s.mean)
-    return solve_factor(s.n, np.vstack([s.r, np.zeros((w + 1 - len(s.r), w + 1))]), np.append(np.sqrt(s.n), s.norm[: w - 1]), s.lo[:-1], s.hi[:-1], s.c[-1, -1])
+    return solve_factor(int(s.n[0]), s.r[0], np.append(np.sqrt(s.n[0]), s.norm[0, :-1]), s.lo[0, :-1], s.hi[0, :-1], s.c[0, -1, -1])
 
 
 def table(spark, rows, terms):
@@ -201,3 +197,23 @@ def test_a_named_group_still_needs_all_rows(spark):
         fit(df, group="A").check()
     assert e.value.code == "NOT_FINITE"
     assert fit(df.where("g = 'A'"), group="A").check().fits.count() == 1
+
+
+def test_many_groups_in_small_pieces(spark, monkeypatch):
+    """States handed on early, pieces of few rows, and groups that span batches come to the same lines."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(moments, "CHUNK", 4000)
+    monkeypatch.setattr(moments, "HELD", 3000)
+    noise = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 100.0
+    df = spark.range(6000).select(F.when(F.col("id") % 401 == 400, None).otherwise((F.col("id") % 401).cast("string")).alias("g"), noise(0).alias("y"), noise(1).alias("a"), (1e6 + noise(2)).alias("b")).repartition(5)
+    by = {}
+    for name, how in (("sql", {"sql_terms": 8}), ("tasks", {"sql_terms": 0}), ("qr", {"solver": "qr"})):
+        by[name] = {r["group"]: r for r in fit(df, **how).fits.collect()}
+    assert len(by["sql"]) == 401
+    for name in ("tasks", "qr"):
+        for g, want in by["sql"].items():
+            got = by[name][g]
+            assert got["rows"] == want["rows"] and got["df"] == want["df"]
+            assert np.allclose([got["intercept"], *got["coef"]], [want["intercept"], *want["coef"]], rtol=1e-5, atol=1e-7)
+    assert fit(df.limit(0), sql_terms=0).fits.count() == 0
