@@ -4,22 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import oracle as O
 from .errors import FitError
-from .functions.numbers import parse_number, round_half_away, significant
+from .functions.numbers import parse_number, printed, round_half_away, significant
 from .operators import diagnostics as D
 from .operators.fit import FitResult, fit
 from .operators.residuals import residuals
 from .operators.score import named_case, score_named, score_rows, score_text, unknown_groups
 from .plans.footprint import fit_bytes, footprint, model_bytes
-from .plans.report import pinned_notes
-from .plans.sinks import model_lines
+from .plans.report import pinned_notes, report
+from .plans.sinks import model_lines, residual_lines, stats_lines, write_text
 from .schema import FitSchema
 from .sources.scratch import scratch
-from .sources.text import cases_from, fields, logical_lines, model_from, parse_rows, training_from
+from .sources.text import cases_from, fields, logical_lines, model_from, parse_rows, read_model, read_training, training_from, trims_from
 from .streaming.fit import score_stream, start_fit
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -168,18 +168,13 @@ def fit_flat_response(spark, sf_dir):
     return fit(train).fits.select("group", rnd(F.col("intercept")).alias("b0"), rnd(F.col("coef")[0]).alias("b1"), "r2", "r2_status", "resid_sd", "df")
 
 
-FEW_SQL = "SELECT c_nationkey::VARCHAR AS g, c_acctbal AS y, c_custkey::DOUBLE AS x1 FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) <= 1 + c_nationkey % 3"
-
-
-@query(f"""WITH {O.solved(FEW_SQL, 1)}
-SELECT g AS "group", n AS rows, CASE WHEN n = 1 THEN 0 ELSE n - 2 END AS df, CASE WHEN n = 1 THEN 1 ELSE 0 END AS pinned,
-  CASE WHEN n > 2 THEN {O.rounded('sqrt((cyy - b1 * t1) / (n - 2))', 4)} END AS resid_sd, CASE WHEN n = 1 THEN 'CONSTANT' ELSE 'FITTED' END AS verdict FROM b""")
+@query(f"""WITH m AS (SELECT l_orderkey::VARCHAR AS g, count(*) AS n, min(l_quantity) = max(l_quantity) AS still, covar_pop(l_quantity, l_quantity) AS sxx, covar_pop(l_quantity, l_extendedprice) AS sxy, covar_pop(l_extendedprice, l_extendedprice) AS syy FROM lineitem GROUP BY 1),
+b AS (SELECT *, CASE WHEN still THEN n - 1 ELSE n - 2 END AS df, CASE WHEN still THEN syy ELSE syy - sxy * sxy / sxx END * n AS sse FROM m)
+SELECT g AS "group", n AS rows, df, still::INTEGER AS pinned, CASE WHEN df > 0 AND syy > 0 THEN {O.rounded('sqrt(sse / df)', 2)} END AS resid_sd, CASE WHEN still THEN 'CONSTANT' ELSE 'FITTED' END AS verdict FROM b""")
 def fit_low_df(spark, sf_dir):
-    from pyspark.sql import Window
-
-    few = table(spark, sf_dir, "customer").withColumn("k", F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))).where("k <= 1 + c_nationkey % 3")
-    train = few.select(F.col("c_nationkey").cast("string").alias("g"), F.col("c_acctbal").alias("y"), F.col("c_custkey").cast("double").alias("x1"))
-    return fit(train).fits.select("group", "rows", "df", "pinned", rnd(F.col("resid_sd"), 4).alias("resid_sd"), F.col("status")[0].alias("verdict"))
+    """A group for each order: one to seven rows."""
+    train = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("g"), F.col("l_extendedprice").alias("y"), F.col("l_quantity").alias("x1"))
+    return fit(train).fits.select("group", "rows", "df", "pinned", rnd(F.col("resid_sd"), 2).alias("resid_sd"), F.col("status")[0].alias("verdict"))
 
 
 @query(
@@ -209,12 +204,20 @@ def timed(spark, sf_dir) -> FitResult:
 
 
 #: Power sums are published in units that leave nine digits or so.
-UNITS = {"su2": 1, "su3": 10, "su4": 1e3, "su5": 1e4, "su6": 1e6, "sru2": 1e3, "sru3": 1e4, "sr2": 1e3, "sr4": 1e9, "sw1": 1e6, "sw2": 1e8}
+UNITS = {"su2": 1, "su3": 10, "su4": 1e3, "su5": 1e4, "su6": 1e6, "sru2": 1e3, "sru3": 1e4, "sr2": 1e3, "sr4": 1e9, "sw1": 1e6, "sw2": 1e8, "sa1": 10, "sau1": 100}
+#: Of the fitted value, whose powers are larger, and first powers, which are 0 but for rounding.
+FITTED_UNITS = {"su2": 1e4, "su4": 1e10, "sru2": 1e7, "sr2": 1e3, "sr4": 1e9, "sw1": 1e8, "sw2": 1e12, "sa1": 10, "sau1": 1e4}
+FIRST_UNITS = {"su1": 1e4, "sr1": 1e4, "sru1": 1e7}
 
 
-@query(f"WITH {O.with_sums(PART_SQL)} SELECT g AS \"group\", n, " + ", ".join(O.rounded(f"{k} / {u:g}", 2, k) for k, u in UNITS.items()) + " FROM sums WHERE probe = 0")
+@query(f"WITH {O.with_sums(PART_SQL)} SELECT g AS \"group\", n, " + ", ".join(O.rounded(f"{k} / {u:g}", 2, k) for k, u in (UNITS | FIRST_UNITS).items()) + " FROM sums WHERE probe = 0")
 def diag_power_sums(spark, sf_dir):
-    return D.power_sums(sized(spark, sf_dir)).where("probe = 0").select("group", "n", *[rnd(F.col(k) / float(u), 2).alias(k) for k, u in UNITS.items()])
+    return D.power_sums(sized(spark, sf_dir)).where("probe = 0").select("group", "n", *[rnd(F.col(k) / float(u), 2).alias(k) for k, u in (UNITS | FIRST_UNITS).items()])
+
+
+@query(f"WITH {O.with_sums(EVENT_SQL)} SELECT g AS \"group\", n, " + ", ".join(O.rounded(f"{k} / {u:g}", 2, k) for k, u in FITTED_UNITS.items()) + " FROM sums WHERE probe = 1")
+def diag_power_sums_fitted(spark, sf_dir):
+    return D.power_sums(timed(spark, sf_dir)).where("probe = 1").select("group", "n", *[rnd(F.col(k) / float(u), 2).alias(k) for k, u in FITTED_UNITS.items()])
 
 
 def probe(name: str, at: int, sql: str = PART_SQL) -> str:
@@ -284,7 +287,9 @@ def model(spark) -> DataFrame:
 
 
 def trims(spark) -> DataFrame:
-    return spark.createDataFrame([(g, t, k) for k, (g, t) in enumerate(TRIMS)], "group string, trim_addition double, row_id long")
+    """The trim table, read from its text."""
+    text = ["group,trim_addition", "# a note", *[f"{g} , {t!r}" for g, t in TRIMS], ""]
+    return trims_from(spark.createDataFrame(list(enumerate(text)), "row_id long, value string"))
 
 
 def cases(spark, sf_dir) -> DataFrame:
@@ -360,26 +365,96 @@ def rounding(spark, sf_dir):
     return spark.createDataFrame([(x,) for x in ROUNDS], "v double").select("v", *[(round_half_away(v, k) + F.lit(0.0)).alias(f"r{k}") for k in (0, 2, 9)])
 
 
-@query("SELECT l_orderkey AS id, l_linenumber AS nr, (regexp_replace(printf('%.11e', v), 'e.*', ''))::DOUBLE AS mantissa, regexp_extract(printf('%.11e', v), 'e(.*)$', 1)::INTEGER AS exponent FROM (SELECT *, l_extendedprice * (1 - l_discount) / 7 AS v FROM lineitem)")
+#: Thirteen digits that end in 5: to twelve of them it is the binary value that decides.
+TIE = "(1000000000000 + l_orderkey * 10 + 5) / 1e13"
+
+
+@query(f"SELECT l_orderkey AS id, l_linenumber AS nr, printf('%.12g', l_extendedprice * (1 - l_discount) / 7) AS text, printf('%.12g', {TIE}) AS tie, printf('%.6f', l_quantity / 64) AS six FROM lineitem")
 def significant_digits(spark, sf_dir):
     v = F.col("l_extendedprice") * (1 - F.col("l_discount")) / 7
-    back = significant(v).cast("double")
-    text = F.format_string("%.11e", back)
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nr"), F.regexp_extract(text, "^(.*)e", 1).cast("double").alias("mantissa"), F.regexp_extract(text, "e(.*)$", 1).cast("int").alias("exponent"))
+    tie = F.expr(TIE.replace("1e13", "1e13D"))
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("nr"), significant(v).alias("text"), significant(tie).alias("tie"), printed(F.col("l_quantity") / 64, "%.6f").alias("six"))
 
 
-@query(f"SELECT \"group\", b0 AS intercept, b1 AS x, b2 AS z, 'price' AS response FROM {MODEL_SQL.replace('1.0::DOUBLE / 3.0::DOUBLE', '0.333333333333::DOUBLE')}")
+def steady(result: FitResult) -> FitResult:
+    """A fit without its last digits, which go by the order of additions."""
+    own = {"intercept": rnd(F.col("intercept")), "coef": F.transform("coef", lambda b: rnd(b)), "r2": rnd(F.col("r2"), 9), "resid_sd": rnd(F.col("resid_sd"), 5), "cond": rnd(F.col("cond"), 9)}
+    return FitResult(result.schema, result.solver, result.selection, result.train, result.fits.withColumns(own))
+
+
+def named(spark, sf_dir) -> DataFrame:
+    return priced(spark, sf_dir, 2).select("g", F.col("y").alias("price"), F.col("x1").alias("x"), F.col("x2").alias("z"))
+
+
+@query(f"WITH {O.solved(priced_sql(2), 2)} SELECT g AS \"group\", {O.rounded('b0', 6, 'intercept')}, {O.rounded('b1', 6, 'x')}, {O.rounded('b2', 6, 'z')}, 'price' AS response, 2 AS n_terms FROM b")
 def model_roundtrip(spark, sf_dir):
-    """A fitted model through its text: coefficients come back with twelve digits."""
-    rows = [(g, b0 + b[0] * x + b[1] * z, float(x), float(z)) for g, b0, b in MODEL for x, z in ((0, 0), (8, 0), (0, 8), (8, 8), (16, 4))]
-    train = spark.createDataFrame(rows, "group string, price double, x double, z double")
-    fits = fit(train)
-    exact = spark.createDataFrame([(g, b0, b) for g, b0, b in MODEL], "g string, b0 double, b array<double>")
-    fits.fits = fits.fits.join(exact, F.col("group") == F.col("g")).withColumns({"intercept": F.col("b0"), "coef": F.col("b")}).select(*fits.fits.columns)
-    text = model_lines(fits)
-    lines = text.select((F.col("ord") * 10 + F.col("part")).alias("row_id"), F.col("line").alias("value"))
-    read = model_from(lines)
-    return read.rows.select("group", "intercept", F.col("coef")[0].alias("x"), F.col("coef")[1].alias("z"), F.lit(read.response).alias("response"))
+    """A fitted model, written as a text file and read back."""
+    path = scratch(spark, "model")
+    write_text(model_lines(steady(fit(named(spark, sf_dir)))), path)
+    read = read_model(spark, path)
+    return read.rows.select("group", "intercept", F.col("coef")[0].alias("x"), F.col("coef")[1].alias("z"), F.lit(read.response).alias("response"), F.lit(len(read.terms)).alias("n_terms"))
+
+
+DIGITS = lambda expr, digits: f"printf('%.12g', {O.rounded(expr, digits)})"
+
+
+@query(f"WITH {O.solved(priced_sql(2), 2)} SELECT 0 AS part, concat_ws(',', g, {DIGITS('b0', 6)}, {DIGITS('b1', 6)}, {DIGITS('b2', 6)}) AS line FROM b UNION ALL SELECT 1, 'group,intercept,x,z' UNION ALL SELECT 0, '# response: price'")
+def model_text(spark, sf_dir):
+    return model_lines(steady(fit(named(spark, sf_dir)))).select("part", "line")
+
+
+@query(f"WITH {O.with_stats(priced_sql(2), 2)} SELECT concat_ws(',', g, n, df, printf('%.6f', {O.rounded('r2', 9)}), {DIGITS('sd', 5)}, printf('%.6g', {O.rounded('1 / (1 - s12 * s12 / (s11 * s22))', 9)}), 0) AS line FROM st UNION ALL SELECT 'group,rows,df,r2,resid_sd,cond,pinned'")
+def stats_text(spark, sf_dir):
+    return stats_lines(steady(fit(priced(spark, sf_dir, 2)))).select("line")
+
+
+@query("SELECT concat_ws(',', l_returnflag, count(*), count(*) - 2, '', '', printf('%.6g', 1::DOUBLE), 0) AS line FROM lineitem GROUP BY l_returnflag UNION ALL SELECT 'group,rows,df,r2,resid_sd,cond,pinned'")
+def stats_text_flat(spark, sf_dir):
+    """Blanks for what is undefined."""
+    train = priced(spark, sf_dir, 1).select("g", F.lit(5.0).alias("five"), "x1")
+    return stats_lines(fit(train)).select("line")
+
+
+@query(f"WITH {O.solved(priced_sql(2), 2)} SELECT concat_ws(',', src.g, printf('%.12g', y), {DIGITS('b0 + b1 * x1 + b2 * x2', 4)}, {DIGITS('y - (b0 + b1 * x1 + b2 * x2)', 4)}) AS line FROM src JOIN b ON src.g = b.g")
+def residual_text(spark, sf_dir):
+    r = residuals(fit(priced(spark, sf_dir, 2)))
+    return residual_lines(r.withColumns({k: rnd(F.col(k), 4) for k in ("predicted", "residual")}))
+
+
+@query(f"""WITH {O.solved(priced_sql(2), 2)}, seen AS (SELECT l_returnflag AS g, row_number() OVER (ORDER BY min(l_orderkey * 10 + l_linenumber)) AS place FROM lineitem GROUP BY 1)
+SELECT b.g AS "group", n AS rows, {O.rounded('b0', 6, 'b0')}, {O.rounded('b1', 6, 'b1')}, {O.rounded('b2', 6, 'b2')}, place FROM b JOIN seen ON b.g = seen.g""")
+def fit_files(spark, sf_dir):
+    """A training table in several text files, with comments: fitted as read, groups placed as they are first seen over all files."""
+    path, rows = scratch(spark, "training"), table(spark, sf_dir, "lineitem")
+    # every file of a folder is a part of one table; the header stands in the first alone
+    ordered = rows.repartitionByRange(3, "l_orderkey").sortWithinPartitions("l_orderkey", "l_linenumber")
+    line = F.concat_ws(",", "l_returnflag", *[F.col(v).cast("string") for v in list(LINES.values())[:3]])
+    note = F.when(F.col("l_orderkey") % 97 == 0, F.concat(F.lit("# order "), F.col("l_orderkey").cast("string"), F.lit("\n"))).otherwise(F.lit(""))
+    lines = ordered.select(F.concat(note, line).alias("value"))
+    lines.write.text(path)
+    spark.createDataFrame([("# prices\n\nflag,price,quantity,discount",)], "value string").coalesce(1).write.text(f"{path}-head")
+    read = read_training(spark, [f"{path}-head", path])
+    fits = fit(read).kept
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("first")).cast("long")
+    return coefs(fit(read)).join(fits.select("group", place.alias("place")), "group")
+
+
+@query(f"""WITH {O.with_stats(priced_sql(2), 2)}
+SELECT 1 AS nr, 'reading: column 1 is the group, ''y'' is the value being predicted, and the other 2 columns are terms' AS line
+UNION ALL SELECT 2, 'fit: ' || count(*) || ' groups, ' || sum(n)::BIGINT || ' rows, worst R2=' || printf('%.4f', min(r2)) || ', worst resid SD=' || printf('%.4g', max(sd)) || ', least df=' || min(df) || ', worst cond=' || printf('%.3g', max(1 / (1 - s12 * s12 / (s11 * s22)))) || ' (normal equations)' FROM st""")
+def commentary(spark, sf_dir):
+    lines = report(fit(priced(spark, sf_dir, 2)))
+    return spark.createDataFrame(list(enumerate(lines, 1)), "nr int, line string")
+
+
+@query("""WITH g AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT 'flat' AS about, count(*) || ' groups without R2, because the response does not vary there: it is undefined, not zero.' AS line FROM g
+UNION ALL SELECT 'df', 'some group has no residual degrees of freedom: its line goes through every row by construction. Fit it on more rows.' FROM g HAVING min(n) <= 2""")
+def commentary_warnings(spark, sf_dir):
+    """The warnings on a fit of one group an order, whose response never varies."""
+    train = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("g"), F.lit(5.0).alias("y"), F.col("l_linenumber").cast("double").alias("x1"))
+    found = [x.removeprefix("warning: ") for x in report(fit(train)) if x.startswith("warning: ")]
+    return spark.createDataFrame([("flat" if "vary" in x else "df", x) for x in found], "about string, line string")
 
 
 RAW = ["group,y,x", "﻿A, 1 ,2\r", "", "   ", "# note", "A\rB,1,2", " #x,1,2", "B,1,,3", "a" * 18000]
@@ -431,6 +506,10 @@ def footprints(spark, sf_dir):
 @query(O.fitted(priced_sql(2), 2))
 def fit_streaming(spark, sf_dir):
     """The fit over a stream of the lineitem files: the last batch's result."""
+    return streamed(spark, sf_dir, "normal")
+
+
+def streamed(spark, sf_dir, solver: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     stream = spark.readStream.schema(rows.schema).option("pathGlobFilter", "lineitem*.parquet").option("maxFilesPerTrigger", 4).parquet(sf_dir)
     train = stream.select(F.col("l_returnflag").alias("g"), *[F.col(v).alias(k) for k, v in list(LINES.items())[:3]])
@@ -439,11 +518,16 @@ def fit_streaming(spark, sf_dir):
     def sink(fits: DataFrame, batch: int) -> None:
         fits.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    start_fit(train, schema, sink, scratch(spark, "state")).awaitTermination()
+    start_fit(train, schema, sink, scratch(spark, "state"), solver=solver).awaitTermination()
     all_ = spark.read.parquet(out)
     last = all_.agg(F.max("batch")).first()[0]
-    fits = all_.where(F.col("batch") == last)
-    return coefs(FitResult(schema, "normal", None, train, fits))
+    return coefs(FitResult(schema, solver, None, train, all_.where(F.col("batch") == last)))
+
+
+@query(O.fitted(priced_sql(2), 2))
+def fit_streaming_qr(spark, sf_dir):
+    """The same stream by triangular factors, whose states are kept as tables."""
+    return streamed(spark, sf_dir, "qr")
 
 
 @query(f"WITH {scored_sql(4)} SELECT \"group\", count(*) AS n, min(prediction) AS lo, max(prediction) AS hi FROM s GROUP BY 1")
@@ -507,6 +591,11 @@ def error_cases(spark) -> dict[str, Callable[[], object]]:
         "comment_row": lambda: training_from(lines("g,y,x", "A,1,2", "#B,9,9")).check(),
         "headerless_model": lambda: model_from(lines("X,10,1", "Y,20,1")),
         "group_twice": lambda: model_from(lines("group,intercept,a", "X,10,1", "X,999,1")),
+        "stream_residuals": lambda: residuals(FitResult(FitSchema("g", "y", ("x",)), "normal", None, spark.readStream.format("rate").load(), frame(few))),
+        "trim_fields": lambda: trims_from(lines("group,trim_addition", "X,1,2")),
+        "bad_trim": lambda: trims_from(lines("group,trim_addition", "X,1", "X,one")),
+        "empty_trims": lambda: trims_from(lines("# nothing")),
+        "missing_file": lambda: read_training(spark, "/nonexistent/training.csv"),
         "bad_coef": lambda: model_from(lines("group,intercept,a", "X,10,nan")),
     }
 
@@ -515,7 +604,7 @@ OUTCOMES = {
     "fine": "OK", "no_rows": "NO_ROWS", "no_such_group": "GROUP_NOT_FOUND", "all_singleton": "ALL_SINGLETON", "null_value": "NOT_FINITE", "nan_in_another_group": "NOT_FINITE",
     "response_overflow": "RESPONSE_OVERFLOW", "response_overflow_qr": "RESPONSE_OVERFLOW", "column_overflow": "COLUMN_OVERFLOW", "column_overflow_tasks": "COLUMN_OVERFLOW", "column_overflow_qr": "OK",
     "long_group": "BAD_GROUP", "unknown_response": "RESPONSE_UNKNOWN", "response_is_group": "RESPONSE_IS_GROUP", "narrow": "HEADER_TOO_NARROW", "same_terms": "BAD_TERMS", "scale": "BAD_SCALE",
-    "semicolons": "HEADER_SEMICOLON", "tabs": "HEADER_TAB", "no_header": "NO_HEADER", "bad_row": "BAD_TERM", "comment_row": "COMMENT_DATA_SHAPED", "headerless_model": "HEADER_NUMERIC", "group_twice": "GROUP_DUPLICATE", "bad_coef": "BAD_COEF",
+    "semicolons": "HEADER_SEMICOLON", "tabs": "HEADER_TAB", "no_header": "NO_HEADER", "bad_row": "BAD_TERM", "comment_row": "COMMENT_DATA_SHAPED", "headerless_model": "HEADER_NUMERIC", "group_twice": "GROUP_DUPLICATE", "stream_residuals": "RESIDUALS_NEED_FILE", "trim_fields": "TRIM_FIELDS", "bad_trim": "BAD_TRIM", "empty_trims": "TRIM_EMPTY", "missing_file": "NOT_FOUND", "bad_coef": "BAD_COEF",
 }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from ..errors import FitError
 
@@ -51,22 +53,18 @@ def trim_point(prediction: Column, addition: Column, scale: int, trim_scale: int
     return round_half_away(round_half_away(prediction, scale) + addition, trim_scale)
 
 
+def printed(value: Column, form: str) -> Column:
+    """Text of a double as C's printf writes it with `form`: the exact binary value is rounded, ties to even. The JVM's formats round the shortest decimal instead.
+
+    In Arrow batches; for lines of text that leave the engine.
+    """
+
+    def text(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else form % x for x in column.to_pylist()], pa.string())
+
+    return arrow_udf(text, "string")(value)
+
+
 def significant(value: Column, digits: int = 12) -> Column:
-    """Text of a double as C's %.<digits>g writes it: significant digits without trailing zeros, an exponent where it is below -4 or from `digits` on."""
-    # d.ddd...e+xx of the first `digits` digits; the same digits make the plain form
-    raw = F.format_string(f"%.{digits - 1}e", value)
-    parts = F.struct(F.when(F.startswith(raw, F.lit("-")), "-").otherwise("").alias("sign"), F.regexp_replace(F.split(raw, "e")[0], "[-.]", "").alias("d"), F.split(raw, "e")[1].cast("int").alias("e"))
-
-    def text(q: Column) -> Column:
-        d, e = q["d"], q["e"]
-        whole = F.when(e < 0, "0").otherwise(F.substring(d, F.lit(1), e + 1))
-        rest = F.when(e < 0, F.concat(F.repeat(F.lit("0"), -e - 1), d)).otherwise(F.substring(d, e + 2, F.lit(digits)))
-        plain = F.regexp_replace(F.concat(whole, F.lit("."), rest), r"\.?0*$", "")
-        mantissa = F.regexp_replace(F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, 2, digits)), r"\.?0*$", "")
-        science = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.lpad(F.abs(e).cast("string"), 2, "0"))
-        long = F.concat(mantissa, F.when(e < 0, "e-").otherwise("e+"), F.abs(e).cast("string"))
-        return F.concat(q["sign"], F.when((e >= -4) & (e < digits), plain).when(F.abs(e) < 100, science).otherwise(long))
-
-    # through an array of one, so that the digits are made once
-    told = F.transform(F.array(parts), text)[0]
-    return F.when(value.isNull(), F.lit(None).cast("string")).when(value == 0, F.lit("0")).otherwise(told)
+    """Text as %.<digits>g writes it: significant digits without trailing zeros, an exponent where it is below -4 or from `digits` on."""
+    return printed(value, f"%.{digits}g")

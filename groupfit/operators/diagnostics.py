@@ -20,7 +20,7 @@ T, CAP, LEAST_ROWS, LEAST_SHARE = 3.5, 9999.0, 10, 1e-6
 
 
 def power_sums(result: FitResult) -> DataFrame:
-    """group, probe (place of the term, or their number for the fitted value), n and sums su1..su6 of powers of u, sr1, sr2, sr4 of the residual, sru1..sru3 of r * u**k, sw1, sw2 of r**2 * u**k."""
+    """group, probe (place of the term, or their number for the fitted value), n and sums su1..su6 of powers of u, sr1, sr2, sr4 of the residual, sru1..sru3 of r * u**k, sw1, sw2 of r**2 * u**k, sa1 and sau1 of |r| and |r| * u."""
     rows = with_fit(result)
     columns = F.concat(F.zip_with("x", "centre", lambda x, c: x - c), F.array(F.col("predicted") - F.col("y_mean")))
     finite = ~F.isnan("residual") & (F.abs("residual") < float("inf")) & ~F.isnan("predicted") & (F.abs("predicted") < float("inf"))
@@ -29,7 +29,7 @@ def power_sums(result: FitResult) -> DataFrame:
     power = [u1]
     for _ in range(5):
         power.append(power[-1] * u1)
-    sums = {f"su{k + 1}": power[k] for k in range(6)} | {"sr1": r, "sr2": r * r, "sr4": r * r * r * r} | {f"sru{k + 1}": r * power[k] for k in range(3)} | {"sw1": r * r * u1, "sw2": r * r * power[1]}
+    sums = {f"su{k + 1}": power[k] for k in range(6)} | {"sr1": r, "sr2": r * r, "sr4": r * r * r * r} | {f"sru{k + 1}": r * power[k] for k in range(3)} | {"sw1": r * r * u1, "sw2": r * r * power[1], "sa1": F.abs(r), "sau1": F.abs(r) * u1}
     return each.groupBy("group", "probe").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()], F.first("resid_sd").alias("resid_sd"), F.first("response_sd").alias("response_sd"), F.first("first").alias("first"))
 
 

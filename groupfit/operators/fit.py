@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..errors import SOLVE_FAILURES, FitError
 from ..schema import MAX_GROUP_BYTES, FitSchema
+from ..sources.text import TextTable
 from .kernels import solve_factor, solve_moments
 from .moments import SQL_TERMS, states
 
@@ -125,8 +126,8 @@ class FitResult:
         return self
 
 
-def fit(df: DataFrame, schema: FitSchema | None = None, solver: str = "normal", group: str | None = None, sql_terms: int = SQL_TERMS) -> FitResult:
-    """Fits each group of a training table; `group` names the one to fit, or '*' pools all.
+def fit(df: DataFrame | TextTable, schema: FitSchema | None = None, solver: str = "normal", group: str | None = None, sql_terms: int = SQL_TERMS) -> FitResult:
+    """Fits each group of a training table; `group` names the one to fit, or '*' pools all. Of a file that was read, any refused row refuses the fit, and `first` follows its lines.
 
     Nothing runs until a result is used; `check` says whether all is well. With a
     group named, rows of other groups that aren't numbers still refuse the fit, so
@@ -134,8 +135,12 @@ def fit(df: DataFrame, schema: FitSchema | None = None, solver: str = "normal",
     """
     if solver not in ("normal", "qr"):
         raise FitError("BAD_SOLVER", f"{solver!r} is neither 'normal' nor 'qr'")
-    schema = schema or FitSchema.of(df.columns)
-    train = schema.training(df, "*" if group == "*" else None)
+    if isinstance(df, TextTable):
+        schema, train = df.schema, df.check().rows
+        train = train.withColumn("group", F.lit("*")) if group == "*" else train
+    else:
+        schema = schema or FitSchema.of(df.columns)
+        train = schema.training(df, "*" if group == "*" else None)
     fits = solve(states(train, schema.p, solver, sql_terms), solver)
     if group not in (None, "*"):
         # the chosen group's row, and whether any group holds what is not a number, from one aggregation

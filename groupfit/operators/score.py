@@ -6,15 +6,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import check_scale, parse_number, predict, round_half_away, trim_point
-from ..schema import fold
+from ..schema import fold, fold_column
 
-#: Groups whose models may be broadcast: some hundred MB at 256 terms each.
-FEW = 50_000
+#: Bytes of a model that may be broadcast, and what a group takes beside its numbers.
+FEW_BYTES, GROUP_BYTES = 64 << 20, 128
+
+
+def fits_in(groups: int, numbers: int) -> bool:
+    """May a table of so many groups, with so many numbers in all, be broadcast?"""
+    return GROUP_BYTES * groups + 8 * numbers <= FEW_BYTES
 
 
 def side(model: DataFrame) -> DataFrame:
     """The model to join cases with: broadcast if it is known to be small, so that cases are not shuffled."""
-    return F.broadcast(model) if model.limit(FEW + 1).count() <= FEW else model
+    numbers = F.sum(F.size("coef")) if "coef" in model.columns else F.lit(0)
+    groups, total = model.agg(F.count("*"), F.coalesce(numbers, F.lit(0))).first()
+    return F.broadcast(model) if fits_in(groups, total) else model
 
 
 def with_trims(model: DataFrame, trims: DataFrame | None) -> DataFrame:
@@ -43,7 +50,7 @@ def unknown_groups(cases: DataFrame, model: DataFrame) -> DataFrame:
 def named_case(assignments: Column, terms: list[str] | tuple[str, ...]) -> tuple[Column, Column]:
     """(x, refusal) of an array of texts 'term=value': terms that aren't mentioned are 0, a later value replaces an earlier one, and the refusal is the first thing wrong or null."""
     names = F.array(*[F.lit(fold(t)) for t in terms])
-    pairs = F.transform(assignments, lambda a: F.struct(F.instr(a, "=").alias("at"), F.lower(F.trim(F.substring_index(a, "=", 1))).alias("term"), parse_number(F.substring(a, F.instr(a, "=") + 1, F.length(a))).alias("value")))
+    pairs = F.transform(assignments, lambda a: F.struct(F.instr(a, "=").alias("at"), fold_column(F.trim(F.substring_index(a, "=", 1))).alias("term"), parse_number(F.substring(a, F.instr(a, "=") + 1, F.length(a))).alias("value")))
     wrong = F.transform(pairs, lambda q: F.when(q["at"] == 0, "NOT_ASSIGNMENT").when(~F.array_contains(names, q["term"]), "UNKNOWN_TERM").when(q["value"].isNull(), "BAD_VALUE"))
     x = F.transform(names, lambda t: F.coalesce(F.try_element_at(F.filter(pairs, lambda q: q["term"] == t), F.lit(-1))["value"], F.lit(0.0)))
     return x, F.try_element_at(F.filter(wrong, lambda w: w.isNotNull()), F.lit(1))

@@ -46,7 +46,7 @@ def with_sums(src: str, p: int = 1) -> str:
     powers = ", ".join([f"sum(u ** {k}) AS su{k}" for k in range(1, 7)] + [f"sum(r * u ** {k}) AS sru{k}" for k in (1, 2, 3)])
     return with_stats(src, p) + f""",
 res AS (SELECT src.g, y, {pred} AS f, y - ({pred}) AS r, {', '.join(f'x{i}, m{i}' for i in range(1, p + 1))}, my, sd, n FROM src JOIN st ON src.g = st.g),
-sums AS (SELECT g, probe, count(*) AS n, {powers}, sum(r) AS sr1, sum(r * r) AS sr2, sum(r ** 4) AS sr4, sum(r * r * u) AS sw1, sum(r * r * u * u) AS sw2 FROM ({probes}) GROUP BY g, probe)"""
+sums AS (SELECT g, probe, count(*) AS n, {powers}, sum(r) AS sr1, sum(r * r) AS sr2, sum(r ** 4) AS sr4, sum(r * r * u) AS sw1, sum(r * r * u * u) AS sw2, sum(abs(r)) AS sa1, sum(abs(r) * u) AS sau1 FROM ({probes}) GROUP BY g, probe)"""
 
 
 def with_probes(src: str, p: int = 1) -> str:

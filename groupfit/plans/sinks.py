@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import significant
+from ..functions.numbers import printed, significant
 from ..operators.fit import FitResult
 from .report import pinned_note
 
@@ -27,7 +27,7 @@ def stats_lines(result: FitResult) -> DataFrame:
     """(ord, part, line): group,rows,df,r2,resid_sd,cond,pinned, with blanks for what is undefined and < before a bound."""
     spark = result.fits.sparkSession
     sd = F.when(F.col("resid_sd").isNull(), "").otherwise(F.concat(F.when(F.col("is_bound"), "<").otherwise(""), significant(F.col("resid_sd"))))
-    r2 = F.when(F.col("r2").isNull(), "").otherwise(F.format_string("%.6f", "r2"))
+    r2 = F.when(F.col("r2").isNull(), "").otherwise(printed(F.col("r2"), "%.6f"))
     line = F.concat_ws(",", "group", F.col("rows").cast("string"), F.col("df").cast("string"), r2, sd, significant(F.col("cond"), 6), F.col("pinned").cast("string"))
     head = spark.createDataFrame([(-1, 0, "group,rows,df,r2,resid_sd,cond,pinned")], "ord long, part int, line string")
     return head.unionByName(result.fits.select(F.col("first").alias("ord"), F.lit(0).alias("part"), line.alias("line")))

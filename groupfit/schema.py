@@ -22,6 +22,11 @@ def fold(name: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in name)
 
 
+def fold_column(name: Column) -> Column:
+    """`fold` of a column."""
+    return F.translate(name, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def check_terms(terms: list[str] | tuple[str, ...]) -> tuple[str, ...]:
     if not 1 <= len(terms) <= MAX_TERMS:
         raise FitError("BAD_TERMS", f"{len(terms)} terms; from 1 to {MAX_TERMS} can be fitted")

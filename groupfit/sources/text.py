@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..errors import FitError
@@ -18,21 +18,40 @@ from ..schema import MAX_FIELDS, MAX_GROUP_BYTES, MAX_LINE_BYTES, FitSchema, che
 BOM = "﻿"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(row_id, value): physical lines in order. Only a line feed ends a line, so a bare carriage return stays visible."""
+#: Bits of a place in several files that count the lines of one.
+FILE_BITS = 40
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(row_id, value): physical lines in order. Only a line feed ends a line, so a bare carriage return stays visible.
+
+    The order is that of the files' names, however the scan packs them: parts of a file are numbered in the order of their blocks, and the
+    number of the file among all, which the driver lists, comes first.
+    """
     try:
-        return spark.read.text(path, lineSep="\n").select(F.monotonically_increasing_id().alias("row_id"), "value")
+        lines = spark.read.text(path, lineSep="\n")
+        files = sorted(lines.inputFiles())
     except Exception as e:
         if "PATH_NOT_FOUND" in str(e):
             raise FitError("NOT_FOUND", f"cannot open {path}") from None
         raise
+    if len(files) < 2:
+        return lines.select(F.monotonically_increasing_id().alias("row_id"), "value")
+    # blocks are read whole, so the place of a block and the number of the line in its task order the lines of a file
+    nth = spark.createDataFrame(list(enumerate(files)), "nth long, file string")
+    rows = lines.select(F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    starts = rows.groupBy("file", "block").agg(F.min("n").alias("low"), (F.max("n") - F.min("n") + 1).alias("many"))
+    before = F.coalesce(F.sum("many").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = starts.select("file", "block", "low", before.alias("before")).join(F.broadcast(nth), "file")
+    place = F.shiftleft("nth", FILE_BITS) + F.col("before") + F.col("n") - F.col("low")
+    return rows.join(F.broadcast(known) if len(files) <= 10_000 else known, ["file", "block"]).select(place.alias("row_id"), "value")
 
 
 def logical_lines(lines: DataFrame, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """lines (row_id, value) as (row_id, line, kind, line_error): kind is data, comment or blank; the error is LINE_NUL, LINE_CR or LINE_TOO_LONG."""
     raw = F.regexp_replace("value", r"\r\z", "")
     error = F.when(F.octet_length(raw) > max_line_bytes, "LINE_TOO_LONG").when(F.instr(raw, "\0") > 0, "LINE_NUL").when(F.instr(raw, "\r") > 0, "LINE_CR")
-    line = F.trim(F.when(F.startswith(raw, F.lit(BOM)), F.substring(raw, 2, MAX_LINE_BYTES)).otherwise(raw))
+    line = F.trim(F.when(F.startswith(raw, F.lit(BOM)), F.substr(raw, F.lit(2))).otherwise(raw))
     kind = F.when(F.col("line") == "", "blank").when(F.startswith("line", F.lit("#")), "comment").otherwise("data")
     return lines.select("row_id", line.alias("line"), error.alias("line_error")).withColumn("kind", kind)
 
@@ -136,12 +155,12 @@ def header_of(lines: DataFrame, what: str, least: int = 3) -> tuple[int, list[st
     return got["row_id"], names, said
 
 
-def read_training(spark: SparkSession, path: str, response: str | None = None) -> TextTable:
-    return training_from(read_lines(spark, path), path, response)
+def read_training(spark: SparkSession, path: str | list[str], response: str | None = None, max_line_bytes: int = MAX_LINE_BYTES) -> TextTable:
+    return training_from(read_lines(spark, path), str(path), response, max_line_bytes)
 
 
-def training_from(lines: DataFrame, what: str = "the table", response: str | None = None) -> TextTable:
-    lines = logical_lines(lines)
+def training_from(lines: DataFrame, what: str = "the table", response: str | None = None, max_line_bytes: int = MAX_LINE_BYTES) -> TextTable:
+    lines = logical_lines(lines, max_line_bytes)
     at, names, _ = header_of(lines, what)
     schema = FitSchema.of(names, response)
     place = names.index(schema.response, 1)
@@ -165,13 +184,13 @@ class Model:
         return out + [f"{k}. {t}" for k, t in enumerate(self.terms, 1)]
 
 
-def read_model(spark: SparkSession, path: str) -> Model:
-    return model_from(read_lines(spark, path), path)
+def read_model(spark: SparkSession, path: str, max_line_bytes: int = MAX_LINE_BYTES) -> Model:
+    return model_from(read_lines(spark, path), path, max_line_bytes)
 
 
-def model_from(lines: DataFrame, what: str = "the model") -> Model:
+def model_from(lines: DataFrame, what: str = "the model", max_line_bytes: int = MAX_LINE_BYTES) -> Model:
     """A coefficient table (group, intercept, terms) from lines (row_id, value). Any row that can't be read refuses the table."""
-    lines = logical_lines(lines)
+    lines = logical_lines(lines, max_line_bytes)
     at, names, said = header_of(lines, what)
     heads = lines.sparkSession.createDataFrame([(x,) for x in names[1:]], "v string").where(parse_number(F.col("v")).isNull())
     if heads.isEmpty():
@@ -194,9 +213,9 @@ def model_from(lines: DataFrame, what: str = "the model") -> Model:
     return Model(terms, said, parsed.select("group", "intercept", "coef", F.col("row_id").alias("first")))
 
 
-def trims_from(lines: DataFrame, what: str = "the trim table") -> DataFrame:
+def trims_from(lines: DataFrame, what: str = "the trim table", max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
     """(group, trim_addition, row_id). The header may be missing: a first line of two fields whose second is a number is data."""
-    lines = logical_lines(lines).where((F.col("kind") == "data") | F.col("line_error").isNotNull()).withColumn("fields", fields(F.col("line")))
+    lines = logical_lines(lines, max_line_bytes).where((F.col("kind") == "data") | F.col("line_error").isNotNull()).withColumn("fields", fields(F.col("line")))
     number = parse_number(F.try_element_at("fields", F.lit(2)))
     first = lines.agg(F.min("row_id")).first()[0]
     if first is None:
@@ -210,13 +229,13 @@ def trims_from(lines: DataFrame, what: str = "the trim table") -> DataFrame:
     return rows.select(F.try_element_at("fields", F.lit(1)).alias("group"), number.alias("trim_addition"), "row_id")
 
 
-def read_trims(spark: SparkSession, path: str) -> DataFrame:
-    return trims_from(read_lines(spark, path), path)
+def read_trims(spark: SparkSession, path: str, max_line_bytes: int = MAX_LINE_BYTES) -> DataFrame:
+    return trims_from(read_lines(spark, path), path, max_line_bytes)
 
 
-def cases_from(lines: DataFrame, terms: list[str] | tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+def cases_from(lines: DataFrame, terms: list[str] | tuple[str, ...], max_line_bytes: int = MAX_LINE_BYTES) -> tuple[DataFrame, DataFrame]:
     """(cases: row_id, group, x; refused: row_id, line, refusal) of lines group,x1,x2,... A line of spaces alone is no blank line here but a row with too few fields; comments are skipped whatever their shape."""
     raw = F.regexp_replace("value", r"\r\z", "")
-    kept = logical_lines(lines.where((raw != "") & ~F.startswith(raw, F.lit("#")) & ~F.startswith(raw, F.lit(BOM + "#")))).withColumn("kind", F.lit("data"))
+    kept = logical_lines(lines.where((raw != "") & ~F.startswith(raw, F.lit("#")) & ~F.startswith(raw, F.lit(BOM + "#"))), max_line_bytes).withColumn("kind", F.lit("data"))
     parsed = parse_rows(kept, ["group", *terms], None)
     return parsed.where("refusal is null").select("row_id", "group", "x"), parsed.where("refusal is not null").select("row_id", "line", "refusal")

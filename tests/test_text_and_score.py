@@ -1,14 +1,17 @@
 from __future__ import annotations
 
+import io
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from groupfit.errors import FitError
-from groupfit.functions.numbers import check_scale, parse_number, round_half_away, significant
+from groupfit.functions.numbers import check_scale, parse_number, printed, round_half_away, significant
 from groupfit.operators.fit import fit
 from groupfit.operators.score import named_case, score_named, score_rows, score_text, unknown_groups
+from groupfit.plans.progress import Progress, due, duration
 from groupfit.plans.sinks import model_lines, residual_lines, stats_lines, write_text
 from groupfit.operators.residuals import residuals
 from groupfit.sources.text import cases_from, read_model, read_training, training_from, trims_from
@@ -128,13 +131,42 @@ def test_rounding_and_digits(spark):
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=60))
-def test_twelve_digits_come_back(spark, values):
-    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", significant(F.col("v")).alias("t"), significant(F.col("v"), 17).alias("all")).withColumn("back", parse_number(F.col("all"))).collect()
-    for r in got:
-        assert abs(float(r["t"]) - r["v"]) <= 1e-11 * abs(r["v"]) or abs(r["v"]) < 1e-300
-        assert r["back"] == r["v"] or abs(r["v"]) < 1e-300
-        assert "e" in r["t"] or len(r["t"].replace("-", "").replace(".", "").strip("0")) <= 12
+@given(st.lists(st.floats(), min_size=1, max_size=60), st.lists(st.integers(10**11, 10**12 - 1), min_size=1, max_size=60), st.integers(-30, 20))
+def test_digits_are_those_of_c(spark, values, ties, power):
+    values = [*values, *(float(f"{n}5e{power}") for n in ties), -0.0]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", significant(F.col("v")).alias("t"), significant(F.col("v"), 17).alias("all"), printed(F.col("v"), "%.6f").alias("six")).withColumn("back", parse_number(F.col("all"))).collect()
+    for r, v in zip(got, values, strict=True):
+        assert (r["t"], r["six"]) == ("%.12g" % v, "%.6f" % v)
+        assert v - v != 0 or r["back"] == v or abs(v) < 1e-300
+
+
+def test_names_fold_ascii_alone(spark):
+    m = spark.createDataFrame([("A", 1.0, [2.0, 3.0])], "group string, intercept double, coef array<double>")
+    cases = spark.createDataFrame([(0, "A", ["Éclair=2", "KM=1"]), (1, "A", ["éclair=2"])], "id int, group string, assignments array<string>")
+    assert [(r["id"], r["prediction"]) for r in score_named(cases, m, ["Éclair", "km"]).collect()] == [(0, 8.0)]
+
+
+def test_long_lines_and_files(spark, tmp_path):
+    wide = "﻿g,y," + ",".join(f"x{k}" for k in range(200)) + " " * 20_000
+    rows = lines(spark, wide, "A,1" + ",2" * 200)
+    with pytest.raises(FitError) as e:
+        training_from(rows)
+    assert e.value.code == "LINE_TOO_LONG"
+    assert len(training_from(rows, max_line_bytes=10**6).check().schema.terms) == 200
+    for name, text in (("a b.csv", "g,y,x\nZ,1,2\nZ,2,5\n"), ("b.csv", "M,4,1\nM,2,7\nM,3,3\n"), ("c.csv", "A,1,2\nA,4,4\n")):
+        (tmp_path / name).write_text(text)
+    read = read_training(spark, [str(tmp_path / n) for n in ("c.csv", "b.csv", "a b.csv")])
+    order = [r["group"] for r in fit(read).fits.orderBy("first").collect()]
+    assert order == ["Z", "M", "A"]
+
+
+def test_progress(spark):
+    assert [due(59, 59), due(60, 60), due(90, 30), due(121, 61)] == [False, True, False, True]
+    assert [duration(s) for s in (12, 252, 3852)] == ["12s", "4m 12s", "1h 4m 12s"]
+    out = io.StringIO()
+    with Progress(spark, "fitting", out, 0.01) as p:
+        spark.range(1000).repartition(8).count()
+    assert out.getvalue() == "" and p.line(61).startswith("fitting: ") and p.line(61).endswith("tasks/s")
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
