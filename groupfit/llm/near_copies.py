@@ -38,7 +38,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,8 +51,8 @@ SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
 SHORT = 40
 #: Followers of a leader that meet in one place.
 SHARE = 200
-#: Slots in which a task counts words, those that it tells, and those that order words.
-SLOTS, TOLD, FREQUENT = 1 << 20, 4096, 1 << 16
+#: Slots in which words are counted.
+SLOTS = 1 << 18
 #: A key is hot from 1 / HOT of all rows on.
 HOT = 2000
 
@@ -124,25 +123,25 @@ def slots_of(keys: np.ndarray) -> np.ndarray:
     return (keys % U64(SLOTS)).astype(np.int64)
 
 
-def frequent_slots(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(slots, counts) of the most frequent labelled words, about; they only order words, so any answer is right."""
+def word_counts(texts: DataFrame) -> np.ndarray:
+    """How often the labelled words of each slot occur in `texts`: SLOTS numbers, for all words. They only order words, so words may share a slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
                 n += np.bincount(slots_of(labelled(Words(data, bounds), 1)[0]), minlength=SLOTS)
-        at = np.argpartition(n, -TOLD)[-TOLD:]
-        at = at[n[at] > 1]
+        at = np.flatnonzero(n)
         trim()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
 
-    told = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = told.orderBy(F.desc("n"), "slot").limit(FREQUENT).collect()
-    return np.array([r.slot for r in rows], np.int64), np.array([r.n for r in rows], np.int64)
+    told = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[told.column("slot").to_numpy()] = told.column("n").to_numpy()
+    return out
 
 
-def rarest_of(text: Column, slots: np.ndarray, counts: np.ndarray) -> Column:
+def rarest_of(text: Column, rank: np.ndarray) -> Column:
     """The labelled words of each text, rarest first, as many as any text that is similar must have one of.
 
     Texts of a and b words that e edits make equal have max(a, b) - e labelled words in common at least, so
@@ -151,8 +150,6 @@ def rarest_of(text: Column, slots: np.ndarray, counts: np.ndarray) -> Column:
     """
 
     def run(column: pa.Array) -> pa.Array:
-        rank = np.zeros(SLOTS, np.int64)
-        rank[slots] = counts
         flat, sizes = [np.zeros(0, U64)], []
         for lo, hi, data, bounds in chunks(column):
             keys, at = labelled(Words(data, bounds), 1)
@@ -257,25 +254,22 @@ class Text:
         return edits(a[head : n - tail].tolist(), b[head : m - tail].tolist(), most) is not None
 
 
-def texts_of(column: pa.Array) -> list[Text]:
-    out = []
+def texts_of(column: pa.Array) -> Iterator[Text]:
     for lo, hi, data, bounds in chunks(column):
         w = Words(data, bounds)
         keys, at = labelled(w, 1)
-        out += [Text(w.hashes[w.first[i] : w.first[i + 1]], keys[at[i] : at[i + 1]]) for i in range(hi - lo)]
-    return out
+        for i in range(hi - lo):
+            yield Text(w.hashes[w.first[i] : w.first[i + 1]].copy(), keys[at[i] : at[i + 1]])
 
 
-def verify(group: pd.DataFrame) -> pd.DataFrame:
-    """Links of a forest that joins a leader's followers in one share as their similar pairs do, beyond the classes (`top`) that they are in already.
+def verify(group: list[tuple[bytes, bytes, int, np.ndarray, Text]], leader: bytes) -> list[tuple[bytes, bytes]]:
+    """Links of a forest that joins a leader's followers in one share as their similar pairs do, beyond the classes that they are in already.
 
-    Where two shares meet (side 0 and 1), only pairs across are compared.
+    group: key, class, side, bands and words of each text. Where two shares meet (side 0 and 1), only pairs across are compared.
     """
-    group = group.drop_duplicates("tk").reset_index(drop=True)
-    texts = texts_of(pa.array(group["text"], pa.string()))
-    lead = group.index[group["tk"] == group["leader"]]
+    keys = [g[0] for g in group]
     known_as: dict[bytes, int] = {}
-    top = [known_as.setdefault(t, i) for i, t in enumerate(group["top"])]
+    top = [known_as.setdefault(g[1], i) for i, g in enumerate(group)]
     joined: list[tuple[int, int]] = []
 
     def root(i: int) -> int:
@@ -284,23 +278,25 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
         return i
 
     def against(i: int, others) -> None:
+        own = group[i][4]
         for j in others:
-            if root(i) != root(j) and texts[i].similar(texts[j]):
+            if root(i) != root(j) and own.similar(group[j][4]):
                 joined.append((i, j))
                 top[root(j)] = root(i)
 
-    if len(lead):
-        against(int(lead[0]), [j for j in range(len(group)) if j != lead[0]])
-    rest = [j for j in range(len(group)) if not len(lead) or root(j) != root(int(lead[0]))]
+    lead = keys.index(leader) if leader in keys else None
+    if lead is not None:
+        against(lead, [j for j in range(len(group)) if j != lead])
+    rest = [j for j in range(len(group)) if lead is None or root(j) != root(lead)]
     if len(rest) > 1 or (rest and len(group) > 2):
-        lengths = [len(b) for b in group["bands"]]
+        lengths = [len(g[3]) for g in group]
         owner = np.repeat(np.arange(len(group)), lengths)
-        mark = np.unique(np.concatenate(list(group["bands"])), return_inverse=True)[1]
+        mark = np.unique(np.concatenate([g[3] for g in group]), return_inverse=True)[1]
         at = np.split(mark, np.cumsum(lengths)[:-1])
         order = np.argsort(mark, kind="stable")
         having = np.split(owner[order], np.cumsum(np.bincount(mark))[:-1])
-        side = group["side"].to_numpy()
-        across = (side == 1).any()
+        side = [g[2] for g in group]
+        across = 1 in side
         for i in rest:
             if across and side[i]:
                 continue
@@ -308,17 +304,44 @@ def verify(group: pd.DataFrame) -> pd.DataFrame:
             against(i, [int(j) for j in shared if j != i and (side[j] or not across)])
     # every class that has grown is told as a star about its least key
     least: dict[int, bytes] = {}
-    for i, tk in enumerate(group["tk"]):
+    for i, tk in enumerate(keys):
         least[root(i)] = min(tk, least.get(root(i), tk))
     grown = {root(i) for i, _ in joined}
-    links = [(least[root(i)], tk) for i, tk in enumerate(group["tk"]) if root(i) in grown and tk != least[root(i)]]
-    return pd.DataFrame(links, columns=["a", "b"])
+    return [(least[root(i)], tk) for i, tk in enumerate(keys) if root(i) in grown and tk != least[root(i)]]
+
+
+def verify_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`verify` of each meeting: rows (leader, share, other, side, tk, top, bands, text) come meeting by meeting."""
+    meeting, group = None, {}
+
+    def out() -> pa.RecordBatch:
+        links = verify(list(group.values()), meeting[0]) if len(group) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        names = list(zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True))
+        sides, keys, tops = (batch.column(k).to_pylist() for k in (3, 4, 5))
+        bands = batch.column(6)
+        at = np.concatenate([[0], np.cumsum(bands.value_lengths().to_numpy())])
+        flat = bands.flatten().to_numpy()
+        for i, text in enumerate(texts_of(batch.column(7))):
+            if names[i] != meeting:
+                if group:
+                    yield out()
+                meeting, group = names[i], {}
+            group.setdefault(keys[i], (keys[i], tops[i], sides[i], flat[at[i] : at[i + 1]], text))
+    if group:
+        yield out()
+    trim()
 
 
 def by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
     """`rows` (`total` of them) joined to `table`: one row for each key, and how many of `rows` have it as `n`. Hot keys, no more than HOT by their counts, are broadcast."""
     least = max(1000, total // HOT)
-    hot, cold = table.where(F.col("n") > least).drop("n"), table.where(F.col("n") <= least).drop("n")
+    hot, all_ = table.where(F.col("n") > least).drop("n"), table.drop("n")
+    if hot.isEmpty():
+        return rows.join(all_, key)
+    cold = table.where(F.col("n") <= least).drop("n")
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
@@ -329,7 +352,7 @@ def classes(links: DataFrame) -> DataFrame:
     before = state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
         large = by_key(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # a node has few smaller neighbours: it was told of one for each group that it met others in
         low = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -351,7 +374,7 @@ def pairs_of(of: DataFrame) -> DataFrame:
 
 
 def shares_of(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"), F.count("*").alias("n"))
+    return keep(pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"), F.count("*").alias("n")), "shares")
 
 
 def led(pairs: DataFrame) -> DataFrame:
@@ -369,13 +392,14 @@ def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     total = pairs.count()
     of = tops.select(F.col("node").alias("tk"), "top")
     known = keep(by_key(pairs, leaders, "leader", total).join(of, "tk", "left").select("tk", "leader", F.coalesce("top", "tk").alias("top"), "led"), "crowded")
-    parted = known.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(F.col("top") != F.col("led")).alias("out")).where("out > 0").select("leader", "n")
+    parted = keep(known.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(F.col("top") != F.col("led")).alias("out")).where("out > 0").select("leader", "n"), "parted")
     return by_key(known, parted, "leader", total)
 
 
 def across(known: DataFrame) -> DataFrame:
     """Meetings of each share of the followers that are in another class than their leader with each share of all (share against share; other is below 0 for those of the leader's class)."""
-    size = known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("k"), F.count("*").alias("n"))
+    known = keep(known, "across")
+    size = keep(known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("k"), F.count("*").alias("n")), "sides")
     dealt = by_key(known, size, "leader", known.count())
     deal = lambda k: F.pmod(F.xxhash64(F.lit(1), "tk"), F.col(k)).cast("int")
     to = lambda k: F.explode(F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1))).alias("j")
@@ -385,15 +409,15 @@ def across(known: DataFrame) -> DataFrame:
     return meet.unionByName(same.select("tk", "leader", "own", to("m")).select("tk", "leader", F.col("j").alias("share"), (-1 - F.col("own")).alias("other"), F.lit(1).alias("side")))
 
 
-#: Keys of texts that may be broadcast, and meetings of one text that are joined to one copy of it.
+#: Keys of texts that may be broadcast (some 50 bytes each), and meetings of one text that are joined to one copy of it.
 FEW, MEETINGS = 100_000, 1000
 
 
 def wanted(texts: DataFrame, need: DataFrame) -> DataFrame:
-    """One row of `texts` (own, tk, text) for each of `need` (tk, id and other columns of its own), with those columns: copies don't travel."""
+    """(tk, text): one row of `texts` (own, tk, text) for each of `need` (tk, id). Copies don't travel."""
+    need = need.select(F.col("tk").alias("t"), "id")
     small = F.broadcast(need) if need.count() <= FEW else need
-    found = texts.withColumnRenamed("tk", "t").join(small, (F.col("t") == F.col("tk")) & F.col("own").eqNullSafe(F.col("id")))
-    return found.drop("t", "own").dropDuplicates(["tk"])
+    return texts.join(small, (F.col("t") == F.col("tk")) & F.col("own").eqNullSafe(F.col("id")), "left_semi").select("tk", "text").dropDuplicates(["tk"])
 
 
 def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
@@ -402,9 +426,10 @@ def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
     times = meet.groupBy("tk").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEETINGS).alias("times"))
     need = keep(times.join(of.select("tk", "id", "top", "bands"), "tk"), "met")
     salted = by_key(meet, need.select("tk", "n", "times"), "tk", meet.count()).withColumn("salt", F.pmod(F.xxhash64("leader", "share", "other"), F.col("times"))).drop("times")
-    there = wanted(texts, need).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).drop("times", "n")
-    there = there.join(salted, ["tk", "salt"]).select("leader", "share", "other", "side", "tk", "top", "text", "bands")
-    return keep(there.groupBy("leader", "share", "other").applyInPandas(verify, "a binary, b binary"), "similar")
+    there = wanted(texts, need).join(need.select("tk", "top", "bands", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("salt")), "tk")
+    there = there.join(salted, ["tk", "salt"]).select("leader", "share", "other", "side", "tk", "top", "bands", "text")
+    by = ["leader", "share", "other"]
+    return keep(there.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify_all, "a binary, b binary"), "similar")
 
 
 def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -418,8 +443,8 @@ def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[Data
     again = keep(apart(pairs, tops).select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
     if again.isEmpty():
         return base, of, tops
-    some = keep(wanted(texts, again).select("tk", "id", "top", "text"), "some")
-    rare = keep(some.select("*", rarest_of(F.col("text"), *frequent_slots(some)).alias("bands")), "rarest")
+    some = keep(wanted(texts, again).join(again, "tk").select("tk", "id", "top", "text"), "some")
+    rare = keep(some.select("*", rarest_of(F.col("text"), word_counts(some)).alias("bands")), "rarest")
     own, crowd = rare.select("tk", F.col("id").alias("own"), "text"), rare.drop("text")
     pairs = pairs_of(crowd)
     more = verified(own, crowd, led(pairs))
@@ -438,7 +463,7 @@ def with_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> Da
     """(id, tk, top, class_id) for each row of docs: texts with the same `top` are one class, class_id is its least id."""
     base, of, tops = find(docs, id_, text)
     own = keep(of.drop("top").join(tops, of.tk == tops.node, "left").select("tk", "id", "n", F.coalesce("top", "tk").alias("top")), "tops")
-    least = own.groupBy("top").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    least = keep(own.groupBy("top").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "ids")
     labels = keep(by_key(own.withColumnRenamed("n", "rows"), least, "top", own.count()).select("tk", "top", "class_id", F.col("rows").alias("n")), "labels")
     return by_key(base.select("id", "tk"), labels, "tk", base.count()).select("id", "tk", "top", "class_id")
 

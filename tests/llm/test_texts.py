@@ -215,7 +215,7 @@ def test_near_copies_awkward(spark):
 
 
 def text_of(w):
-    return near_copies.texts_of(pa.array([" ".join(w)]))[0]
+    return next(near_copies.texts_of(pa.array([" ".join(w)])))
 
 
 def test_order_matters():
