@@ -7,16 +7,18 @@ entries a candidate's score lies between what was read of it plus the least, and
 plus the next, entry of every list in which it was not yet seen. Reading stops
 when no candidate outside the k best lower bounds, seen or not, can still reach
 the k-th; the scores of those left are then resolved. Queries stand in blocks too,
-and each meets each block of candidates once, in tasks that keep the best of what
-they have seen so far as the bar for the next block.
+and blocks of queries in groups of GROUP bytes. A cell of the grid is a group of
+queries and a share of the candidates; a task reads the cell's candidates block by
+block, with no more than the cell's queries beside them, and keeps the best of what
+it has seen so far as the bar for the next block.
 
 Cases: vectors or ids that are null take no part, nor do vectors with null or
 non-finite components; only vectors of the query's length are candidates; ties go
 to the smaller id; a row with the query's id is no candidate for it; of several
 query rows with one id the least vector counts; repeated candidates are rows of
-their own; scores are 64-bit sums, which components below 2**26 in absolute value
-can't leave in 1024 dimensions; an empty table gives no rows; other columns are
-ignored.
+their own; sums that might leave 64 bits are made with whole numbers of any size, and
+a component or a score among the best that does leave them is refused with an error,
+as no row could hold it; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import keep
+
 SCALE, K = 1024, 10
 #: Vectors in a block of candidates and in a block of queries.
 BLOCK, QUERIES = 1024, 256
 #: Queries whose best rows a task holds before it hands them on.
 HELD = 50_000
+#: Bytes of queries in a cell.
+GROUP = 64 << 20
 
 
 def usable(vectors: DataFrame, id_: str, vector: str) -> DataFrame:
@@ -53,6 +59,8 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
         for batch in batches:
             ids, lists = batch.column(0).to_numpy(), batch.column(1)
             flat = np.floor(lists.flatten().to_numpy() * scale)
+            if (np.abs(flat) >= 2.0**63).any():
+                raise OverflowError(f"a component beyond {2.0**63 / scale:g} is no 64-bit whole number after scaling")
             at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             for i in range(len(ids)):
                 own = held.setdefault(int(at[i + 1] - at[i]), [])
@@ -68,62 +76,75 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
 
 #: Shares of the lists after which bounds are drawn.
-DEPTHS = (0.125, 0.25, 0.5, 0.75, 1.0)
+DEPTHS = (0.0625, 0.125, 0.25, 0.5, 1.0)
 
 
 class Lists:
-    """Sorted lists of a block. What has been read down to some depth, from either end, is kept as matrices, so all queries draw their bounds at once."""
+    """Sorted lists of a block: for each dimension the values from the largest down, and whose they are."""
 
     def __init__(self, values: np.ndarray):
         self.values = values
         n = len(values)
-        order = np.argsort(-values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(values, order, axis=0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(n)[:, None], axis=0)
+        self.owner = np.argsort(-values, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(values, self.owner, axis=0)
         self.depths = sorted({max(1, round(n * share)) for share in DEPTHS})
-        self.largest = int(np.abs(values).max())
-        self.read: dict = {}
+        # no numpy here: the least 64-bit number has no absolute value in 64 bits
+        self.largest = max(abs(int(values.max())), abs(int(values.min())))
 
-    def down_to(self, depth: int, kind: type) -> tuple[np.ndarray, ...]:
-        """(seen from the top, their entries, seen from the bottom, their entries)."""
-        if (depth, kind) not in self.read:
-            values = self.values.astype(kind)
-            top, bottom = self.rank < depth, self.rank >= len(values) - depth
-            self.read[depth, kind] = top.astype(kind), values * top, bottom.astype(kind), values * bottom
-        return self.read[depth, kind]
+    def exact(self, query: np.ndarray) -> np.ndarray:
+        return self.values.astype(object) @ query.astype(object)
 
     def best(self, queries: np.ndarray, k: int, bars: list[int | None], own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query (candidates, scores) of all that can be among its k best and score its bar or more; own: candidates that are the query itself."""
+        """For each query (candidates, scores) of all that can be among its k best and score its bar or more; own: candidates that are the query itself.
+
+        All queries read the lists together, a stretch at a time: from the top where their component is positive, else from the bottom.
+        """
         n, dim = self.values.shape
-        # doubles hold these sums exactly, or else whole numbers do
-        kind = np.float64 if self.largest * int(np.abs(queries).max(initial=0)) * dim < 2**52 else np.int64
         out: list = [None] * len(queries)
+        bound = self.largest * max((abs(int(f(queries))) for f in (np.max, np.min)), default=0) * dim
+        if bound >= 2**62:
+            for q in range(len(queries)):
+                live = np.setdiff1d(np.arange(n), own[q])
+                out[q] = live, self.exact(queries[q])[live]
+            return out
+        # doubles hold these sums exactly, or else whole numbers do
+        kind = np.float64 if bound < 2**52 else np.int64
+        least_ever = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
         todo = np.arange(len(queries))
+        part = queries.astype(kind)
+        read, known = np.zeros((len(queries), n), kind), np.zeros((len(queries), n), kind)
+        seen = np.zeros((2, dim, n), kind)
+        done = 0
         for depth in self.depths:
-            seen_top, top, seen_bottom, bottom = self.down_to(depth, kind)
-            up, down = np.maximum(queries[todo], 0).astype(kind), np.minimum(queries[todo], 0).astype(kind)
+            up, down = np.maximum(part, 0), np.minimum(part, 0)
+            for j in range(dim):
+                for side, weight, rows in ((0, up[:, j], slice(done, depth)), (1, down[:, j], slice(n - depth, n - done))):
+                    if weight.any():
+                        who = self.owner[rows, j]
+                        read[:, who] += weight[:, None] * self.sorted[rows, j].astype(kind)
+                        # what an entry is known to add beyond the least that the list holds for this query
+                        known[:, who] += (weight * kind(self.sorted[-1 if side == 0 else 0, j]))[:, None]
+                        seen[side, j, who] = 1
+            done = depth
             next_up, next_down = self.sorted[depth - 1] * up, self.sorted[n - depth] * down
-            least_up, least_down = self.sorted[-1] * up, self.sorted[0] * down
-            read = up @ top.T + down @ bottom.T
-            upper = read + (next_up.sum(axis=1) + next_down.sum(axis=1))[:, None] - next_up @ seen_top.T - next_down @ seen_bottom.T
-            lower = read + (least_up.sum(axis=1) + least_down.sum(axis=1))[:, None] - least_up @ seen_top.T - least_down @ seen_bottom.T
-            stay = []
+            least = (self.sorted[-1] * up + self.sorted[0] * down).sum(axis=1)
+            upper = read + (next_up + next_down).sum(axis=1)[:, None] - next_up @ seen[0] - next_down @ seen[1]
+            lower = read + least[:, None] - known
+            stay = np.zeros(len(todo), bool)
             for row, q in enumerate(todo.tolist()):
                 low, high = lower[row], upper[row]
-                if len(own[q]):
-                    low[own[q]] = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-                bound = bars[q]
+                low[own[q]] = least_ever
+                bar = bars[q]
                 if n - len(own[q]) >= k:
                     kth = np.partition(low, n - k)[n - k]
-                    bound = kth if bound is None else max(bound, kth)
-                live = np.arange(n) if bound is None else np.flatnonzero(high >= bound)
+                    bar = kth if bar is None else max(bar, kth)
+                live = np.arange(n) if bar is None else np.flatnonzero(high >= bar)
                 if depth == n or len(live) <= 4 * k:
                     live = live[~np.isin(live, own[q])] if len(own[q]) else live
                     out[q] = live, self.values[live] @ queries[q]
                 else:
-                    stay.append(q)
-            todo = np.array(stay, np.int64)
+                    stay[row] = True
+            todo, part, read, known = todo[stay], part[stay], read[stay], known[stay]
             if not len(todo):
                 break
         return out
@@ -152,9 +173,14 @@ def nra(k: int):
                 found = last[1].best(q_values.reshape(-1, dim), k, bars, own)
                 for q, (scores, known), (at, new) in zip(q_ids.tolist(), asked, found, strict=True):
                     if len(at):
-                        scores, known = np.concatenate([scores, new]), np.concatenate([known, ids[at]])
-                        by = np.lexsort((known, -scores))[:k]
+                        known = np.concatenate([known, ids[at]])
+                        scores = np.concatenate([scores, new])
+                        # ~x falls as x rises, and stays in 64 bits
+                        by = np.lexsort((known, ~scores))[:k] if scores.dtype != object else np.array(sorted(range(len(scores)), key=lambda i, s=scores, v=known: (-s[i], v[i]))[:k])
                         scores, known = scores[by], known[by]
+                        if scores.dtype == object and any(not -(2**63) <= x < 2**63 for x in scores):
+                            raise OverflowError(f"a score of query {q} is beyond 64 bits")
+                        scores = scores.astype(np.int64)
                     held[q] = scores, known
                 if len(held) > HELD:
                     yield out()
@@ -169,10 +195,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, id_: str = "vec_i
     """(query_id, rank, vec_id, score): the k best of `vectors` for each row of `queries`."""
     spark = vectors.sparkSession
     few = usable(queries, id_, vector).groupBy("id").agg(F.min("v").alias("v"))
-    groups = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = blocks(few, QUERIES, scale).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select("g", F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values"))
-    there = blocks(usable(vectors, id_, vector), BLOCK, scale).withColumn("h", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
-    met = there.join(asked.hint("shuffle_hash"), (F.col("h") == F.col("g")) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_values", "ids", "values")
+    asked = keep(blocks(few, QUERIES, scale).select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("values").alias("q_values")), "queries")
+    held = asked.agg(F.sum(F.octet_length("q_values"))).first()[0] or 0
+    # groups of queries that a task can hold, and as many shares of the candidates as keep all tasks busy
+    groups = -(-held // GROUP) or 1
+    shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // groups)
+    count = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    asked = asked.withColumn("g", F.pmod(F.xxhash64("q_ids"), F.lit(groups)).cast("int")).withColumn("h", count(shares))
+    there = blocks(usable(vectors, id_, vector), BLOCK, scale).withColumn("h", F.pmod(F.xxhash64("ids"), F.lit(shares)).cast("int")).withColumn("g", count(groups))
+    # merged, so that a task holds the queries of one cell at a time
+    met = there.join(asked.hint("merge"), (there.g == asked.g) & (there.h == asked.h) & (F.col("dim") == F.col("q_dim"))).select("dim", "q_ids", "q_values", "ids", "values")
     best = met.mapInArrow(nra(k), "query_id long, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -194,8 +194,42 @@ def test_top_k_with_large_numbers(spark):
 def test_lists_stop_early():
     values = np.arange(4000).reshape(-1, 1)[:, [0, 0]]
     lists = top_k.Lists(values)
+    # what lies below the first stretch is never looked at
+    lists.sorted[300:3700], lists.owner[300:3700] = 10**9, 0
     got = lists.best(np.array([[1, 1]]), 10, [None], [np.zeros(0, np.int64)])[0]
-    assert set(got[0]) >= set(range(3990, 4000)) and len(got[0]) <= 40 and len(lists.read) == 1
+    assert set(got[0]) >= set(range(3990, 4000)) and len(got[0]) <= 40
+
+
+@pytest.mark.parametrize("large", [1, 10**5, 10**8, 10**10])
+def test_lists_by_hand(large):
+    rng = np.random.default_rng(large)
+    values, queries = rng.integers(-9, 10, (300, 6)) * large, rng.integers(-9, 10, (40, 6)) * large
+    own = [np.array([q]) if q % 2 else np.zeros(0, np.int64) for q in range(40)]
+    for q, (at, scores) in enumerate(top_k.Lists(values).best(queries, 5, [None] * 40, own)):
+        want = sorted(((-sum(int(a) * int(b) for a, b in zip(values[i], queries[q], strict=True)), i) for i in range(300) if i not in own[q]))[:5]
+        got = sorted(zip([-int(x) for x in scores], at.tolist(), strict=True))
+        assert set(want) <= set(got) and got[:5] == want
+
+
+def test_top_k_beyond_64_bits(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    # sums on the way leave 64 bits, scores don't
+    rows = [(0, [4e6, 4e6, 1.0]), (1, [4e6, -4e6, 2.0]), (2, [-4e6, 4e6, 3.0]), (3, [1.0, 1.0, 1.0])]
+    assert {tuple(r) for r in top_k.search(frame(rows), frame(rows[:1])).collect()} == best_by_hand(rows)
+    for x in (1e17, 4e10):
+        df = frame([(100, [x, 1.0]), (2, [x, 0.0]), (3, [1.0, 1.0])])
+        with pytest.raises(Exception, match="64"):
+            top_k.search(df, df.where("vec_id = 100")).collect()
+
+
+def test_top_k_in_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "GROUP", 2000)
+    monkeypatch.setattr(top_k, "QUERIES", 8)
+    monkeypatch.setattr(top_k, "HELD", 20)
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6)]) for i in range(0, 6000, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {tuple(r) for r in top_k.search(df, df.where("vec_id % 100 = 0")).collect()} == best_by_hand(rows)
 
 
 # chat
