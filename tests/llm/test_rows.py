@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import brute
 import numpy as np
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from groupfit.llm import chat, mixing, packing, pseudo_likelihood, secret_scan, top_k, url_rules
+from groupfit.llm import chat, mixing, packing, pseudo_likelihood, secret_scan, top_k, url_rules, wordbytes
 
 SF = "/root/testdata/sf0.001"
 
@@ -365,9 +366,10 @@ def test_redact(spark):
 
 def test_gradient():
     rng = np.random.default_rng(0)
-    w = pseudo_likelihood.Network.start().astype(float) * 3
+    w = pseudo_likelihood.Network.start(rng.random(pseudo_likelihood.OUTPUTS)).astype(float) * 3
     net, grad = pseudo_likelihood.Network(w), pseudo_likelihood.Network(np.zeros(pseudo_likelihood.SIZE))
-    around, word = rng.integers(0, pseudo_likelihood.VOCABULARY + 1, (4, 50)), rng.integers(0, pseudo_likelihood.VOCABULARY, 50)
+    around, word = rng.integers(0, 60, (len(pseudo_likelihood.PLACES), 50)), rng.integers(0, pseudo_likelihood.OUTPUTS, 50)
+    around[rng.random(around.shape) < 0.1] = pseudo_likelihood.EDGE
     net.scores(around, word, grad)
     for i in rng.choice(np.flatnonzero(grad.flat), 25):
         old, near = w[i], []
@@ -382,8 +384,86 @@ def test_every_round_trains_on_small_partitions(spark, monkeypatch):
     starts, train = [], pseudo_likelihood.train
     monkeypatch.setattr(pseudo_likelihood, "train", lambda weights, *a: (starts.append(weights), train(weights, *a))[1])
     docs = spark.createDataFrame([(i, f"some words of text {i} that is short") for i in range(40)], "doc_id long, text string").repartition(4)
-    weights = pseudo_likelihood.fit(docs)
-    assert len(starts) == 2 and (starts[1] != starts[0]).any() and (weights != starts[1]).any()
+    starts.append(pseudo_likelihood.fit(docs).weights)
+    assert len(starts) == pseudo_likelihood.ROUNDS + 1 and all((a != b).any() for a, b in zip(starts, starts[1:], strict=False))
+
+
+def score_by_hand(text, corpus, weights, outputs, groups_known):
+    """Score of a text in plain Python: softmax by softmax, and the shares of words within their groups from counts of the whole corpus."""
+    P = pseudo_likelihood
+    net = P.Network(weights.astype(float))
+    w = brute.words(text)
+    ids = [outputs.get(x, P.FREQUENT + group_by_hand(x)) for x in w]
+    total = 0.0
+    for i, x in enumerate(w):
+        z = net.hidden.copy()
+        for k in P.PLACES:
+            there = ids[i + k] if 0 <= i + k < len(w) else P.EDGE
+            z = z + net.sides[int(k > 0)][there]
+        h = np.tanh(z)
+        cls, member = ids[i] % P.CLASSES, ids[i] // P.CLASSES
+        a, b = net.classes @ h + net.class_bias, net.members[cls] @ h + net.member_bias[cls]
+        total += a[cls] - np.log(np.exp(a).sum()) + b[member] - np.log(np.exp(b).sum())
+        if x not in outputs:
+            words, types = groups_known[group_by_hand(x)]
+            total += np.log(corpus[x] / (words + types)) if x in corpus else np.log(max(types, 1) / (words + max(types, 1))) - len(x.encode()) * np.log(256)
+    return total
+
+
+def group_by_hand(word):
+    tail = 0
+    for k in range(1, 5):
+        raw = word.encode()
+        tail = tail << 8 | (raw[-k] if k <= len(raw) else 0)
+    for _ in range(2):
+        tail = (tail ^ tail >> 32) * 0xD6E8FEB86659FD93 % 2**64
+    return (tail ^ tail >> 32) % pseudo_likelihood.GROUPS
+
+
+@pytest.mark.parametrize("known", [1 << 18, 700])
+def test_scores_by_hand(spark, monkeypatch, known):
+    """The query's own scores over a whole small table, whether rare words travel with the network or are joined, and those of words that the corpus lacks."""
+    P = pseudo_likelihood
+    monkeypatch.setattr(P, "KNOWN", known)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    model = P.fit(docs)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    corpus = Counter(x for t in texts.values() for x in brute.words(t))
+    name = lambda x: int(wordbytes.Words(np.frombuffer(x.encode(), np.uint8), np.array([0, len(x.encode())])).hashes[0])
+    own = dict(zip(model.vocabulary.hashes.tolist(), model.vocabulary.outputs.tolist(), strict=True))
+    outputs = {x: own[h] for x in corpus if own.get(h := name(x), P.FREQUENT) < P.FREQUENT}
+    assert len(outputs) == min(P.FREQUENT, len(corpus)) or known < 1000
+    assert min(corpus[x] for x in outputs) >= max((corpus[x] for x in corpus if x not in outputs), default=0)
+    assert (model.rest.count() > 0) == (len(corpus) > P.FREQUENT + known)
+    groups = {}
+    for x, n in corpus.items():
+        if x not in outputs:
+            words, types = groups.get(group_by_hand(x), (0, 0))
+            groups[group_by_hand(x)] = words + n, types + 1
+    groups_known = {g: groups.get(g, (0, 0)) for g in range(P.GROUPS)}
+    got = {r.doc_id: r for r in P.score(docs, model).collect()}
+    assert set(got) == set(texts)
+    for d in sorted(texts, key=lambda d: len(texts[d]))[:120]:
+        assert got[d].n_tokens == len(brute.words(texts[d]))
+        want = score_by_hand(texts[d], corpus, model.weights, outputs, groups_known)
+        assert abs(got[d].log_prob - want) <= 1e-4 * max(1, abs(want)), d
+    odd = "the neverseenword of zzzqqq"
+    r = P.score(spark.createDataFrame([(1, odd)], "doc_id long, text string"), model).first()
+    assert abs(r.log_prob - score_by_hand(odd, corpus, model.weights, outputs, groups_known)) < 1e-3
+
+
+def test_words_are_told_from_their_neighbours(spark):
+    """Held-out texts: half a nat a word better than the words' own frequencies."""
+    P = pseudo_likelihood
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text is not null").dropDuplicates(["text"]).repartition(4)
+    part = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(10))
+    model, held = P.fit(docs.where(part > 0)), docs.where(part == 0)
+    got = P.score(held, model).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+    bare = P.Model(P.Network.start(P.vocabulary_of(P.lexicon_of(docs.where(part > 0).select("text")))[1]) * 1, model.vocabulary, model.rest)
+    net = P.Network(bare.weights)
+    net.sides[:], net.classes[:], net.members[:] = 0, 0, 0
+    alone = P.score(held, bare).agg(F.sum("log_prob"), F.sum("n_tokens")).first()
+    assert got[0] / got[1] - alone[0] / alone[1] > 0.5
 
 
 def test_pseudo_likelihood(spark):
@@ -403,10 +483,10 @@ def test_pseudo_likelihood(spark):
         mixed = rng.sample(w, len(w))
         held += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(mixed))]
     train = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    weights = pseudo_likelihood.fit(train)
-    got = {r.doc_id: r for r in pseudo_likelihood.score(spark.createDataFrame(held, "doc_id long, text string"), weights).collect()}
+    model = pseudo_likelihood.fit(train)
+    got = {r.doc_id: r for r in pseudo_likelihood.score(spark.createDataFrame(held, "doc_id long, text string"), model).collect()}
     assert sum(got[2 * i].mean_log_prob > got[2 * i + 1].mean_log_prob for i in range(40)) >= 39
     odd = spark.createDataFrame([(1, None, 1), (2, "", 1), (3, "one", 1), (3, "one", 1)], "doc_id long, text string, log_prob int")
-    got = sorted((r.doc_id, r.n_tokens, r.log_prob == 0, r.mean_log_prob is None) for r in pseudo_likelihood.score(odd, weights).collect())
+    got = sorted((r.doc_id, r.n_tokens, r.log_prob == 0, r.mean_log_prob is None) for r in pseudo_likelihood.score(odd, model).collect())
     assert got == [(1, 0, True, True), (2, 0, True, True), (3, 1, False, False), (3, 1, False, False)]
     assert pseudo_likelihood.score(odd.limit(0), pseudo_likelihood.fit(odd.limit(0))).count() == 0
