@@ -13,11 +13,11 @@ put in, left out or replaced) make one the other and 1 - e / max(a, b) >= SIMILA
 e is found in a band of diagonals, which widens up to what the similarity allows.
 Followers that don't match the leader are compared with one another where they
 share a band. A leader with many followers meets them in several shares; if some of
-those don't match it, all of its followers are joined again by their rarest words:
-in any one order of all words, similar texts have one in common among their first
-fifth (a proof, not a probability), and with frequent words last, texts that share
-no more than a template meet nowhere. Leaders of those buckets that still part
-classes in several shares have them compared share against share. So every pair of
+those don't match it, all of its followers are joined again by their rarest pairs of
+neighbouring words: in any one order of all pairs, similar texts have one in common
+among their first two fifths (a proof, not a probability), and with frequent pairs
+last, texts that share no more than a template meet nowhere. Leaders of those buckets
+that still part classes in several shares have them compared share against share. So every pair of
 texts that agree on a band is compared, or in one class already.
 
 Exact copies are one text from the start. Links become classes by alternating
@@ -51,8 +51,8 @@ SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
 SHORT = 40
 #: Followers of a leader that meet in one place.
 SHARE = 200
-#: Slots in which words are counted.
-SLOTS = 1 << 18
+#: Words that stand together in the second join, and slots in which such runs are counted.
+PAIR, SLOTS = 2, 1 << 18
 #: A key is hot from 1 / HOT of all rows on.
 HOT = 2000
 
@@ -123,14 +123,14 @@ def slots_of(keys: np.ndarray) -> np.ndarray:
     return (keys % U64(SLOTS)).astype(np.int64)
 
 
-def word_counts(texts: DataFrame) -> np.ndarray:
-    """How often the labelled words of each slot occur in `texts`: SLOTS numbers, for all words. They only order words, so words may share a slot."""
+def run_counts(texts: DataFrame) -> np.ndarray:
+    """How often the labelled runs of PAIR words of each slot occur in `texts`: SLOTS numbers, for all runs. They only order runs, so runs may share a slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
-                n += np.bincount(slots_of(labelled(Words(data, bounds), 1)[0]), minlength=SLOTS)
+                n += np.bincount(slots_of(labelled(Words(data, bounds), PAIR)[0]), minlength=SLOTS)
         at = np.flatnonzero(n)
         trim()
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
@@ -141,21 +141,29 @@ def word_counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
+def in_common(words: int) -> int:
+    """Labelled runs of PAIR words that a text of so many words has in common with any similar one, at least.
+
+    An edit spoils PAIR runs of the longer text, which has L >= words; (1 - SIMILAR) * L edits leave L - PAIR + 1 - PAIR * (1 - SIMILAR) * L of them, and more the larger L is.
+    """
+    return max(1, math.ceil(words * (1 - PAIR * (1 - SIMILAR)) - PAIR + 1 - 1e-6))
+
+
 def rarest_of(text: Column, rank: np.ndarray) -> Column:
-    """The labelled words of each text, rarest first, as many as any text that is similar must have one of.
+    """The labelled runs of PAIR words of each text, rarest first, as many as any similar text must have one of.
 
-    Texts of a and b words that e edits make equal have max(a, b) - e labelled words in common at least, so
-    similar ones have m >= SIMILAR * a; of these the first in the order of all words has m - 1 after it, so it
-    is among the first a - m + 1.
+    Of m runs in common the first in the order of all runs has m - 1 after it, so it is among the first of a text's n runs up to the place n - m + 1.
     """
 
     def run(column: pa.Array) -> pa.Array:
         flat, sizes = [np.zeros(0, U64)], []
         for lo, hi, data, bounds in chunks(column):
-            keys, at = labelled(Words(data, bounds), 1)
+            w = Words(data, bounds)
+            keys, at = labelled(w, PAIR)
+            words = np.diff(w.first)
             for i in range(hi - lo):
                 own = keys[at[i] : at[i + 1]]
-                many = len(own) - math.ceil(SIMILAR * len(own) - 1e-6) + 1 if len(own) else 0
+                many = max(0, len(own) - in_common(int(words[i])) + 1)
                 flat.append(own[np.lexsort((own, rank[slots_of(own)]))[:many]])
                 sizes.append(many)
         trim()
@@ -345,23 +353,27 @@ def by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame
     return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
 
 
-def classes(links: DataFrame) -> DataFrame:
-    """(node, top): the least node that links join each node to; nodes without links are absent."""
-    state = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    edges = keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    before = state(edges)
-    while True:
+def is_done(edges: DataFrame) -> bool:
+    """Are all edges (u, v) those of stars, whose centres v are in no other? Then every star is a whole class: steps keep what is linked linked."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.count("*").alias("n")).where("out > 1 or (out = 1 and n > 1)").isEmpty()
+
+
+def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(node, top): the least node that links, and classes that are known already, join each node to; nodes without links are absent."""
+    links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    if known is not None:
+        links = links.unionByName(known.select(F.col("node").alias("u"), F.col("top").alias("v")))
+    edges = keep(links.where("u <> v").distinct(), "links")
+    while not is_done(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = by_key(both, low, "u", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = by_key(both, low, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # a node has few smaller neighbours: it was told of one for each group that it met others in
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        after = state(new)
-        if after == before:
-            return new.select(F.col("u").alias("node"), F.col("v").alias("top"))
-        edges, before = new, after
+        edges = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("top"))
 
 
 def pairs_of(of: DataFrame) -> DataFrame:
@@ -425,9 +437,13 @@ def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
     meet = keep(meet, "meetings")
     times = meet.groupBy("tk").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEETINGS).alias("times"))
     need = keep(times.join(of.select("tk", "id", "top", "bands"), "tk"), "met")
-    salted = by_key(meet, need.select("tk", "n", "times"), "tk", meet.count()).withColumn("salt", F.pmod(F.xxhash64("leader", "share", "other"), F.col("times"))).drop("times")
-    there = wanted(texts, need).join(need.select("tk", "top", "bands", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)).alias("salt")), "tk")
-    there = there.join(salted, ["tk", "salt"]).select("leader", "share", "other", "side", "tk", "top", "bands", "text")
+    own = wanted(texts, need).join(need.select("tk", "top", "bands", "times"), "tk")
+    if need.where("times > 1").isEmpty():
+        there = own.join(meet, "tk")
+    else:
+        salted = by_key(meet, need.select("tk", "n", "times"), "tk", meet.count()).withColumn("salt", F.pmod(F.xxhash64("leader", "share", "other"), F.col("times"))).drop("times")
+        there = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).join(salted, ["tk", "salt"])
+    there = there.select("leader", "share", "other", "side", "tk", "top", "bands", "text")
     by = ["leader", "share", "other"]
     return keep(there.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify_all, "a binary, b binary"), "similar")
 
@@ -438,25 +454,23 @@ def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[Data
     base = keep(texts.select(F.col("own").alias("id"), "tk", bands_of(F.col("text")).alias("bands")), "bands")
     of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top"), F.count("*").alias("n")), "texts")
     pairs = pairs_of(of)
-    links = verified(texts, of, led(pairs))
-    tops = classes(links)
+    tops = classes(verified(texts, of, led(pairs)))
     again = keep(apart(pairs, tops).select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
     if again.isEmpty():
         return base, of, tops
     some = keep(wanted(texts, again).join(again, "tk").select("tk", "id", "top", "text"), "some")
-    rare = keep(some.select("*", rarest_of(F.col("text"), word_counts(some)).alias("bands")), "rarest")
+    rare = keep(some.select("*", rarest_of(F.col("text"), run_counts(some)).alias("bands")), "rarest")
     own, crowd = rare.select("tk", F.col("id").alias("own"), "text"), rare.drop("text")
     pairs = pairs_of(crowd)
     more = verified(own, crowd, led(pairs))
     if not more.isEmpty():
-        links = links.unionByName(more)
-        tops = classes(links)
+        tops = classes(more, tops)
     known = apart(pairs, tops)
     if known.isEmpty():
         return base, of, tops
     now = crowd.drop("top").join(tops, crowd.tk == tops.node, "left").select("tk", "id", "bands", F.coalesce("top", "tk").alias("top"))
     more = verified(own, now, across(known))
-    return base, of, tops if more.isEmpty() else classes(links.unionByName(more))
+    return base, of, tops if more.isEmpty() else classes(more, tops)
 
 
 def with_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:

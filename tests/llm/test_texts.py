@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -243,6 +244,19 @@ def test_alignment_of_copies(x, changes):
     assert text_of([f"w{v}" for v in x]).similar(text_of([f"w{v}" for v in y])) == brute.similar(x, y)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 2), min_size=1, max_size=25), st.lists(st.tuples(st.integers(0, 25), st.integers(0, 4)), max_size=5))
+def test_similar_texts_have_pairs_in_common(x, changes):
+    """The bound that the second join rests on."""
+    y = list(x)
+    for at, to in changes:
+        y[at : at + 1] = [] if to == 4 else [to]
+    if brute.similar(x, y) and x != y:
+        pairs = [Counter(zip(v, v[1:], strict=False)) for v in (x, y)]
+        common = (pairs[0] & pairs[1]).total()
+        assert common >= near_copies.in_common(len(x)) and common >= near_copies.in_common(len(y))
+
+
 def test_near_copies_are_found(spark):
     """Recall: copies with a tenth of their words replaced, and short ones with one word replaced."""
     rng = random.Random(5)
