@@ -16,8 +16,9 @@ ranges of the seeded hash, slices are summed first, and only a slice is ever
 sorted in one task.
 
 Cases: a null or empty text has size 0 and is taken as 0 words; a null source is
-a source of its own, after the others; repeated rows are documents of their own
-with equal hashes, so they are interchangeable; an empty table gives no rows;
+a source of its own, after the others; repeated rows are documents of their own,
+but interchangeable: they are counted first, stand on the line as one and are told
+apart by their number there; an empty table gives no rows;
 other columns are dropped by `plan` and kept by `take`.
 """
 
@@ -30,7 +31,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import documents, free_name, keep
+from .storage import by_key, documents, free_name, keep
 
 #: Documents in one slice of a pattern, about, and slices whose sums are added up in one task.
 SLICE, SLICES = 1000, 4096
@@ -137,12 +138,13 @@ def flow_by_component(patterns: dict[tuple, int], quotas: dict[object, int], use
 def on_line(docs: DataFrame, of: DataFrame, seed: int, slice_rows: int = SLICE) -> DataFrame:
     """`docs` (id, sources, size) joined to `of` (a row for each pattern: of, docs, whole, ...) with `before`: the words of the pattern's documents that stand earlier.
 
-    Two passes over the narrow table: slices are summed (and runs of slices before them), then each slice is ordered by itself.
+    Equal rows are one on the line, as often as they occur, so they don't meet in one slice. Two passes over the narrow table: slices are summed (and runs of slices before them), then each slice is ordered by itself.
     """
     h = F.xxhash64(F.lit(seed), F.col("id"), F.col("size"))
     slice_ = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * F.ceil(F.col("docs") / slice_rows)).cast("long")
-    dealt = docs.withColumn("h", h).join(of, F.col("sources") == F.col("of")).withColumn("slice", slice_)
-    slices = dealt.groupBy("of", "slice").agg(F.sum("size").alias("words")).withColumn("run", F.floor(F.col("slice") / SLICES))
+    rows = docs.groupBy("id", "sources", "size").agg(F.count("*").alias("times"))
+    dealt = rows.withColumn("h", h).join(of, F.col("sources") == F.col("of")).withColumn("slice", slice_)
+    slices = dealt.groupBy("of", "slice").agg(F.sum(F.col("size") * F.col("times")).alias("words")).withColumn("run", F.floor(F.col("slice") / SLICES))
 
     def earlier(*by: str) -> Column:
         return F.sum("words").over(Window.partitionBy(*by[:-1]).orderBy(by[-1])) - F.col("words")
@@ -151,12 +153,15 @@ def on_line(docs: DataFrame, of: DataFrame, seed: int, slice_rows: int = SLICE)
     in_run = slices.select("of", "run", "slice", earlier("of", "run", "slice").alias("r_inside"))
     slices = in_run.join(runs, (F.col("of") == F.col("r_of")) & (F.col("run") == F.col("r_run"))).select(F.col("of").alias("s_of"), F.col("slice").alias("s_slice"), (F.col("r_start") + F.col("r_inside")).alias("start"))
     inner = Window.partitionBy("of", "slice").orderBy("h", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    within = dealt.withColumn("inside", F.sum("size").over(inner) - F.col("size"))
-    return within.join(slices, (F.col("of") == F.col("s_of")) & (F.col("slice") == F.col("s_slice"))).withColumn("before", F.col("start") + F.col("inside"))
+    whole = F.col("size") * F.col("times")
+    within = dealt.withColumn("inside", F.sum(whole).over(inner) - whole)
+    placed = within.join(slices, (F.col("of") == F.col("s_of")) & (F.col("slice") == F.col("s_slice")))
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))
+    return placed.withColumn("nth", nth).withColumn("before", F.col("start") + F.col("inside") + F.col("nth") * F.col("size"))
 
 
-#: Rows that a table made on the driver may have to be broadcast.
-SMALL = 50_000
+#: Rows that a table made on the driver may have to be broadcast, and patterns that it may plan for.
+SMALL, PATTERNS = 50_000, 1_000_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -167,11 +172,14 @@ def plan(docs: DataFrame, weight_of, share: float = 1.5, uses: int = 2, seed: in
     """Words to take of each document.
 
     docs: id, sources (array of strings, null entries allowed; a null array counts as one null source), size. weight_of: maps the list of sources, by code point with null last, to their weights.
-    Returns (id, sources, size, taken, parts: array of (source, words)) and a dict of source -> (size, target). The driver holds a row for each pattern and source.
+    Returns (id, sources, size, taken, parts: array of (source, words)) and a dict of source -> (size, target). The driver holds a row for each pattern and source, and refuses more than PATTERNS.
     """
     nothing = F.array(F.lit(None).cast("string"))
     docs = keep(docs.select("id", F.coalesce("sources", nothing).alias("sources"), F.col("size").cast("long").alias("size")), "mix-sizes")
-    seen = {tuple(r["sources"]): (int(r["words"]), r["docs"]) for r in docs.groupBy("sources").agg(F.sum("size").alias("words"), F.count("*").alias("docs")).collect()}
+    patterns_of = keep(docs.groupBy("sources").agg(F.sum("size").alias("words"), F.count("*").alias("docs")), "mix-patterns")
+    if (many := patterns_of.count()) > PATTERNS:
+        raise ValueError(f"documents have {many} different sets of sources; flows are planned for up to {PATTERNS}")
+    seen = {tuple(r["sources"]): (int(r["words"]), r["docs"]) for r in patterns_of.collect()}
     order = sorted({s for key in seen for s in key}, key=lambda s: (s is None, s or ""))
     place = {s: k for k, s in enumerate(order)}
     patterns = sorted(seen, key=lambda key: [place[s] for s in key])
@@ -206,16 +214,19 @@ def plan(docs: DataFrame, weight_of, share: float = 1.5, uses: int = 2, seed: in
 def take(docs: DataFrame, weight_of, share: float = 1.5, uses: int = 2, seed: int = 7, text: str = "text", source: str = "source") -> DataFrame:
     """The mix itself: each row of `docs` as often as its words are taken, rounded to whole documents (a document without words once). Columns as in `docs`.
 
-    A row is known by a hash of its columns. Equal rows share what is taken of them: evenly, and the rest as further copies of one.
+    A row is known by two 64-bit hashes of its columns, of whatever type. Equal rows share what is taken of them: evenly, and the rest as further copies of one.
     """
-    names = [free_name(docs.columns, x) for x in ("key", "size", "id", "copies", "rows", "n")]
-    key, size, id_, copies, rows, n = names
+    names = [free_name(docs.columns, x) for x in ("key", "size", "id", "copies", "rows", "n", "times")]
+    key, size, id_, copies, rows, n, times = names
     own = [docs[c] for c in docs.columns]
-    wide = docs.withColumn(key, F.xxhash64(*own, F.concat(*[c.isNull().cast("string") for c in own]))).withColumn(size, size_of(docs[text]))
+    told = [F.to_json(F.struct(docs[f.name])) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else docs[f.name] for f in docs.schema.fields]
+    seeds = [F.xxhash64(F.lit(k), *told, F.concat(*[c.isNull().cast("string") for c in own])).alias(f"k{k}") for k in (0, 1)]
+    wide = docs.withColumn(key, F.struct(*seeds)).withColumn(size, size_of(docs[text]))
     planned, _ = plan(wide.select(F.col(key).alias("id"), F.array(docs[source].cast("string")).alias("sources"), F.col(size).alias("size")), weight_of, share, uses, seed)
     whole = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("long")
     per_key = planned.withColumnRenamed("id", id_).groupBy(id_).agg(F.sum(whole).alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0)
-    joined = wide.join(keep(per_key, "mix-copies"), F.col(key) == F.col(id_))
+    counted = keep(per_key.withColumnRenamed(id_, key).withColumn(times, F.col(rows)), "mix-copies")
+    joined = by_key(wide, counted, key, counted.agg(F.coalesce(F.sum(times), F.lit(0))).first()[0], count=times)
 
     def repeat(df: DataFrame, times: Column) -> DataFrame:
         return df.where(times > 0).withColumn(n, F.explode(F.sequence(F.lit(1), times)))

@@ -23,7 +23,7 @@ texts that agree on a band is compared, or in one class already.
 Exact copies are one text from the start. Links become classes by alternating
 large-star and small-star steps over joins. Keys that hold many rows (a text with
 very many copies, the centre of a large class) are found by their counts, at most
-2 * HOT of them, and their side is broadcast, so their rows stay where they are.
+storage.HOT of them, and their side is broadcast, so their rows stay where they are.
 
 Cases: a null text counts as empty; all texts without words, equal byte for
 byte, are copies of one another; a text of fewer than five words is one run;
@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .storage import documents, free_name, keep
+from .storage import by_key, documents, free_name, keep
 from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash, trim
 
 SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
@@ -53,8 +53,6 @@ SHORT = 40
 SHARE = 200
 #: Words that stand together in the second join, and slots in which such runs are counted.
 PAIR, SLOTS = 2, 1 << 18
-#: A key is hot from 1 / HOT of all rows on.
-HOT = 2000
 
 
 def labelled(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -343,16 +341,6 @@ def verify_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def by_key(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """`rows` (`total` of them) joined to `table`: one row for each key, and how many of `rows` have it as `n`. Hot keys, no more than HOT by their counts, are broadcast."""
-    least = max(1000, total // HOT)
-    hot, all_ = table.where(F.col("n") > least).drop("n"), table.drop("n")
-    if hot.isEmpty():
-        return rows.join(all_, key)
-    cold = table.where(F.col("n") <= least).drop("n")
-    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
-
-
 def is_done(edges: DataFrame) -> bool:
     """Are all edges (u, v) those of stars, whose centres v are in no other? Then every star is a whole class: steps keep what is linked linked."""
     ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("e")).select("e.*")

@@ -3,9 +3,13 @@
 Each rule reads counts of one text and votes good (+1), bad (-1) or abstains (0).
 Expectation-maximisation over the counts of vote patterns (at most 3 to the
 number of rules, whatever the corpus) estimates how often each rule votes either
-way on good and on bad documents, hence its accuracy, and the share of good ones. A document's
-posterior probability of being good is then a sum of weights, a plain column
-expression; it replaces a filter that every rule must pass.
+way on good and on bad documents, hence its accuracy, and the share of good ones. An
+abstention says nothing: it adds no weight, neither to estimates nor to the verdict. A
+document's posterior probability of being good is then a sum of weights of votes, a
+plain column expression; it replaces a filter that every rule must pass.
+
+Texts are counted once; the counts are written beside what they belong to, and both
+the estimate and the verdict read them there.
 
 Cases: a null text counts as empty; on a text without words every rule but the
 one on length abstains; repeated rows get equal verdicts; an
@@ -23,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .storage import free_name
+from .storage import documents, free_name, keep
 from .wordbytes import U64, Words, chunks, count_in, hash_spans, mix, per_text, runs_hash, trim
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_letter_words", "n_stopped_lines", "longest_run")
@@ -97,6 +101,13 @@ def counts_of(text: Column) -> Column:
     return arrow_udf(_counts, "struct<" + ",".join(f"{c}:bigint" for c in COUNTS) + ">")(text)
 
 
+def over(counts: str, sql: str) -> Column:
+    """SQL in which {name} is one of COUNTS in the struct column `counts`."""
+    for c in COUNTS:
+        sql = sql.replace(f"{{{c}}}", f"`{counts}`.`{c}`")
+    return F.expr(sql)
+
+
 @dataclass(frozen=True)
 class Rule:
     """Votes bad where `bad` holds, else good where `good` holds; abstains elsewhere. On texts without words the rule named length votes bad and the others abstain. Both are SQL over COUNTS."""
@@ -106,27 +117,25 @@ class Rule:
     good: str
 
     def vote(self, counts: str) -> Column:
-        def at(sql: str) -> Column:
-            for c in sorted(COUNTS, key=len, reverse=True):
-                sql = sql.replace(f"{{{c}}}", f"`{counts}`.`{c}`")
-            return F.expr(sql)
-
-        return F.when(at("{n_words} = 0"), -1 if self.name == "length" else 0).when(at(self.bad), -1).when(at(self.good), 1).otherwise(0)
+        return F.when(over(counts, "{n_words} = 0"), -1 if self.name == "length" else 0).when(over(counts, self.bad), -1).when(over(counts, self.good), 1).otherwise(0)
 
 
-#: Most rules look for one kind of defect and abstain where it is absent: a single kind marks a document, whatever the others say.
+#: Between what speaks for and what speaks against a document, rules abstain.
 RULES = (
-    Rule("length", "{n_words} < 20", "false"),
-    Rule("word_length", "{word_chars} < 2 * {n_words} or {word_chars} > 14 * {n_words}", "false"),
-    Rule("symbols", "10 * {n_symbols} > {n_words}", "false"),
-    Rule("symbol_mass", "2 * {n_symbols} > {n_words}", "false"),
-    Rule("duplicate_lines", "{n_dup_lines} >= 4 and 10 * {n_dup_lines} > 3 * {n_lines}", "false"),
+    Rule("length", "{n_words} < 20", "{n_words} >= 100"),
+    Rule("word_length", "{word_chars} < 2 * {n_words} or {word_chars} > 14 * {n_words}", "{word_chars} >= 3 * {n_words} and {word_chars} <= 9 * {n_words}"),
+    Rule("symbols", "10 * {n_symbols} > {n_words}", "{n_symbols} = 0"),
+    Rule("symbol_mass", "2 * {n_symbols} > {n_words}", "50 * {n_symbols} <= {n_words}"),
+    Rule("duplicate_lines", "{n_dup_lines} >= 4 and 10 * {n_dup_lines} > 3 * {n_lines}", "{n_lines} >= 3 and {n_dup_lines} = 0"),
     Rule("repetition", "10 * {n_repeat_words} > 4 * {n_words}", "10 * {n_repeat_words} <= {n_words}"),
-    Rule("letters", "10 * {n_letter_words} < 7 * {n_words}", "false"),
+    Rule("letters", "10 * {n_letter_words} < 7 * {n_words}", "20 * {n_letter_words} >= 19 * {n_words}"),
     Rule("line_ends", "{n_lines} >= 4 and 10 * {n_stopped_lines} < {n_lines}", "2 * {n_stopped_lines} >= {n_lines}"),
-    Rule("word_runs", "{longest_run} >= 8", "false"),
+    Rule("word_runs", "{longest_run} >= 8", "{longest_run} <= 2"),
 )
 
+#: The base rules of the contract.
+FAILED = "{n_words} < 50 or 100 * {n_repeat_words} > 50 * {n_words}"
+
 
 @dataclass(frozen=True)
 class Model:
@@ -135,9 +144,9 @@ class Model:
     prior: float
     chance: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
 
-    def weights(self) -> tuple[float, list[tuple[float, float, float]]]:
-        """Log odds before any vote, and what a bad vote, an abstention and a good vote of each rule add."""
-        return float(np.log(self.prior / (1 - self.prior))), [tuple(float(np.log(g / b)) for g, b in zip(good, bad, strict=True)) for good, bad in self.chance]
+    def weights(self) -> tuple[float, list[tuple[float, float]]]:
+        """Log odds before any vote, and what a bad vote and a good vote of each rule add."""
+        return float(np.log(self.prior / (1 - self.prior))), [(float(np.log(good[0] / bad[0])), float(np.log(good[2] / bad[2]))) for good, bad in self.chance]
 
     def accuracy(self) -> list[tuple[float, float]]:
         """How often each rule, when it votes, is right on good and on bad documents."""
@@ -160,7 +169,7 @@ def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float =
     chance = np.tile(np.array(START)[None], (votes.shape[1], 1, 1))
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(rounds):
-        gain = np.log(chance[:, 0]) - np.log(chance[:, 1])
+        gain = (np.log(chance[:, 0]) - np.log(chance[:, 1])) * (1.0, 0.0, 1.0)
         p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.einsum("pjv,jv->p", hot, gain))))
         new = np.stack([np.einsum("p,pjv->jv", n * w, hot) + np.array(START[c]) for c, w in enumerate((p, 1 - p))], axis=1)
         new /= new.sum(axis=2, keepdims=True)
@@ -175,36 +184,39 @@ def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float =
     return Model(prior, tuple((tuple(map(float, g)), tuple(map(float, b))) for g, b in chance))
 
 
-def fit(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> Model:
-    """One pass over all texts; the driver gets one row for each vote pattern that occurs."""
-    seen = docs.select(F.col(text).alias("text")).select(counts_of(F.coalesce(F.col("text"), F.lit(""))).alias("c")).select(F.array(*[r.vote("c") for r in rules]).alias("v")).groupBy("v").count().collect()
+def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, counts: str = "counts") -> Model:
+    """From a table with the struct `counts`; the driver gets one row for each vote pattern that occurs."""
+    seen = counted.select(F.array(*[r.vote(counts) for r in rules]).alias("v")).groupBy("v").count().collect()
     seen.sort(key=lambda r: r["v"])
     votes = np.array([r["v"] for r in seen]).reshape(len(seen), len(rules))
     return estimate(votes, np.array([r["count"] for r in seen], float))
 
 
-def score(docs: DataFrame, model: Model, rules: tuple[Rule, ...] = RULES, text: str = "text", counts: str = "counts", posterior: str = "posterior") -> DataFrame:
-    """`docs` with the struct `counts` and the probability `posterior` added; both names must be free."""
-    out = docs.withColumn(counts, counts_of(F.coalesce(F.col(text), F.lit(""))))
+def posterior_of(model: Model, rules: tuple[Rule, ...] = RULES, counts: str = "counts") -> Column:
     base, added = model.weights()
     odds = F.lit(base)
-    for rule, (down, none, up) in zip(rules, added, strict=True):
+    for rule, (down, up) in zip(rules, added, strict=True):
         vote = rule.vote(counts)
-        odds = odds + F.when(vote == 1, F.lit(up)).when(vote == -1, F.lit(down)).otherwise(F.lit(none))
-    return out.withColumn(posterior, 1 / (1 + F.exp(-odds)))
+        odds = odds + F.when(vote == 1, F.lit(up)).when(vote == -1, F.lit(down)).otherwise(F.lit(0.0))
+    return 1 / (1 + F.exp(-odds))
+
+
+def score(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", counts: str = "counts", posterior: str = "posterior", base_failed: str = "base_failed") -> DataFrame:
+    """`docs`, written with the struct `counts`, and with the probability `posterior` and `base_failed` added; the three names must be free."""
+    counted = keep(docs.withColumn(counts, counts_of(F.coalesce(F.col(text), F.lit("")))), "counts")
+    return counted.withColumn(posterior, posterior_of(fit(counted, rules, counts), rules, counts)).withColumn(base_failed, over(counts, FAILED))
 
 
 def filter_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", least: float = 0.5) -> DataFrame:
-    """Rows whose posterior is `least` or more, with the columns of `docs`."""
-    c, p = free_name(docs.columns, "counts"), free_name(docs.columns, "posterior")
-    return score(docs, fit(docs, rules, text), rules, text, c, p).where(F.col(p) >= least).select(*[docs[x] for x in docs.columns])
+    """Rows that the base rules pass and whose posterior is `least` or more, with the columns of `docs`."""
+    c, p, f = (free_name(docs.columns, x) for x in ("counts", "posterior", "base_failed"))
+    return score(docs, rules, text, c, p, f).where(~F.col(f) & (F.col(p) >= least)).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the counts, the base rules and the verdict for every document."""
-    from .storage import documents
-
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    out = score(docs, fit(docs))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.select("doc_id", *[F.col(f"counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")], F.round("posterior", 9).alias("posterior")).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= 0.5)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
+    docs = documents(spark, sf_dir).select("doc_id", counts_of(F.coalesce("text", F.lit(""))).alias("counts"))
+    counted = keep(docs, "counts")
+    out = counted.withColumn("posterior", posterior_of(fit(counted))).withColumn("base_failed", over("counts", FAILED))
+    told = [F.col(f"counts.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select("doc_id", *told, "base_failed", (~F.col("base_failed") & (F.col("posterior") >= 0.5)).alias("kept"), F.round("posterior", 9).alias("posterior"))

@@ -13,8 +13,10 @@ random would spread evenly, so what lies above a level beyond their even share
 are false discoveries; the lowest level of a fixed grid with a share of ALPHA of
 them or less applies, and none if no level has it.
 
-Positions count code points and ends are exclusive. They come from the lengths of
-matches and of the pieces between them.
+Positions count code points and ends are exclusive. They are running sums of the
+lengths of matches and of the pieces between them; sums, the greatest end so far and
+what candidates touch are found in steps of doubling width, so n matches cost n log n.
+Redaction counts bytes instead, whose pieces are cut without walking to them.
 
 Cases: a null text counts as empty and has no spans; ties don't matter, as equal
 candidates have equal p-values and count once; repeated rows get equal spans; an
@@ -29,6 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import once, running
 from .storage import documents, free_name, keep
 
 # The shapes that the contract states.
@@ -49,29 +52,29 @@ LEVELS = (0.0001, 0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4)
 ALPHA = 0.05
 
 
-def places(text: Column, pattern: str, quick: Column | None = None) -> Column:
-    """Array of (start, end, match) of all matches."""
+PLACES = "array<struct<start:int,end:int,match:string>>"
+
+
+def places(text: Column, pattern: str, quick: Column | None = None, size=F.length) -> Column:
+    """Array of (start, end, match) of all matches; `size` measures them."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string>>").alias("out"))
 
-    def step(a: Column, x: Column) -> Column:
-        begin = a["at"] + x["g"]
-        end = begin + F.length(x["h"])
-        return F.struct(end.alias("at"), F.concat(a["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), x["h"].alias("match")))).alias("out"))
+    def walk(q: Column) -> Column:
+        ends = running(F.zip_with(q["h"], F.slice(q["g"], F.lit(1), F.size(q["h"])), lambda h, g: size(g) + size(h)), lambda a, b: a + b)
+        return F.zip_with(q["h"], ends, lambda h, e: F.struct((e - size(h)).alias("start"), e.alias("end"), h.alias("match")))
 
-    walked = F.aggregate(F.zip_with(hits, F.slice(gaps, 1, F.size(hits)), lambda h, g: F.struct(h.alias("h"), g.alias("g"))), start, step, lambda a: a["out"])
-    return F.when(quick if quick is not None else text.rlike(pattern), walked).otherwise(F.array().cast("array<struct<start:int,end:int,match:string>>"))
+    walked = once(F.struct(hits.alias("h"), F.split(text, pattern, -1).alias("g")), walk)
+    return F.when(quick if quick is not None else text.rlike(pattern), walked).otherwise(F.array().cast(PLACES))
 
 
-def base_spans(text: Column) -> Column:
+def base_spans(text: Column, size=F.length) -> Column:
     """Spans of the known shapes, by start and then kind."""
 
     def of(kind: int, found: Column) -> Column:
         return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
-    long_value = F.filter(places(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
-    return F.array_sort(F.concat(of(0, long_value), of(1, places(text, ACCESS, F.instr(text, "AKIA") > 0)), of(2, places(text, HEX))))
+    long_value = F.filter(places(text, ASSIGN, size=size), lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= 6)
+    return F.array_sort(F.concat(of(0, long_value), of(1, places(text, ACCESS, F.instr(text, "AKIA") > 0, size)), of(2, places(text, HEX, size=size))))
 
 
 def tail(z: Column) -> Column:
@@ -117,9 +120,23 @@ def tests(token: Column) -> Column:
     )
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, size=F.length) -> Column:
     """Array of (start, end, n, p, key) of the candidates that no span of a known shape touches."""
-    free = F.filter(places(text, CANDIDATE), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+
+    def untouched(found: Column) -> Column:
+        # in the order of where spans begin and candidates end, a candidate is touched if a span before it reaches beyond its start
+        none = F.lit(None).cast("struct<start:int,end:int,match:string>")
+        spans = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("span"), b["end"].alias("reach"), none.alias("c")))
+        own = F.transform(found, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("span"), F.lit(0).alias("reach"), c.alias("c")))
+
+        def pick(line: Column) -> Column:
+            reach = running(F.transform(line, lambda x: x["reach"]), lambda a, b: F.greatest(a, b))
+            free = F.filter(F.zip_with(line, reach, lambda x, r: F.struct(x["c"].alias("c"), (x["span"] == 0) & (r <= x["c"]["start"]))), lambda q: q["col2"])
+            return F.transform(free, lambda q: q["c"])
+
+        return once(F.array_sort(F.concat(spans, own)), pick)
+
+    free = once(places(text, CANDIDATE, size=size), lambda found: F.when((F.size(found) == 0) | (F.size(base) == 0), found).otherwise(untouched(found)))
     return F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), F.length(c["match"]).alias("n"), tests(c["match"]).alias("p"), F.xxhash64(c["match"]).alias("key")))
 
 
@@ -147,9 +164,10 @@ def random_spans(found: Column, level: dict[int, float]) -> Column:
     return F.transform(F.filter(found, passes), lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
 
 
-def scan(docs: DataFrame, text: str = "text", base: str = "base", found: str = "found") -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", base: str = "base", found: str = "found", size=F.length) -> DataFrame:
     """`docs` with the arrays `base` (spans of known shapes) and `found` (candidates); both names must be free."""
-    return docs.withColumn(base, base_spans(F.coalesce(docs[text], F.lit("")))).withColumn(found, candidates(F.coalesce(docs[text], F.lit("")), F.col(base)))
+    whole = F.coalesce(docs[text], F.lit(""))
+    return docs.withColumn(base, base_spans(whole, size)).withColumn(found, candidates(whole, F.col(base), size))
 
 
 def joined(spans: Column) -> Column:
@@ -161,17 +179,22 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length: str | None = "n_chars") -> DataFrame:
     """`docs` with every span of its texts replaced by `mark`, overlapping ones together; the column `length`, if there is one, follows."""
     b, f, s, t = (free_name(docs.columns, x) for x in ("base", "found", "spans", "redacted"))
-    wide = scan(docs, text, b, f)
+    wide = scan(docs, text, b, f, F.octet_length)
     level = levels(keep(wide.select(F.col(f).alias("found")).where(F.size("found") > 0), "candidates"))
     spans = F.array_sort(F.concat(F.col(b), random_spans(F.col(f), level)))
     whole = docs[text]
+    raw = whole.cast("binary")
+    piece = lambda start, size: F.substring(raw, start + 1, size).cast("string")
+
+    def cut(reach: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+            return F.when(x["start"] >= before, F.concat(piece(before, x["start"] - before), F.lit(mark))).otherwise("")
 
-    def step(a: Column, x: Column) -> Column:
-        apart = x["start"] >= a["at"]
-        piece = F.when(apart, F.concat(a["out"], F.substring(whole, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), piece.alias("out"))
+        last = F.element_at(reach, -1)
+        return F.concat(F.array_join(F.transform(F.col(s), one), ""), piece(last, F.octet_length(whole) - last))
 
-    done = F.aggregate(F.col(s), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substring(whole, a["at"] + 1, F.length(whole))))
+    done = once(running(F.transform(F.col(s), lambda x: x["end"]), lambda a, b: F.greatest(a, b)), cut)
     out = wide.withColumn(s, spans).withColumn(t, F.when(F.size(F.col(s)) > 0, done))
     cols = {c: docs[c] for c in docs.columns}
     cols[text] = F.coalesce(F.col(t), whole).alias(text)

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one where it is unset (tests on one machine)."""
+    """The folder named by spark.checkpoint.dir; a temporary one where it is unset and all runs on one machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="groupfit-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -43,3 +45,21 @@ def free_name(columns: list[str], wanted: str) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+#: A key is hot from 1 / HOT of all rows on.
+HOT = 2000
+
+
+def by_key(rows: DataFrame, table: DataFrame, key: str | list[str], total: int, how: str = "inner", count: str = "n") -> DataFrame:
+    """`rows` (`total` of them) joined to `table`: one row for each key, and how many of `rows` have it in the column `count`.
+
+    Hot keys, no more than HOT by their counts, are broadcast, so their rows stay where they are. `table` should be a written one.
+    """
+    key = [key] if isinstance(key, str) else key
+    least = max(1000, total // HOT)
+    hot, all_ = table.where(F.col(count) > least).drop(count), table.drop(count)
+    if hot.isEmpty():
+        return rows.join(all_, key, how)
+    cold = table.where(F.col(count) <= least).drop(count)
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key, how))

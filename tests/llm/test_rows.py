@@ -2,7 +2,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import random
+import re
+import string
+import time
 import zlib
 from collections import Counter
 
@@ -86,6 +90,22 @@ def test_take(spark):
     n = {r.doc_id: r["count"] for r in got.groupBy("doc_id").count().collect()}
     assert n[1] == 2 and all(k <= 10 for k in n.values())
     assert mixing.take(df.limit(0), mixing.weights_3_1_2).count() == 0
+    odd = df.withColumns({"m": F.create_map(F.lit("k"), "doc_id"), "deep": F.array(F.struct(F.create_map(F.lit(1), "source").alias("x"))), "n": F.lit(1), "rows": F.lit(2), "times": F.lit(3)})
+    same = mixing.take(odd, mixing.weights_3_1_2)
+    assert same.columns == odd.columns and same.count() == got.count()
+
+
+def test_repeated_rows_stand_as_one(spark):
+    df = spark.range(20_000).select(F.lit(5).cast("long").alias("id"), F.array(F.lit("a")).alias("sources"), F.lit(3).cast("long").alias("size")).unionByName(spark.createDataFrame([(k, ["a"], 7) for k in range(50)], "id long, sources array<string>, size long"))
+    out, goals = mixing.plan(df, mixing.weights_3_1_2, share=1.5)
+    got = out.groupBy("id", "size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken"), F.max("taken").alias("most")).collect()
+    assert sum(r.n for r in got) == 20_050 and abs(sum(r.taken for r in got) - goals["a"][1]) <= 1 and all(r.most <= 2 * r.size for r in got)
+    of = spark.createDataFrame([(["a"], 20_050, 60_350)], "of array<string>, docs long, whole long")
+    line = mixing.on_line(df, of, 7).select("before", "size").orderBy("before").collect()
+    at = 0
+    for r in line:
+        assert r.before == at
+        at += r.size
 
 
 # packing
@@ -249,7 +269,7 @@ def test_chat_parts(spark):
     assert got[1].formatted.count("<|image:0|>") == 1 and got[1].formatted.count("</s>") == 0
     assert [(a.kind, a.ref, a.tokens) for a in got[1].attachments] == [("image", "a.png", 1024), ("document", "b.pdf", 1024)] and got[1].expanded_tokens == 2048
     assert got[1].read[1].text == "</s>[INST] <\\|x [/INST]"
-    assert [s.text for s in got[1].segments if s.loss] == ["<\\/s>[\\INST] <\\\\|x [\\/INST]"]
+    assert [got[1].formatted.encode()[s.start : s.end].decode() for s in got[1].loss] == ["<\\/s>[\\INST] <\\\\|x [\\/INST]"]
     assert got[2].formatted == "<|turn|><|text|><|end|>"
 
 
@@ -260,11 +280,12 @@ def test_chat_round_trip(spark):
     text = lambda: "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
     rows = [(i // 4, i % 4, rng.choice(["user", "assistant", text()]), [("text", text(), None, None)]) for i in range(1200)]
     df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts {PART}")
-    got = {r.conv_id: r for r in chat.format_turns(df).select("conv_id", "formatted", "segments", chat.read_turns(F.col("formatted")).alias("read"), F.expr("filter(segments, s -> s.loss)").alias("loss")).collect()}
+    got = {r.conv_id: r for r in chat.format_turns(df).select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("read"), "loss", chat.read_loss(F.col("formatted"), F.col("loss")).alias("kept")).collect()}
     for i in range(300):
         want = [(r[2], r[3][0][1]) for r in rows[4 * i : 4 * i + 4]]
         assert [tuple(t) for t in got[i].read] == want
         assert got[i].formatted.count("<|turn|>") == 4 and len(got[i].loss) == sum(r == "assistant" for r, _ in want)
+        assert got[i].kept == "".join(t for r, t in want if r == "assistant")
 
 
 def test_chat_query(spark):
@@ -286,7 +307,7 @@ def test_chat_query(spark):
 # URL rules
 
 
-def test_url_rules(spark):
+def test_url_rules(spark, monkeypatch):
     urls = ["http://a.net/x", "https://EXAMPLE.net/en/", "http://www.example.net/en/a?b#c", "http://example.net/e", "http://net/", "http://net", "http://xnet/", "http://b.org/fr/", "http://example.com/de/x", "http://badexample.com/de/", "x://a.b.c.d/long/path", "nothing", None, "", "http://", "a\nb://Q.NET/z", "http://user@h.net:80/?q", "://h.com/p://q"] * 2
     pages = spark.createDataFrame([(i, u, "own") for i, u in enumerate(urls)], "page_id long, url string, rule_ string")
     rules = [*url_rules.RULES, ("b.c.d", "/long/", "block"), ("c.d", "/long/pa", "allow"), ("d", "/long/path", "allow"), ("d", "/long/path", "block"), (None, "/", "block"), ("h.com", "", "block")]
@@ -302,11 +323,17 @@ def test_url_rules(spark):
         best = max(fits, default=(None, None, "allow"))
         return host, path, best[1], best[2]
 
-    for few in (url_rules.FEW, 1):
-        url_rules.FEW, old = few, url_rules.FEW
+    for few, held in ((url_rules.FEW, url_rules.FEW_BYTES), (1, url_rules.FEW_BYTES), (url_rules.FEW, -1)):
+        monkeypatch.setattr(url_rules, "FEW", few)
+        monkeypatch.setattr(url_rules, "FEW_BYTES", held)
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_rules.judge(pages, table).collect()}
-        url_rules.FEW = old
         assert got == {i: judge(u) for i, u in enumerate(urls)}
+    # common URLs, fitted and not, and rows without one
+    many = spark.range(4500).select(F.col("id").alias("page_id"), F.element_at(F.array(*[F.lit(u) for u in ("http://net/a", "http://none.example/x", None)]), (F.col("id") % 3 + 1).cast("int")).alias("url"))
+    assert {(r.rule, r.verdict, r["count"]) for r in url_rules.judge(many, table).groupBy("rule", "verdict").count().collect()} == {("net/", "block", 1500), (None, "allow", 3000)}
+    clash = url_rules.judge(pages.withColumns({"host": F.lit("own"), "Verdict": F.lit(7)}), table)
+    assert clash.columns == [*pages.columns, "host", "Verdict", "_host", "path", "rule", "_verdict"]
+    assert {r.page_id: (r._host, r.path, r.rule, r._verdict) for r in clash.where("host = 'own'").collect()} == {i: judge(u) for i, u in enumerate(urls)}
     kept = url_rules.drop_blocked(pages.withColumn("host", F.lit(1)), table)
     assert kept.columns == [*pages.columns, "host"] and kept.count() == sum(judge(u)[3] == "allow" for u in urls)
     assert url_rules.judge(pages.limit(0), table).count() == 0 and url_rules.judge(pages, table.limit(0)).where("verdict = 'block'").count() == 0
@@ -361,6 +388,102 @@ def test_redact(spark):
     assert secret_scan.redact(df.limit(0)).count() == 0
 
 
+def normal_tail(z):
+    return 1 / (1 + math.exp(min(300.0, 1.5976 * z + 0.07056 * z**3)))
+
+
+def battery_by_hand(token):
+    """p of one candidate, test by test, in plain Python."""
+    body = token.rstrip("=").replace("-", "+").replace("_", "/")
+    if body.isdigit():
+        alphabet = "0123456789"
+    elif re.fullmatch("[0-9a-f]+|[0-9A-F]+", body):
+        body, alphabet = body.lower(), "0123456789abcdef"
+    elif re.fullmatch("[A-Z2-7]+", body):
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    else:
+        alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    k, n, codes = len(alphabet), len(body), [alphabet.index(c) for c in body]
+
+    def p_of(counts, shares):
+        df = len(counts) - 1
+        if not df:
+            return 1.0
+        chi = max(0.0, sum((c - n * s) ** 2 / (n * s) for c, s in zip(counts, shares, strict=True)))
+        return normal_tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+
+    uniform = p_of([codes.count(i) for i in range(k)], [1 / k] * k)
+    kinds = [x for x in (str.isupper, str.islower, str.isdigit, lambda c: c in "+/") if any(map(x, alphabet))]
+    mass = p_of([sum(map(x, body)) for x in kinds], [sum(map(x, alphabet)) / k for x in kinds])
+    high = [2 * c >= k for c in codes]
+    up = sum(high)
+    runs = 1 + sum(a != b for a, b in zip(high, high[1:], strict=False))
+    both = 2 * up * (n - up)
+    if not both:
+        p_runs = 2.0 ** (1 - n)
+    else:
+        var = both * (both - n) / (n * n * (n - 1))
+        p_runs = 1.0 if var <= 0 else 2 * normal_tail(abs(runs - both / n - 1) / math.sqrt(var))
+    mid = (k - 1) / 2
+    serial = sum((a - mid) * (b - mid) for a, b in zip(codes, codes[1:], strict=False)) / (math.sqrt(n - 1) * ((k * k - 1) / 12))
+    return min(1.0, 4 * min(uniform, mass, p_runs, 2 * normal_tail(abs(serial))))
+
+
+def levels_by_hand(found):
+    """The level of each band of lengths, from all different candidates (text, p)."""
+    bands = {}
+    for token, p in set(found):
+        bands.setdefault(sum(len(token) >= x for x in (20, 24, 32, 48, 64)), []).append(p)
+    out = {}
+    for band, ps in bands.items():
+        even = 2 * sum(p > 0.5 for p in ps)
+        for level in (0.0001, 0.001, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.4):
+            over = sum(p > level for p in ps)
+            if over and max(0.0, over - even * (1 - level)) <= 0.05 * over:
+                out[band] = level
+                break
+    return out
+
+
+def spans_by_hand(texts):
+    """All spans of each text: known shapes, and candidates that pass the battery at their band's level."""
+    base, found = [brute.secrets(t) for t in texts], []
+    for t, spans in zip(texts, base, strict=True):
+        own = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t or "")]
+        found.append([(a, b, x, battery_by_hand(x)) for a, b, x in own if not any(s < b and a < e for s, _, e in spans)])
+    level = levels_by_hand([(x, p) for f in found for _, _, x, p in f])
+    band = lambda x: sum(len(x) >= k for k in (20, 24, 32, 48, 64))
+    return [sorted([*spans, *((a, 3, b) for a, b, x, p in f if p > level.get(band(x), 2.0))]) for spans, f in zip(base, found, strict=True)]
+
+
+def test_all_spans_by_hand(spark):
+    """Battery, levels and the spans that they add, against plain Python over a whole small table."""
+    docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()), key=str)
+    want = {d: ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in spans) for (d, _), spans in zip(docs, spans_by_hand([t for _, t in docs]), strict=True)}
+    assert {r.doc_id: r.spans for r in secret_scan.query(spark, SF).collect()} == want
+    rng = random.Random(6)
+    tokens = ["".join(rng.choice(a) for _ in range(rng.choice([20, 23, 40, 70]))) for a in ("0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ab", "Az09-_", string.ascii_letters + string.digits + "+/") for _ in range(25)]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secret_scan.tests(F.col("t")).alias("p")).collect()
+    assert all(abs(r.p - battery_by_hand(r.t)) < 1e-9 for r in got)
+
+
+def test_long_texts_with_many_secrets(spark):
+    """Work grows with the number of matches, not with its square."""
+    rng = random.Random(3)
+    parts = [rng.choice([rng.randbytes(13).hex(), "token=abcdef" + str(k), base64.b64encode(rng.randbytes(18)).decode(), "é"]) + " word\n" for k in range(60_000)]
+    text = "".join(parts)
+    df = spark.createDataFrame([(1, text, 5), (2, "short", 5)], "doc_id long, text string, n_chars long")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in secret_scan.scan(df).select("doc_id", "base", "found").collect()}
+    assert [tuple(x) for x in out[1].base] == brute.secrets(text)
+    free = [(m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", text)]
+    taken = {k for a, _, b in brute.secrets(text) for k in range(a, b)}
+    assert [(x.start, x.end) for x in out[1].found] == [(a, b) for a, b in free if not any(k in taken for k in range(a, b))]
+    done = {r.doc_id: r.text for r in secret_scan.redact(df).collect()}
+    assert done[1].count("[SECRET]") >= len(brute.secrets(text)) - 10 and done[2] == "short"
+    assert time.monotonic() - began < 120
+
+
 # pseudo-likelihood
 
 
