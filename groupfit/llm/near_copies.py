@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -51,8 +52,8 @@ SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
 SHORT = 40
 #: Followers of a leader that meet in one place.
 SHARE = 200
-#: Words that stand together in the second join, and slots in which such runs are counted.
-PAIR, SLOTS = 2, 1 << 18
+#: Words that stand together in the second join, slots in which such runs are counted, slots that are added up in one place, and shares in which they are first.
+PAIR, SLOTS, SLICE, SALTS = 2, 1 << 16, 1 << 13, 8
 
 
 def labelled(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -122,21 +123,36 @@ def slots_of(keys: np.ndarray) -> np.ndarray:
 
 
 def run_counts(texts: DataFrame) -> np.ndarray:
-    """How often the labelled runs of PAIR words of each slot occur in `texts`: SLOTS numbers, for all runs. They only order runs, so runs may share a slot."""
+    """How often the labelled runs of PAIR words of each slot occur in `texts`: SLOTS numbers, for all runs, added up a slice at a time. They only order runs, so runs may share a slot."""
+    slices = SLOTS // SLICE
+    names, kind = ["slice", "part", "n"], "slice int, part int, n binary"
+
+    def rows(part: int, n: np.ndarray) -> pa.RecordBatch:
+        own = n.reshape(slices, SLICE)
+        return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([part] * slices, pa.int32()), pa.array([x.tobytes() for x in own])], names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for _, _, data, bounds in chunks(batch.column(0)):
                 n += np.bincount(slots_of(labelled(Words(data, bounds), PAIR)[0]), minlength=SLOTS)
-        at = np.flatnonzero(n)
         trim()
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["slot", "n"])
+        if n.any():
+            yield rows(TaskContext.get().partitionId(), n)
 
-    told = texts.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS, np.int64)
-    out[told.column("slot").to_numpy()] = told.column("n").to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, n in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(n.as_buffer(), np.int64)
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([0] * len(held), pa.int32()), pa.array([n.tobytes() for n in held.values()])], names)
+
+    some = texts.select("text").mapInArrow(count, kind).repartition(SALTS * slices, "slice", F.col("part") % SALTS).mapInArrow(add, kind)
+    out = np.zeros((slices, SLICE), np.int64)
+    for r in some.repartition(slices, "slice").mapInArrow(add, kind).collect():
+        out[r["slice"]] += np.frombuffer(r["n"], np.int64)
+    return out.ravel()
 
 
 def in_common(words: int) -> int:
@@ -176,55 +192,85 @@ def allowed(longer: int) -> int:
     return math.floor(longer * (1 - SIMILAR) + 1e-9)
 
 
-def edits(a: list, b: list, most: int) -> int | None:
-    """Least number of items put in, left out or replaced that makes a into b, None above `most`. The band is narrow first."""
-    d = max(16, abs(len(a) - len(b)))
+def edits(a: list, b: list, most: int, masks: dict | None = None) -> int | None:
+    """Least number of items put in, left out or replaced that makes a into b, None above `most`. A wide band is narrow first. masks: `masks_of` a, if that isn't shorter."""
+    d = most if most <= NARROW else max(NARROW // 4, abs(len(a) - len(b)))
     while True:
-        d = min(d, most)
-        found = in_band(a, b, d)
+        found = in_band(a, b, min(d, most), masks)
         if found <= d:
-            return found
+            return found if found <= most else None
         if d >= most:
             return None
         d *= 4
 
 
-def in_band(a: list, b: list, d: int) -> int:
-    """Edit distance of a and b over paths within d of the diagonal, a column (an item of b) at a time: differences down the column are bits of whole numbers."""
+#: Widest band that is tried at once, and words of a text whose places are kept as bits.
+NARROW, BITS = 64, 2048
+
+
+def masks_of(a: list) -> dict:
+    """The places of each item as bits."""
+    out: dict = {}
+    for i, x in enumerate(a):
+        out[x] = out.get(x, 0) | 1 << i
+    return out
+
+
+class Window:
+    """The places of items as bits, of those that stand at `low` or less than `width` beyond it, for a `low` that grows: long texts have no bits in whole."""
+
+    def __init__(self, a: list, width: int):
+        self.places: dict = {}
+        for i, x in enumerate(a):
+            self.places.setdefault(x, []).append(i)
+        self.width, self.held = width, {}
+
+    def at(self, x, low: int) -> int:
+        own = self.places.get(x)
+        if own is None:
+            return 0
+        bits, base, nth = self.held.get(x, (0, low, 0))
+        bits >>= low - base
+        while nth < len(own) and own[nth] < low + self.width:
+            if own[nth] >= low:
+                bits |= 1 << (own[nth] - low)
+            nth += 1
+        self.held[x] = bits, low, nth
+        return bits
+
+
+def in_band(a: list, b: list, d: int, masks: dict | None = None) -> int:
+    """Edit distance of a and b over paths within d of the diagonal, more than d if it is; a column (an item of b) at a time: differences down the column are bits of whole numbers."""
     if len(a) < len(b):
-        a, b = b, a
-    n = len(a)
-    if n - len(b) > d:
+        a, b, masks = b, a, None
+    n, m = len(a), len(b)
+    if n - m > d:
         return d + 1
     d = min(d, n)
-    places: dict = {}
-    for i, x in enumerate(a):
-        places.setdefault(x, []).append(i)
-    held: dict = {}
     width = 2 * d + 1
+    if masks is None and n <= BITS:
+        masks = masks_of(a)
+    window = Window(a, width) if masks is None else None
     whole, top = (1 << width) - 1, 1 << (width - 1)
     up, down = ((1 << (d + 1)) - 1) << d, 0
-    cost, last = d, top >> 1
+    # the cost runs down the last diagonal of the band to the end of a, and then along it
+    cost, last, turn = d, top >> 1, n - d
     for j, x in enumerate(b):
         # bit r stands for item j - d + r of a
-        low = j - d
-        own = places.get(x)
-        if own is None:
-            here = 0
+        if window is None:
+            here = masks.get(x, 0)
+            if here:
+                here = (here >> (j - d) if j >= d else here << (d - j)) & whole
         else:
-            bits, base, nth = held.get(x, (0, low, 0))
-            bits >>= low - base
-            while nth < len(own) and own[nth] <= j + d:
-                if own[nth] >= low:
-                    bits |= 1 << (own[nth] - low)
-                nth += 1
-            held[x] = bits, low, nth
-            here = bits
+            here = window.at(x, j - d)
         same = ((((here & up) + up) ^ up) | here | down) & whole
         right = (down | ~(same | up)) & whole
         left = same & up
-        if j < n - d:
-            cost += not same & top
+        if j < turn:
+            if not same & top:
+                cost += 1
+                if cost > d + (m - turn):
+                    return d + 1
         else:
             cost += bool(right & last) - bool(left & last)
             last >>= 1
@@ -237,27 +283,55 @@ def in_band(a: list, b: list, d: int) -> int:
 class Text:
     """The words of one text, as numbers, and in order with their labels."""
 
-    __slots__ = ("known", "words")
+    __slots__ = ("bits", "known", "list", "words")
 
     def __init__(self, words: np.ndarray, labels: np.ndarray):
-        self.words, self.known = words, np.sort(labels)
-
-    def similar(self, other: Text) -> bool:
-        a, b = self.words, other.words
-        n, m = len(a), len(b)
-        most = allowed(max(n, m))
-        if not n or not m or abs(n - m) > most:
-            return False
-        few, many = (self.known, other.known) if n <= m else (other.known, self.known)
-        at = np.minimum(np.searchsorted(many, few), len(many) - 1)
-        if max(n, m) - int((many[at] == few).sum()) > most:
-            return False
-        short = min(n, m)
-        apart = np.flatnonzero(a[:short] != b[:short])
+        self.words, self.known, self.bits, self.list = words, np.sort(labels), None, None
+
+    def near(self, other: Text) -> bool:
+        """Do few enough edits make one the other?"""
+        a, b = (self, other) if len(self.words) >= len(other.words) else (other, self)
+        most, short = allowed(len(a.words)), len(b.words)
+        if len(a.words) <= BITS:
+            for x in (a, b):
+                if x.list is None:
+                    x.list = x.words.tolist()
+            if a.bits is None:
+                a.bits = masks_of(a.list)
+            return edits(a.list, b.list, most, a.bits) is not None
+        # what long texts begin and end with alike costs nothing
+        apart = np.flatnonzero(a.words[:short] != b.words[:short])
         head = int(apart[0]) if len(apart) else short
-        apart = np.flatnonzero(a[n - short + head :][::-1] != b[m - short + head :][::-1])
+        rest = a.words[len(a.words) - short + head :], b.words[head:]
+        apart = np.flatnonzero(rest[0][::-1] != rest[1][::-1])
         tail = int(apart[0]) if len(apart) else short - head
-        return edits(a[head : n - tail].tolist(), b[head : m - tail].tolist(), most) is not None
+        return edits(a.words[head : len(a.words) - tail].tolist(), b.words[head : short - tail].tolist(), most) is not None
+
+    def similar(self, other: Text) -> bool:
+        return bool(Several([self, other]).may_be(0, np.array([1])).size) and self.near(other)
+
+
+class Several:
+    """Texts of a meeting: which can be similar by their lengths and the words that they share."""
+
+    def __init__(self, texts: list[Text]):
+        self.texts, self.n = texts, np.array([len(t.words) for t in texts], np.int64)
+        self.flat, self.at = np.concatenate([t.known for t in texts]), np.cumsum(self.n) - self.n
+
+    def may_be(self, i: int, others: np.ndarray) -> np.ndarray:
+        n, m = self.n[i], self.n[others]
+        longer = np.maximum(n, m)
+        most = np.floor(longer * (1 - SIMILAR) + 1e-9)
+        fine = (m > 0) & (n > 0) & (longer - np.minimum(n, m) <= most)
+        others, m, longer, most = others[fine], m[fine], longer[fine], most[fine]
+        if not len(others):
+            return others
+        theirs = self.flat[ragged(self.at[others], m)]
+        own = self.texts[i].known
+        found = own[np.minimum(np.searchsorted(own, theirs), n - 1)] == theirs
+        common = np.add.reduceat(found, np.cumsum(m) - m, dtype=np.int64)
+        # labelled words in common bound the distance from below
+        return others[longer - common <= most]
 
 
 def texts_of(column: pa.Array) -> Iterator[Text]:
@@ -268,6 +342,25 @@ def texts_of(column: pa.Array) -> Iterator[Text]:
             yield Text(w.hashes[w.first[i] : w.first[i + 1]].copy(), keys[at[i] : at[i + 1]])
 
 
+def sharing(bands: list[np.ndarray]) -> np.ndarray:
+    """Which texts have a mark in common."""
+    n = len(bands)
+    out = np.zeros((n, n), bool)
+    marks, owner = np.concatenate(bands), np.repeat(np.arange(n), [len(b) for b in bands])
+    if not len(marks):
+        return out
+    order = np.argsort(marks, kind="stable")
+    marks, owner = marks[order], owner[order]
+    head = np.flatnonzero(np.concatenate([[True], marks[1:] != marks[:-1]]))
+    many = np.diff(np.append(head, len(marks)))
+    two = head[many == 2]
+    out[owner[two], owner[two + 1]] = True
+    for at, size in zip(head[many > 2].tolist(), many[many > 2].tolist(), strict=True):
+        own = owner[at : at + size]
+        out[own[:, None], own] = True
+    return out | out.T
+
+
 def verify(group: list[tuple[bytes, bytes, int, np.ndarray, Text]], leader: bytes) -> list[tuple[bytes, bytes]]:
     """Links of a forest that joins a leader's followers in one share as their similar pairs do, beyond the classes that they are in already.
 
@@ -283,31 +376,31 @@ def verify(group: list[tuple[bytes, bytes, int, np.ndarray, Text]], leader: byte
             top[i] = i = top[top[i]]
         return i
 
-    def against(i: int, others) -> None:
+    several = Several([g[4] for g in group])
+
+    def against(i: int, others: np.ndarray) -> None:
         own = group[i][4]
-        for j in others:
-            if root(i) != root(j) and own.similar(group[j][4]):
+        for j in several.may_be(i, others).tolist():
+            if root(i) != root(j) and own.near(group[j][4]):
                 joined.append((i, j))
                 top[root(j)] = root(i)
 
-    lead = keys.index(leader) if leader in keys else None
+    lead, all_ = keys.index(leader) if leader in keys else None, np.arange(len(group))
     if lead is not None:
-        against(lead, [j for j in range(len(group)) if j != lead])
-    rest = [j for j in range(len(group)) if lead is None or root(j) != root(lead)]
-    if len(rest) > 1 or (rest and len(group) > 2):
-        lengths = [len(g[3]) for g in group]
-        owner = np.repeat(np.arange(len(group)), lengths)
-        mark = np.unique(np.concatenate([g[3] for g in group]), return_inverse=True)[1]
-        at = np.split(mark, np.cumsum(lengths)[:-1])
-        order = np.argsort(mark, kind="stable")
-        having = np.split(owner[order], np.cumsum(np.bincount(mark))[:-1])
-        side = [g[2] for g in group]
-        across = 1 in side
-        for i in rest:
+        against(lead, all_[all_ != lead])
+    rest = np.array([j for j in range(len(group)) if lead is None or root(j) != root(lead)], np.int64)
+    if len(rest) > 1 or (len(rest) and len(group) > 2):
+        shares = sharing([g[3] for g in group])
+        side = np.array([g[2] for g in group])
+        across = side.any()
+        todo = np.zeros(len(group), bool)
+        todo[rest] = True
+        for i in rest.tolist():
             if across and side[i]:
                 continue
-            shared = np.unique(np.concatenate([having[k] for k in at[i]])) if len(at[i]) else []
-            against(i, [int(j) for j in shared if j != i and (side[j] or not across)])
+            # a pair of two that are left is met once
+            todo[i] = across and todo[i]
+            against(i, np.flatnonzero(shares[i] & (side == 1)) if across else np.flatnonzero(shares[i] & (todo | ~np.isin(all_, rest)) & (all_ != i)))
     # every class that has grown is told as a star about its least key
     least: dict[int, bytes] = {}
     for i, tk in enumerate(keys):
