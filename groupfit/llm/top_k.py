@@ -76,7 +76,7 @@ def blocks(rows: DataFrame, size: int, scale: int) -> DataFrame:
 
 
 #: Shares of the lists after which bounds are drawn.
-DEPTHS = (0.0625, 0.125, 0.25, 0.5, 1.0)
+DEPTHS = (0.125, 0.5, 1.0)
 
 
 class Lists:
@@ -88,9 +88,24 @@ class Lists:
         self.owner = np.argsort(-values, axis=0, kind="stable")
         self.sorted = np.take_along_axis(values, self.owner, axis=0)
         self.depths = sorted({max(1, round(n * share)) for share in DEPTHS})
+        self.read: dict = {}
         # no numpy here: the least 64-bit number has no absolute value in 64 bits
         self.largest = max(abs(int(values.max())), abs(int(values.min())))
 
+    def stretch(self, side: int, begin: int, end: int, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """(entries, seen) after the next stretch of all lists, from the top (side 0) or the bottom: a row for each candidate with what is read of it now, and whether it has been seen by now."""
+        key = side, begin, kind
+        if key not in self.read:
+            n, dim = self.values.shape
+            rows = slice(begin, end) if side == 0 else slice(n - end, n - begin)
+            entries = np.zeros((n, dim), kind)
+            np.put_along_axis(entries, self.owner[rows], self.sorted[rows].astype(kind), axis=0)
+            before = [x for (s, b, t), x in self.read.items() if (s, t) == (side, kind) and b < begin]
+            seen = before[-1][1].copy() if before else np.zeros((n, dim), kind)
+            np.put_along_axis(seen, self.owner[rows], kind(1), axis=0)
+            self.read[key] = entries, seen
+        return self.read[key]
+
     def exact(self, query: np.ndarray) -> np.ndarray:
         return self.values.astype(object) @ query.astype(object)
 
@@ -110,31 +125,29 @@ class Lists:
         # doubles hold these sums exactly, or else whole numbers do
         kind = np.float64 if bound < 2**52 else np.int64
         least_ever = np.iinfo(np.int64).min if kind is np.int64 else -np.inf
-        todo = np.arange(len(queries))
-        part = queries.astype(kind)
-        read, known = np.zeros((len(queries), n), kind), np.zeros((len(queries), n), kind)
-        seen = np.zeros((2, dim, n), kind)
-        done = 0
+        todo, part = np.arange(len(queries)), queries.astype(kind)
+        # a row for each candidate: what was read of it for each query
+        read, done = np.zeros((n, len(queries)), kind), 0
         for depth in self.depths:
-            up, down = np.maximum(part, 0), np.minimum(part, 0)
-            for j in range(dim):
-                for side, weight, rows in ((0, up[:, j], slice(done, depth)), (1, down[:, j], slice(n - depth, n - done))):
-                    if weight.any():
-                        who = self.owner[rows, j]
-                        read[:, who] += weight[:, None] * self.sorted[rows, j].astype(kind)
-                        # what an entry is known to add beyond the least that the list holds for this query
-                        known[:, who] += (weight * kind(self.sorted[-1 if side == 0 else 0, j]))[:, None]
-                        seen[side, j, who] = 1
+            up, down = np.maximum(part, 0).T, np.minimum(part, 0).T
+            (top, seen_top), (bottom, seen_bottom) = (self.stretch(side, done, depth, kind) for side in (0, 1))
+            read += top @ up
+            read += bottom @ down
             done = depth
-            next_up, next_down = self.sorted[depth - 1] * up, self.sorted[n - depth] * down
-            least = (self.sorted[-1] * up + self.sorted[0] * down).sum(axis=1)
-            upper = read + (next_up + next_down).sum(axis=1)[:, None] - next_up @ seen[0] - next_down @ seen[1]
-            lower = read + least[:, None] - known
+            if depth < n:
+                # what lists that a candidate was not seen in can still add: their next entry at most, their last one at least
+                first, last = self.sorted[:, :, None][[depth - 1, n - depth]].astype(kind), self.sorted[:, :, None][[-1, 0]].astype(kind)
+                most, least = (first[0] * up, first[1] * down), (last[0] * up, last[1] * down)
+                upper = read + sum(x.sum(axis=0) - seen @ x for x, seen in zip(most, (seen_top, seen_bottom), strict=True))
+                lower = read + sum(x.sum(axis=0) - seen @ x for x, seen in zip(least, (seen_top, seen_bottom), strict=True))
+            else:
+                upper = lower = read
             stay = np.zeros(len(todo), bool)
             for row, q in enumerate(todo.tolist()):
-                low, high = lower[row], upper[row]
-                low[own[q]] = least_ever
-                bar = bars[q]
+                low, high, bar = lower[:, row], upper[:, row], bars[q]
+                if len(own[q]):
+                    low = low.copy()
+                    low[own[q]] = least_ever
                 if n - len(own[q]) >= k:
                     kth = np.partition(low, n - k)[n - k]
                     bar = kth if bar is None else max(bar, kth)
@@ -144,7 +157,7 @@ class Lists:
                     out[q] = live, self.values[live] @ queries[q]
                 else:
                     stay[row] = True
-            todo, part, read, known = todo[stay], part[stay], read[stay], known[stay]
+            todo, part, read = todo[stay], part[stay], read[:, stay]
             if not len(todo):
                 break
         return out
