@@ -57,7 +57,7 @@ SIZE = sum(math.prod(s) for s in SHAPES.values())
 #: Weights in one slice that travels.
 SLICE = 16384
 #: Words of a step: few at first, more as a task goes on. Steps start from GAIN, as if gradients had been seen before.
-LEAST_BATCH, BATCH, GROWTH, RATE, GAIN, ROUNDS = 512, 16384, 32, 0.3, 1e-5, 4
+LEAST_BATCH, BATCH, GROWTH, RATE, GAIN, ROUNDS = 512, 16384, 16, 0.3, 1e-5, 4
 #: Bytes of text whose words a task counts at a time.
 COUNTED = 8 << 20
 
