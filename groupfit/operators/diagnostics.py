@@ -8,12 +8,17 @@ last. All the statistics are arithmetic on those sums.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .fit import FitResult
+from .moments import HELD, Names, heads_of
 from .residuals import with_fit
+from .score import fits_in
 
 #: Bound on one t, cap on any t, least rows of a group, and the least share of the response's spread that residuals must have.
 T, CAP, LEAST_ROWS, LEAST_SHARE = 3.5, 9999.0, 10, 1e-6
@@ -24,15 +29,64 @@ def power_sums(result: FitResult) -> DataFrame:
     rows = with_fit(result)
     columns = F.concat(F.zip_with("x", "centre", lambda x, c: x - c), F.array(F.col("predicted") - F.col("y_mean")))
     finite = ~F.isnan("residual") & (F.abs("residual") < float("inf")) & ~F.isnan("predicted") & (F.abs("predicted") < float("inf"))
-    each = rows.where(finite).select("group", "resid_sd", "response_sd", "first", F.col("residual").alias("r"), F.posexplode(columns).alias("probe", "u"))
-    u1, r = F.col("u"), F.col("r")
-    power = [u1]
+    some = rows.where(finite).select("group", "resid_sd", "response_sd", "first", F.col("residual").alias("r"), columns.alias("u"))
+    if result.schema.p > SQL_PROBES:
+        each = some.select("group", "r", *[F.col("u")[k].alias(f"u{k}") for k in range(result.schema.p + 1)]).mapInArrow(summed(result.schema.p + 1), "group string, probe int, n long, " + ", ".join(f"{k} double" for k in SUMS))
+        known = result.kept.where("failure is null").select("group", "resid_sd", "response_sd", "first")
+        each = each.groupBy("group", "probe").agg(F.sum("n").alias("n"), *[F.sum(k).alias(k) for k in SUMS])
+        return each.join(known if not fits_in(result.groups, 3 * result.groups) else F.broadcast(known), "group")
+    each = some.select("*", F.posexplode("u").alias("probe", "v")).drop("u")
+    u, r = F.col("v"), F.col("r")
+    power = [u]
     for _ in range(5):
-        power.append(power[-1] * u1)
-    sums = {f"su{k + 1}": power[k] for k in range(6)} | {"sr1": r, "sr2": r * r, "sr4": r * r * r * r} | {f"sru{k + 1}": r * power[k] for k in range(3)} | {"sw1": r * r * u1, "sw2": r * r * power[1], "sa1": F.abs(r), "sau1": F.abs(r) * u1}
+        power.append(power[-1] * u)
+    sums = dict(zip(SUMS, [*power, r, r * r, r * r * r * r, *(r * x for x in power[:3]), r * r * u, r * r * power[1], F.abs(r), F.abs(r) * u], strict=True))
     return each.groupBy("group", "probe").agg(F.count("*").alias("n"), *[F.sum(v).alias(k) for k, v in sums.items()], F.first("resid_sd").alias("resid_sd"), F.first("response_sd").alias("response_sd"), F.first("first").alias("first"))
 
 
+#: The sums, and the number of terms up to which a row is made into one for each probe; beyond it tasks add up rows in Arrow batches.
+SUMS = ("su1", "su2", "su3", "su4", "su5", "su6", "sr1", "sr2", "sr4", "sru1", "sru2", "sru3", "sw1", "sw2", "sa1", "sau1")
+SQL_PROBES = 2
+
+
+def summed(width: int):
+    """Rows (group, r, u0, u1, ...) to sums for each group and probe, one row of them a task while they take few bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups, n, total = Names(), np.zeros(0, np.int64), np.zeros((0, len(SUMS), width))
+
+        def out() -> pa.RecordBatch:
+            names = [g for g in groups.known for _ in range(width)]
+            flat = total.transpose(0, 2, 1).reshape(-1, len(SUMS))
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(np.tile(np.arange(width, dtype=np.int32), len(n))), pa.array(np.repeat(n, width)), *(pa.array(flat[:, k]) for k in range(len(SUMS)))], ["group", "probe", "n", *SUMS])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            code = groups.codes(batch.column(0))
+            order = np.argsort(code, kind="stable")
+            heads = heads_of(code[order])
+            r = batch.column(1).to_numpy(zero_copy_only=False)[order, None]
+            u = np.column_stack([batch.column(k + 2).to_numpy(zero_copy_only=False) for k in range(width)])[order]
+            more = len(groups.known) - len(n)
+            n, total = np.append(n, np.zeros(more, np.int64)), np.concatenate([total, np.zeros((more, len(SUMS), width))])
+            own = code[order][heads]
+            n[own] += np.diff(np.append(heads, len(code)))
+            power = [u]
+            for _ in range(5):
+                power.append(power[-1] * u)
+            one = np.ones_like(u)
+            for k, x in enumerate((*power, r * one, r * r * one, r**4 * one, r * u, r * power[1], r * power[2], r * r * u, r * r * power[1], np.abs(r) * one, np.abs(r) * u)):
+                total[own, k] += np.add.reduceat(x, heads, axis=0)
+            if total.nbytes > HELD:
+                yield out()
+                groups, n, total = Names(), np.zeros(0, np.int64), np.zeros((0, len(SUMS), width))
+        if len(n):
+            yield out()
+
+    return run
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, b)

@@ -217,3 +217,21 @@ def test_many_groups_in_small_pieces(spark, monkeypatch):
             assert got["rows"] == want["rows"] and got["df"] == want["df"]
             assert np.allclose([got["intercept"], *got["coef"]], [want["intercept"], *want["coef"]], rtol=1e-5, atol=1e-7)
     assert fit(df.limit(0), sql_terms=0).fits.count() == 0
+
+
+def test_power_sums_of_tasks_and_of_spark_agree(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    noise = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(1000)) / 100.0
+    df = spark.range(2000).select((F.col("id") % 7).cast("string").alias("g"), noise(0).alias("y"), *[noise(k).alias(f"x{k}") for k in range(1, 5)]).repartition(3)
+    sums = {}
+    for name, most, held in (("spark", 9, 1 << 26), ("tasks", 0, 1 << 26), ("flushed", 0, 1000)):
+        monkeypatch.setattr(D, "SQL_PROBES", most)
+        monkeypatch.setattr(D, "HELD", held)
+        sums[name] = {(r["group"], r["probe"]): r for r in D.power_sums(fit(df)).collect()}
+    assert len(sums["spark"]) == 35
+    for name in ("tasks", "flushed"):
+        for key, want in sums["spark"].items():
+            got = sums[name][key]
+            assert got["n"] == want["n"] and got["first"] == want["first"] and got["resid_sd"] == pytest.approx(want["resid_sd"])
+            assert np.allclose([got[k] for k in D.SUMS], [want[k] for k in D.SUMS], rtol=1e-9, atol=1e-6 * abs(want["su6"]))
