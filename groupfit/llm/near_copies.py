@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .storage import by_key, documents, free_name, keep
+from .storage import by_key, discard, documents, free_name, keep
 from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash, trim
 
 SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
@@ -448,12 +448,13 @@ def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     edges = keep(links.where("u <> v").distinct(), "links")
     while not is_done(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = by_key(both, low, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
+        large = by_key(both, least, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # a node has few smaller neighbours: it was told of one for each group that it met others in
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select("v", "m").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(before, least)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("top"))
 
 
@@ -526,7 +527,9 @@ def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
         there = own.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1))).join(salted, ["tk", "salt"])
     there = there.select("leader", "share", "other", "side", "tk", "top", "bands", "text")
     by = ["leader", "share", "other"]
-    return keep(there.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify_all, "a binary, b binary"), "similar")
+    found = keep(there.repartition(*by).sortWithinPartitions(*by).mapInArrow(verify_all, "a binary, b binary"), "similar")
+    discard(meet, need)
+    return found
 
 
 def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -23,12 +23,38 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def own_dir(spark: SparkSession) -> str:
+    """The session's folder of tables within the shared one."""
+    return f"{shared_dir(spark)}/groupfit-{spark.sparkContext.applicationId}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and read it back: lineage ends there, losing an executor doesn't matter."""
+    """Write `df` as Parquet in the shared folder and read it back: lineage ends there, losing an executor doesn't matter.
+
+    Results read such tables when they are used, so they stay until `clear`; what an operator no longer needs itself it discards.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `keep` wrote and no frame reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._kept)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this session has kept, once its results have been used."""
+    _delete(spark, own_dir(spark))
 
 
 def text_or_empty(name: str = "text") -> Column:

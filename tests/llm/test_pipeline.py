@@ -40,7 +40,8 @@ def test_stages_against_brute_force(spark):
     all_votes = np.array([votes(r.text) for r in rows])
     patterns, n = np.unique(all_votes, axis=0, return_counts=True)
     base, added = quality.estimate(patterns, n.astype(float)).weights()
-    keep = [r for r, v in zip(rows, all_votes, strict=True) if base + sum(w[x + 1] for w, x in zip(added, v, strict=True)) >= 0]
+    failed = lambda c: c["n_words"] < 50 or 100 * c["n_repeat_words"] > 50 * c["n_words"]
+    keep = [r for r, v in zip(rows, all_votes, strict=True) if base + sum((w[0], 0, w[1])[x + 1] for w, x in zip(added, v, strict=True)) >= 0 and not failed(brute.counts(r.text))]
     good = stages["quality rules"](spark, docs, SF)
     assert good.columns == docs.columns and sorted(r.doc_id for r in good.collect()) == sorted(r.doc_id for r in keep)
 

@@ -343,3 +343,13 @@ def test_hot_keys(spark, monkeypatch):
     rows = [(i, " ".join(base)) for i in range(1500)] + [(2000 + i, " ".join([*base[:90], f"x{i}", *base[91:]])) for i in range(1200)] + [(7000, "a b c d e f g")] * 1100
     got = {(r.id, r.class_id) for r in near_copies.with_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(i, 0) for i, _ in rows if i < 7000} | {(7000, 7000)}
+
+
+def test_kept_tables_are_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g h"), (3, None)]
+    assert near_copies.with_classes(spark.createDataFrame(rows, "doc_id long, text string")).count() == 3
+    kept = [x.name for x in tmp_path.rglob("*") if x.is_dir()]
+    assert kept and not any(x.startswith(("meetings", "met-")) for x in kept)
+    storage.clear(spark)
+    assert list(tmp_path.iterdir()) == []
