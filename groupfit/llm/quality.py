@@ -139,14 +139,15 @@ FAILED = "{n_words} < 50 or 100 * {n_repeat_words} > 50 * {n_words}"
 
 @dataclass(frozen=True)
 class Model:
-    """prior: share of good documents. chance[j]: how often rule j votes (bad, abstains, good), on good and on bad documents."""
+    """prior: share of good documents. near: what a good vote multiplies the odds by, at most. chance[j]: how often rule j votes (bad, abstains, good), on good and on bad documents."""
 
     prior: float
+    near: float
     chance: tuple[tuple[tuple[float, float, float], tuple[float, float, float]], ...]
 
     def weights(self) -> tuple[float, list[tuple[float, float]]]:
         """Log odds before any vote, and what a bad vote and a good vote of each rule add."""
-        return float(np.log(self.prior / (1 - self.prior))), [(float(np.log(good[0] / bad[0])), float(np.log(good[2] / bad[2]))) for good, bad in self.chance]
+        return float(np.log(self.prior / (1 - self.prior))), [(float(np.log(good[0] / bad[0])), min(float(np.log(good[2] / bad[2])), float(np.log(self.near)))) for good, bad in self.chance]
 
     def accuracy(self) -> list[tuple[float, float]]:
         """How often each rule, when it votes, is right on good and on bad documents."""
@@ -154,22 +155,24 @@ class Model:
 
 
 #: Chances of a bad vote, an abstention and a good vote before the first round, on good and on bad documents.
-START = ((0.005, 0.495, 0.5), (0.3, 0.4, 0.3))
+START = ((0.005, 0.395, 0.6), (0.3, 0.2, 0.5))
 
 
-def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0.8, weight: float = 100.0, most: float = 0.95, apart: float = 3.0) -> Model:
+def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float = 0.8, weight: float = 100.0, most: float = 0.95, apart: float = 3.0, near: float = 1.5) -> Model:
     """EM on vote patterns (rows of `votes`, each seen n times).
 
     One imaginary document of either class with the starting chances is added,
     and `weight` documents with the starting prior, so a handful of rows doesn't
     settle what is good. The prior stays in [1 - most, most], and a bad vote stays at least `apart`
-    times as likely on bad documents, which settles which class is which.
+    times as likely on bad documents, which settles which class is which. A rule looks for one kind of defect, which
+    most bad documents don't have either: its good vote multiplies the odds by `near` at most.
     """
     first = prior
     chance = np.tile(np.array(START)[None], (votes.shape[1], 1, 1))
     hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
     for _ in range(rounds):
         gain = (np.log(chance[:, 0]) - np.log(chance[:, 1])) * (1.0, 0.0, 1.0)
+        gain[:, 2] = np.minimum(gain[:, 2], np.log(near))
         p = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + np.einsum("pjv,jv->p", hot, gain))))
         new = np.stack([np.einsum("p,pjv->jv", n * w, hot) + np.array(START[c]) for c, w in enumerate((p, 1 - p))], axis=1)
         new /= new.sum(axis=2, keepdims=True)
@@ -181,7 +184,7 @@ def estimate(votes: np.ndarray, n: np.ndarray, rounds: int = 200, prior: float =
         prior, chance = share, new
         if done:
             break
-    return Model(prior, tuple((tuple(map(float, g)), tuple(map(float, b))) for g, b in chance))
+    return Model(prior, near, tuple((tuple(map(float, g)), tuple(map(float, b))) for g, b in chance))
 
 
 def fit(counted: DataFrame, rules: tuple[Rule, ...] = RULES, counts: str = "counts") -> Model:

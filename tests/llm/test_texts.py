@@ -92,13 +92,14 @@ def votes_by_hand(text):
 def posterior_by_hand(votes, rounds=200):
     """EM in plain Python, a document at a time."""
     m = len(votes[0])
-    prior, good, bad = 0.8, [{-1: 0.005, 1: 0.5} for _ in range(m)], [{-1: 0.3, 1: 0.3} for _ in range(m)]
+    prior, good, bad = 0.8, [{-1: 0.005, 1: 0.6} for _ in range(m)], [{-1: 0.3, 1: 0.5} for _ in range(m)]
 
     def probability(v):
         a, b = prior, 1 - prior
         for j, x in enumerate(v):
             if x:
-                a, b = a * good[j][x], b * bad[j][x]
+                ratio = good[j][x] / bad[j][x]
+                a *= min(ratio, 1.5) if x > 0 else ratio
         return a / (a + b)
 
     for _ in range(rounds):
@@ -107,7 +108,7 @@ def posterior_by_hand(votes, rounds=200):
         for j in range(m):
             sums = []
             for c, w in enumerate((p, [1 - x for x in p])):
-                start = ((0.005, 0.495, 0.5), (0.3, 0.4, 0.3))[c]
+                start = ((0.005, 0.395, 0.6), (0.3, 0.2, 0.5))[c]
                 total = [sum(x for x, v in zip(w, votes, strict=True) if v[j] == k) + s for k, s in zip((-1, 0, 1), start, strict=True)]
                 sums.append([x / sum(total) for x in total])
             sums[0][0] = min(sums[0][0], sums[1][0] / 3)
@@ -148,7 +149,7 @@ def test_em_finds_a_noisy_rule():
     says = lambda right, speak: np.where(rng.random(len(bad)) < speak, np.where((rng.random(len(bad)) < right) == bad, -1, 1), 0)
     votes = np.stack([says(0.95, 0.9), says(0.9, 0.8), says(0.9, 0.9), says(0.6, 0.9)], axis=1)
     patterns, n = np.unique(votes, axis=0, return_counts=True)
-    m = quality.estimate(patterns, n.astype(float))
+    m = quality.estimate(patterns, n.astype(float), near=float("inf"))
     accuracy = [min(a) for a in m.accuracy()]
     assert accuracy[3] < min(accuracy[:3]) and abs(m.prior - 0.8) < 0.05
     base, added = m.weights()
