@@ -44,10 +44,10 @@ from pyspark.sql import functions as F
 from .storage import documents, keep
 from .wordbytes import U64, Words, chunks, mix, trim
 
-CLASSES, MEMBERS, WIDTH = 64, 64, 16
+CLASSES, MEMBERS, WIDTH = 32, 64, 16
 OUTPUTS = CLASSES * MEMBERS
 #: Groups of words, the rest of the outputs being words, and words of groups that travel with the network.
-GROUPS, KNOWN = 1024, 1 << 18
+GROUPS, KNOWN = 512, 1 << 18
 FREQUENT = OUTPUTS - GROUPS
 #: Places that the network sees; one embedding serves those before a word and another those after it.
 PLACES = (-3, -2, -1, 1, 2, 3)
@@ -57,7 +57,7 @@ SIZE = sum(math.prod(s) for s in SHAPES.values())
 #: Weights in one slice that travels.
 SLICE = 16384
 #: Words of a step: few at first, more as a task goes on. Steps start from GAIN, as if gradients had been seen before.
-LEAST_BATCH, BATCH, GROWTH, RATE, GAIN, ROUNDS = 512, 16384, 16, 0.3, 1e-5, 4
+LEAST_BATCH, BATCH, GROWTH, RATE, GAIN, ROUNDS = 512, 16384, 16, 0.3, 1e-5, 3
 #: Bytes of text whose words a task counts at a time.
 COUNTED = 8 << 20
 
@@ -85,34 +85,34 @@ class Network:
 
     def scores(self, around: np.ndarray, word: np.ndarray, grad: Network | None = None) -> np.ndarray:
         """Log probability of each output given the ones around it; adds the gradient of their sum to `grad`."""
+        # words of one class stand together
+        order = np.argsort((word % CLASSES).astype(np.int16), kind="stable")
+        word, around = word[order], around[:, order]
+        cls, member, rows = word % CLASSES, word // CLASSES, np.arange(len(word))
         z = self.hidden + self.sides[0][around[0]]
         for k in range(1, len(PLACES)):
             z += self.sides[int(PLACES[k] > 0)][around[k]]
         h = np.tanh(z)
-        cls, member = word % CLASSES, word // CLASSES
-        rows = np.arange(len(word))
         logits = h @ self.classes.T + self.class_bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits)
         total = p.sum(axis=1, keepdims=True)
-        out = logits[rows, cls] - np.log(total[:, 0])
+        found = logits[rows, cls] - np.log(total[:, 0])
         if grad is not None:
             p /= -total
             p[rows, cls] += 1
             grad.classes += p.T @ h
             grad.class_bias += p.sum(axis=0)
             back = p @ self.classes
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        edges = np.searchsorted(cls, np.arange(CLASSES + 1))
         for c in np.flatnonzero(np.diff(edges)):
-            at = order[edges[c] : edges[c + 1]]
-            own = h[at]
+            at = slice(edges[c], edges[c + 1])
+            own, some = h[at], rows[: edges[c + 1] - edges[c]]
             logits = own @ self.members[c].T + self.member_bias[c]
             logits -= logits.max(axis=1, keepdims=True)
             p = np.exp(logits)
             total = p.sum(axis=1, keepdims=True)
-            some = np.arange(len(at))
-            out[at] += logits[some, member[at]] - np.log(total[:, 0])
+            found[at] += logits[some, member[at]] - np.log(total[:, 0])
             if grad is not None:
                 p /= -total
                 p[some, member[at]] += 1
@@ -125,9 +125,11 @@ class Network:
             half = len(PLACES) // 2
             for side in (0, 1):
                 seen = around[half * side : half * (side + 1)].ravel()
-                order = np.argsort(seen.astype(np.int16), kind="stable")
-                heads = np.flatnonzero(np.diff(seen[order], prepend=-1))
-                grad.sides[side][seen[order[heads]]] += np.add.reduceat(dz[order % len(word)], heads, axis=0)
+                by = np.argsort(seen.astype(np.int16), kind="stable")
+                heads = np.flatnonzero(np.diff(seen[by], prepend=-1))
+                grad.sides[side][seen[by[heads]]] += np.add.reduceat(dz[by % len(word)], heads, axis=0)
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
 
