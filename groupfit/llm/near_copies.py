@@ -12,8 +12,7 @@ alignment of their words: two texts of a and b words are similar if e edits (wor
 put in, left out or replaced) make one the other and 1 - e / max(a, b) >= SIMILAR;
 e is found in a band of diagonals, which widens up to what the similarity allows.
 Followers that don't match the leader are compared with one another where they
-share a band. The first bands are dealt with before the others: buckets whose texts
-are one class by then need nothing more. A leader with many followers meets them in several shares; if some of
+share a band. A leader with many followers meets them in several shares; if some of
 those don't match it, all of its followers are joined again by their rarest pairs of
 neighbouring words: in any one order of all pairs, similar texts have one in common
 among their first two fifths (a proof, not a probability), and with frequent pairs
@@ -48,9 +47,7 @@ from pyspark.sql.functions import arrow_udf
 from .storage import by_key, discard, documents, free_name, keep
 from .wordbytes import U64, Words, chunks, mix, ragged, runs_hash, trim
 
-SHINGLE, BANDS, LEAST, SIMILAR = 5, 24, 2, 0.8
-#: Bands that come first.
-EARLY = 8
+SHINGLE, BANDS, LEAST, SIMILAR = 5, 40, 3, 0.8
 #: Texts of fewer words have bands of one run, too.
 SHORT = 40
 #: Followers of a leader that meet in one place.
@@ -540,15 +537,8 @@ def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[Data
     texts = docs.select(docs[id_].alias("own"), F.coalesce(docs[text], F.lit("")).alias("text")).withColumn("tk", F.unhex(F.md5("text")))
     base = keep(texts.select(F.col("own").alias("id"), "tk", bands_of(F.col("text")).alias("bands")), "bands")
     of = keep(base.groupBy("tk").agg(F.min("id").alias("id"), F.first("bands").alias("bands"), F.col("tk").alias("top"), F.count("*").alias("n")), "texts")
-    tops, rounds = None, []
-    for begin, many in ((1, EARLY), (1 + EARLY, 1 << 20)):
-        now = of.withColumn("bands", F.slice("bands", begin, many))
-        if tops is not None:
-            now = now.drop("top").join(tops, of.tk == tops.node, "left").withColumn("top", F.coalesce("top", "tk")).drop("node")
-        pairs = pairs_of(now)
-        rounds.append(pairs)
-        tops = classes(verified(texts, now, led(pairs)), tops)
-    pairs = keep(rounds[0].unionByName(rounds[1]).distinct(), "pairs")
+    pairs = pairs_of(of)
+    tops = classes(verified(texts, of, led(pairs)))
     again = keep(apart(pairs, tops).select("tk", "top").distinct().join(of.select("tk", "id"), "tk"), "again")
     if again.isEmpty():
         return base, of, tops
