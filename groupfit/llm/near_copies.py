@@ -445,15 +445,16 @@ def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     links = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     if known is not None:
         links = links.unionByName(known.select(F.col("node").alias("u"), F.col("top").alias("v")))
-    edges = keep(links.where("u <> v").distinct(), "links")
+    edges = keep(links.where("u <> v").distinct(), "links", links.count())
     while not is_done(edges):
+        n = edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least")
-        large = by_key(both, least, "u", 2 * edges.count()).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least", 2 * n)
+        large = by_key(both, least, "u", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         # a node has few smaller neighbours: it was told of one for each group that it met others in
         small = large.groupBy("u").agg(F.collect_set("v").alias("vs")).select("u", "vs", F.array_min("vs").alias("m"))
         told = F.concat(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v"))), F.transform(F.filter("vs", lambda v: v != F.col("m")), lambda v: F.struct(v.alias("u"), F.col("m").alias("v"))))
-        before, edges = edges, keep(small.select(F.explode(told).alias("e")).select("e.*").distinct(), "links")
+        before, edges = edges, keep(small.select(F.explode(told).alias("e")).select("e.*").distinct(), "links", 2 * n)
         discard(before, least)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("top"))
 
@@ -464,43 +465,45 @@ def pairs_of(of: DataFrame) -> DataFrame:
     buckets = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("n"))
     buckets = keep(buckets.where("low <> high").select("mark", "leader", "n"), "buckets")
     total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    return keep(by_key(marks.drop("top"), buckets, "mark", total).where("tk <> leader").select("tk", "leader").distinct(), "pairs")
+    return keep(by_key(marks.drop("top"), buckets, "mark", total).where("tk <> leader").select("tk", "leader").distinct(), "pairs", total)
 
 
-def shares_of(pairs: DataFrame) -> DataFrame:
-    return keep(pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"), F.count("*").alias("n")), "shares")
+def shares_of(pairs: DataFrame, total: int) -> DataFrame:
+    return keep(pairs.groupBy("leader").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("shares"), F.count("*").alias("n")), "shares", total)
 
 
 def led(pairs: DataFrame) -> DataFrame:
     """Meetings (tk, leader, share, other, side) of leaders with their followers, a share at a time."""
-    size = shares_of(pairs)
-    meet = by_key(pairs, size, "leader", pairs.count()).select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
+    total = pairs.count()
+    size = shares_of(pairs, total)
+    meet = by_key(pairs, size, "leader", total).select("tk", "leader", F.pmod(F.xxhash64("tk"), F.col("shares")).cast("int").alias("share"))
     meet = meet.unionByName(size.select(F.col("leader").alias("tk"), "leader", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")))
-    return meet.select("tk", "leader", "share", F.lit(-1).alias("other"), F.lit(0).alias("side"))
+    return keep(meet.select("tk", "leader", "share", F.lit(-1).alias("other"), F.lit(0).alias("side")), "meetings", 2 * total)
 
 
 def apart(pairs: DataFrame, tops: DataFrame) -> DataFrame:
     """Pairs (tk, leader, top, led: the leader's class) of leaders that have several shares of followers, some of them in another class."""
     own = tops.select(F.col("node").alias("leader"), F.col("top").alias("led"))
-    leaders = keep(shares_of(pairs).where("shares > 1").join(own, "leader", "left").select("leader", "n", F.coalesce("led", "leader").alias("led")), "crowds")
     total = pairs.count()
+    leaders = keep(shares_of(pairs, total).where("shares > 1").join(own, "leader", "left").select("leader", "n", F.coalesce("led", "leader").alias("led")), "crowds", total)
     of = tops.select(F.col("node").alias("tk"), "top")
-    known = keep(by_key(pairs, leaders, "leader", total).join(of, "tk", "left").select("tk", "leader", F.coalesce("top", "tk").alias("top"), "led"), "crowded")
-    parted = keep(known.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(F.col("top") != F.col("led")).alias("out")).where("out > 0").select("leader", "n"), "parted")
+    known = keep(by_key(pairs, leaders, "leader", total).join(of, "tk", "left").select("tk", "leader", F.coalesce("top", "tk").alias("top"), "led"), "crowded", total)
+    parted = keep(known.groupBy("leader").agg(F.count("*").alias("n"), F.count_if(F.col("top") != F.col("led")).alias("out")).where("out > 0").select("leader", "n"), "parted", total)
     return by_key(known, parted, "leader", total)
 
 
 def across(known: DataFrame) -> DataFrame:
     """Meetings of each share of the followers that are in another class than their leader with each share of all (share against share; other is below 0 for those of the leader's class)."""
     known = keep(known, "across")
-    size = keep(known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("k"), F.count("*").alias("n")), "sides")
-    dealt = by_key(known, size, "leader", known.count())
+    total = known.count()
+    size = keep(known.groupBy("leader").agg(F.ceil(F.count_if(F.col("top") != F.col("led")) / SHARE).cast("int").alias("m"), F.ceil(F.count_if(F.col("top") == F.col("led")) / SHARE).cast("int").alias("k"), F.count("*").alias("n")), "sides", total)
+    dealt = by_key(known, size, "leader", total)
     deal = lambda k: F.pmod(F.xxhash64(F.lit(1), "tk"), F.col(k)).cast("int")
     to = lambda k: F.explode(F.when(F.col(k) > 0, F.sequence(F.lit(0), F.col(k) - 1))).alias("j")
     out, same = dealt.where("top <> led").withColumn("own", deal("m")), dealt.where("top = led").withColumn("own", deal("k"))
     meet = out.select("tk", "leader", "own", to("m")).select("tk", "leader", F.least("own", "j").alias("share"), F.greatest("own", "j").alias("other"), (F.col("own") > F.col("j")).cast("int").alias("side"))
     meet = meet.unionByName(out.select("tk", "leader", F.col("own").alias("share"), to("k")).select("tk", "leader", "share", (-1 - F.col("j")).alias("other"), F.lit(0).alias("side")))
-    return meet.unionByName(same.select("tk", "leader", "own", to("m")).select("tk", "leader", F.col("j").alias("share"), (-1 - F.col("own")).alias("other"), F.lit(1).alias("side")))
+    return keep(meet.unionByName(same.select("tk", "leader", "own", to("m")).select("tk", "leader", F.col("j").alias("share"), (-1 - F.col("own")).alias("other"), F.lit(1).alias("side"))), "meetings")
 
 
 #: Keys of texts that may be broadcast (some 50 bytes each), and meetings of one text that are joined to one copy of it.
@@ -515,8 +518,7 @@ def wanted(texts: DataFrame, need: DataFrame) -> DataFrame:
 
 
 def verified(texts: DataFrame, of: DataFrame, meet: DataFrame) -> DataFrame:
-    """Links found in meetings. texts: own, tk, text; of: tk, id, top and bands of each text, for which a row of texts with that id stands."""
-    meet = keep(meet, "meetings")
+    """Links found in meetings (a kept table, discarded here). texts: own, tk, text; of: tk, id, top and bands of each text, for which a row of texts with that id stands."""
     times = meet.groupBy("tk").agg(F.count("*").alias("n"), F.ceil(F.count("*") / MEETINGS).alias("times"))
     need = keep(times.join(of.select("tk", "id", "top", "bands"), "tk"), "met")
     own = wanted(texts, need).join(need.select("tk", "top", "bands", "times"), "tk")
@@ -560,9 +562,10 @@ def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[Data
 def with_classes(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, tk, top, class_id) for each row of docs: texts with the same `top` are one class, class_id is its least id."""
     base, of, tops = find(docs, id_, text)
-    own = keep(of.drop("top").join(tops, of.tk == tops.node, "left").select("tk", "id", "n", F.coalesce("top", "tk").alias("top")), "tops")
-    least = keep(own.groupBy("top").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "ids")
-    labels = keep(by_key(own.withColumnRenamed("n", "rows"), least, "top", own.count()).select("tk", "top", "class_id", F.col("rows").alias("n")), "labels")
+    many = of.count()
+    own = keep(of.drop("top").join(tops, of.tk == tops.node, "left").select("tk", "id", "n", F.coalesce("top", "tk").alias("top")), "tops", many)
+    least = keep(own.groupBy("top").agg(F.min("id").alias("class_id"), F.count("*").alias("n")), "ids", many)
+    labels = keep(by_key(own.withColumnRenamed("n", "rows"), least, "top", many).select("tk", "top", "class_id", F.col("rows").alias("n")), "labels", many)
     return by_key(base.select("id", "tk"), labels, "tk", base.count()).select("id", "tk", "top", "class_id")
 
 
@@ -571,10 +574,11 @@ def keep_one(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFr
     names = [free_name(docs.columns, x) for x in ("tk", "chosen", "rows", "id")]
     tk, chosen, rows, own = names
     found = keep(with_classes(docs, id_, text), "classes")
+    total = found.count()
     best = found.groupBy("top").agg(F.min_by(F.struct("id", "tk"), F.struct(F.col("id").isNull(), "id", "tk")).alias("w"))
     many = found.groupBy("id", "tk").agg(F.count("*").alias("n"))
     chosen_ones = best.select("w.*").join(many.select(F.col("id").alias("i"), F.col("tk").alias("t"), "n"), (F.col("tk") == F.col("t")) & F.col("id").eqNullSafe(F.col("i")))
-    chosen_ones = keep(chosen_ones.select(F.col("tk").alias(chosen), F.col("id").alias(own), F.col("n").alias(rows)), "kept")
+    chosen_ones = keep(chosen_ones.select(F.col("tk").alias(chosen), F.col("id").alias(own), F.col("n").alias(rows)), "kept", total)
     wide = docs.withColumn(tk, F.unhex(F.md5(F.coalesce(docs[text], F.lit("")))))
     joined = wide.join(chosen_ones, (wide[tk] == chosen_ones[chosen]) & wide[id_].eqNullSafe(chosen_ones[own]))
     single = joined.where(F.col(rows) == 1).select(*[docs[c] for c in docs.columns])

@@ -28,14 +28,20 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/groupfit-{spark.sparkContext.applicationId}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+#: Rows of short columns that are written as one file.
+FILE = 25_000
+
+
+def keep(df: DataFrame, name: str, most: int | None = None) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back: lineage ends there, losing an executor doesn't matter.
 
     Results read such tables when they are used, so they stay until `clear`; what an operator no longer needs itself it discards.
+    `most`, a bound on the rows of a table of short columns, bounds its files as well: each file costs its task some processes
+    on a local disk and a request in a store, and with many partitions that is more than the rows cost.
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if most is None else df.coalesce(max(1, -(-most // FILE)))).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._kept = path
     return out

@@ -354,3 +354,23 @@ def test_kept_tables_are_cleared(spark, tmp_path, monkeypatch):
     assert kept and not any(x.startswith(("meetings", "met-")) for x in kept)
     storage.clear(spark)
     assert list(tmp_path.iterdir()) == []
+
+
+def test_small_tables_have_few_files(spark, tmp_path, monkeypatch):
+    """With many partitions, tables of a few keys are still one file each, and no row is lost."""
+    monkeypatch.setattr(storage, "shared_dir", lambda _: str(tmp_path))
+    conf = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    base = [f"w{k}" for k in range(60)]
+    rows = [(10 * f + i, " ".join(f"f{f}{w}" if k != i + 30 else f"x{i}" for k, w in enumerate(base))) for f in range(12) for i in range(5)]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = {r.id: r.class_id for r in near_copies.with_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i // 10 * 10 for i, _ in rows}
+    files = {x.name.rsplit("-", 1)[0]: len(list(x.glob("part-*"))) for x in tmp_path.glob("groupfit-*/*")}
+    assert {k: n for k, n in files.items() if k in ("pairs", "shares", "links", "tops", "ids", "labels")} == dict.fromkeys(("pairs", "shares", "links", "tops", "ids", "labels"), 1)
+    storage.clear(spark)
