@@ -79,44 +79,57 @@ def base_spans(text: Column, size=F.length) -> Column:
 
 def tail(z: Column) -> Column:
     """Upper tail of the normal distribution, to three digits or so."""
-    return 1 / (1 + F.exp(F.least(F.lit(300.0), 1.5976 * z + 0.07056 * z * z * z)))
+    return once(z, lambda z: 1 / (1 + F.exp(F.least(F.lit(300.0), 1.5976 * z + 0.07056 * z * z * z))))
 
 
 def tests(token: Column) -> Column:
-    """p of the battery for a string of base-64 characters; an end of = signs is left out."""
+    """p of the battery for a string of base-64 characters; an end of = signs is left out.
+
+    Lambdas are interpreted and nothing in them is shared by itself, so whatever is used several times is computed `once`.
+    """
     body = F.translate(F.regexp_replace(token, "=+$", ""), "-_", "+/")
+    add = lambda a, x: a + x
 
     def battery(symbols: Column, alphabet: str) -> Column:
         k = len(alphabet)
-        chars = F.split(symbols, "(?<=.)(?=.)")
-        codes = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1)
-        n = F.length(symbols)
-        add = lambda a, x: a + x
-        squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(symbols, c, F.lit(""))), F.lit(2))), F.lit(0.0), add)
 
         def p_of(chi: Column, df: int) -> Column:
             return tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5) if df else F.lit(1.0)
 
-        p_chi = p_of(k / n * squares - n, k - 1)
         share = {c: sum(bool(re.match(f"[{c}]", x)) for x in alphabet) / k for c in CLASSES}
-        held = [F.pow(n - F.length(F.regexp_replace(symbols, f"[{c}]", "")), F.lit(2)) / share[c] for c in CLASSES if share[c]]
-        p_class = p_of(reduce(lambda a, b: a + b, held) / n - n, len(held) - 1)
-        high = F.transform(codes, lambda c: (2 * c >= k).cast("int"))
-        up = F.aggregate(high, F.lit(0), add)
-        both = (2 * up * (n - up)).cast("double")
-        follows = lambda f, zero: F.aggregate(F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, F.lit(2), n - 1), f), zero, add)
-        runs = 1 + follows(lambda a, b: ((2 * a >= k) != (2 * b >= k)).cast("int"), F.lit(0))
-        var = both * (both - n) / (n * n * (n - 1))
-        p_runs = F.when(both == 0, F.pow(F.lit(2.0), 1 - n)).when(var <= 0, F.lit(1.0)).otherwise(2 * tail(F.abs(runs - both / n - 1) / F.sqrt(var)))
-        mid = (k - 1) / 2
-        serial = follows(lambda a, b: (a - mid) * (b - mid), F.lit(0.0)) / (F.sqrt(n - 1) * ((k * k - 1) / 12))
-        return F.least(F.lit(1.0), 4 * F.least(p_chi, p_class, p_runs, 2 * tail(F.abs(serial))))
-
-    return (
-        F.when(body.rlike("^[0-9]+$"), battery(body, ALPHABETS["dec"]))
-        .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), battery(F.lower(body), ALPHABETS["hex"]))
+
+        def of_chars(q: Column) -> Column:
+            chars, n = q["chars"], q["n"]
+            squares = F.aggregate(F.transform(F.array_distinct(chars), lambda c: F.pow(n - F.length(F.replace(symbols, c, F.lit(""))), F.lit(2))), F.lit(0.0), add)
+            p_chi = p_of(k / n * squares - n, k - 1)
+            held = [F.pow(n - F.length(F.regexp_replace(symbols, f"[{c}]", "")), F.lit(2)) / share[c] for c in CLASSES if share[c]]
+            p_class = p_of(reduce(lambda a, b: a + b, held) / n - n, len(held) - 1)
+            codes = F.transform(chars, lambda c: F.instr(F.lit(alphabet), c) - 1)
+            return F.least(F.lit(1.0), 4 * F.least(p_chi, p_class, once(codes, lambda codes: F.least(*of_codes(codes, n)))))
+
+        def of_codes(codes: Column, n: Column) -> tuple[Column, Column]:
+            follows = lambda f, zero: F.aggregate(F.zip_with(F.slice(codes, 1, n - 1), F.slice(codes, F.lit(2), n - 1), f), zero, add)
+
+            def p_of_runs(both: Column) -> Column:
+                runs = 1 + follows(lambda a, b: ((2 * a >= k) != (2 * b >= k)).cast("int"), F.lit(0))
+                var = both * (both - n) / (n * n * (n - 1))
+                usual = once(var, lambda var: F.when(var <= 0, F.lit(1.0)).otherwise(2 * tail(F.abs(runs - both / n - 1) / F.sqrt(var))))
+                return F.when(both == 0, F.pow(F.lit(2.0), 1 - n)).otherwise(usual)
+
+            up = F.aggregate(F.transform(codes, lambda c: (2 * c >= k).cast("int")), F.lit(0), add)
+            p_runs = once(once(up, lambda up: (2 * up * (n - up)).cast("double")), p_of_runs)
+            mid = (k - 1) / 2
+            serial = follows(lambda a, b: (a - mid) * (b - mid), F.lit(0.0)) / (F.sqrt(n - 1) * ((k * k - 1) / 12))
+            return p_runs, 2 * tail(F.abs(serial))
+
+        return once(F.struct(F.split(symbols, "(?<=.)(?=.)").alias("chars"), F.length(symbols).alias("n")), of_chars)
+
+    return once(
+        body,
+        lambda body: F.when(body.rlike("^[0-9]+$"), battery(body, ALPHABETS["dec"]))
+        .when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), once(F.lower(body), lambda low: battery(low, ALPHABETS["hex"])))
         .when(body.rlike("^[A-Z2-7]+$"), battery(body, ALPHABETS["b32"]))
-        .otherwise(battery(body, ALPHABETS["b64"]))
+        .otherwise(battery(body, ALPHABETS["b64"])),
     )
 
 
@@ -180,7 +193,8 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", length:
     """`docs` with every span of its texts replaced by `mark`, overlapping ones together; the column `length`, if there is one, follows."""
     b, f, s, t = (free_name(docs.columns, x) for x in ("base", "found", "spans", "redacted"))
     wide = scan(docs, text, b, f, F.octet_length)
-    level = levels(keep(wide.select(F.col(f).alias("found")).where(F.size("found") > 0), "candidates"))
+    # a filter on their number would compute the candidates of each text a second time
+    level = levels(keep(wide.select(F.col(f).alias("found")), "candidates"))
     spans = F.array_sort(F.concat(F.col(b), random_spans(F.col(f), level)))
     whole = docs[text]
     raw = whole.cast("binary")

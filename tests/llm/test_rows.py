@@ -484,6 +484,12 @@ def test_long_texts_with_many_secrets(spark):
     assert time.monotonic() - began < 120
 
 
+def test_battery_computes_what_it_shares_once(spark):
+    """Lambdas are interpreted: each mention of a shared value would be computed again, and those within it."""
+    shown = str(secret_scan.tests(F.col("t")))
+    assert shown.count("regexp_replace(t,") == 1 and shown.count("split(") == 4
+
+
 # pseudo-likelihood
 
 
