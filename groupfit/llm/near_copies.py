@@ -459,11 +459,18 @@ def classes(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("top"))
 
 
-def pairs_of(of: DataFrame) -> DataFrame:
-    """(tk, leader) of texts (tk, bands, top) for each bucket that holds more than one class so far."""
+def pairs_of(of: DataFrame, crowded: bool = False) -> DataFrame:
+    """(tk, leader) of texts (tk, bands, top) for each bucket that holds more than one class so far.
+
+    Buckets of the same texts give the same pairs. Crowded texts, which share whole passages, have many such: one mark stands for all of them there.
+    Elsewhere the digest of a bucket's texts would add 16 bytes to every mark of all texts in the exchange.
+    """
     marks = of.select("tk", "top", F.explode("bands").alias("mark"))
-    buckets = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("n"))
-    buckets = keep(buckets.where("low <> high").select("mark", "leader", "n"), "buckets")
+    held = [F.bit_xor(F.xxhash64(F.lit(k), "tk")).alias(f"held{k}") for k in (0, 1)] if crowded else []
+    buckets = marks.groupBy("mark").agg(F.min("tk").alias("leader"), F.min("top").alias("low"), F.max("top").alias("high"), F.count("*").alias("n"), *held).where("low <> high")
+    if crowded:
+        buckets = buckets.groupBy("leader", "n", "held0", "held1").agg(F.min("mark").alias("mark"))
+    buckets = keep(buckets.select("mark", "leader", "n"), "buckets")
     total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return keep(by_key(marks.drop("top"), buckets, "mark", total).where("tk <> leader").select("tk", "leader").distinct(), "pairs", total)
 
@@ -547,7 +554,7 @@ def find(docs: DataFrame, id_: str = "doc_id", text: str = "text") -> tuple[Data
     some = keep(wanted(texts, again).join(again, "tk").select("tk", "id", "top", "text"), "some")
     rare = keep(some.select("*", rarest_of(F.col("text"), run_counts(some)).alias("bands")), "rarest")
     own, crowd = rare.select("tk", F.col("id").alias("own"), "text"), rare.drop("text")
-    pairs = pairs_of(crowd)
+    pairs = pairs_of(crowd, True)
     more = verified(own, crowd, led(pairs))
     if not more.isEmpty():
         tops = classes(more, tops)

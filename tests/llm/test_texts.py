@@ -267,6 +267,29 @@ def test_near_copies_among_crowded_strangers(spark, monkeypatch):
     assert [got[d] for d, _ in rows] == want
 
 
+def test_buckets_of_the_same_texts_are_joined_once(spark, monkeypatch):
+    """No pair is lost, neither where buckets hold other texts by one nor where some hold one class alone."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        bands = [*range(30), *(100 + k for k in range(5) if i != 7 * k), *rng.sample(range(200, 240), 8), 300 + i // 2, 400 + i // 2, 500 + i]
+        rows.append((bytes([i * 37 % 256]), bytes([rng.randrange(20) if i < 20 else 50]), bands))
+    held = {}
+    for tk, top, bands in rows:
+        for m in bands:
+            held.setdefault(m, []).append((tk, top))
+    parted = {m: x for m, x in held.items() if len({top for _, top in x}) > 1}
+    want = {(tk, min(x)[0]) for x in parted.values() for tk, _ in x if tk != min(x)[0]}
+    rowed = []
+    by_key = near_copies.by_key
+    monkeypatch.setattr(near_copies, "by_key", lambda a, b, key, total: rowed.append(total) or by_key(a, b, key, total))
+    of = spark.createDataFrame(rows, "tk binary, top binary, bands array<bigint>")
+    for crowded, each in ((False, list(parted.values())), (True, {tuple(sorted(x)) for x in parted.values()})):
+        got = near_copies.pairs_of(of, crowded).collect()
+        assert len(got) == len(want) and {(bytes(r.tk), bytes(r.leader)) for r in got} == want
+        assert rowed.pop() == sum(map(len, each))
+
+
 def test_near_copies_awkward(spark):
     rows, df = awkward(spark)
     got = sorted((str(r.id), str(r.class_id)) for r in near_copies.with_classes(df).collect())
